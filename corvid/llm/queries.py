@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvid.llm import piece_codec
+from corvid.llm import decontaminate, near_dup, piece_codec, quality
 from corvid.llm.common import table
 
 
@@ -17,14 +18,33 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = decontaminate.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), t=10, k=5, keep_text=False)
+    return decontaminate.digest(shared)
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model_path(), with_text=False)
     return out.drop("ids", "decoded")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", *(F.col(c).alias(c.removeprefix("q_")) for c in out.columns if c.startswith("q_")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_piece_codec": op4_piece_codec}
+    return {
+        "op2_decontaminate": op2_decontaminate,
+        "op4_piece_codec": op4_piece_codec,
+        "op5_near_dup": op5_near_dup,
+        "op8_quality": op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality": quality.ORACLE}
