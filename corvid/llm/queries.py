@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, near_dup, piece_codec, quality
+from corvid.llm import decontaminate, main_text, near_dup, piece_codec, quality, substring_dedup, warc
 from corvid.llm.common import table
 
 
@@ -32,17 +32,33 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), with_records=False)
+    return made.drop("metadata", "conversion").withColumnRenamed("key", "page_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", *(F.col(c).alias(c.removeprefix("q_")) for c in out.columns if c.startswith("q_")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("kept_text")
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op4_piece_codec": op4_piece_codec,
         "op5_near_dup": op5_near_dup,
+        "op7_warc": op7_warc,
         "op8_quality": op8_quality,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_main_text": op10_main_text,
     }
 
 
