@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, main_text, near_dup, piece_codec, quality, substring_dedup, warc
+from corvid.llm import decontaminate, license_scan, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
 from corvid.llm.common import table
 
 
@@ -18,6 +18,10 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.held_out_ids("doc_id"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = decontaminate.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), t=10, k=5, keep_text=False)
     return decontaminate.digest(shared)
@@ -32,6 +36,11 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"), license_scan.notices(spark))
+    return out.select("doc_id", "n_words", "n_licenses", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), with_records=False)
     return made.drop("metadata", "conversion").withColumnRenamed("key", "page_id")
@@ -52,9 +61,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_decontaminate": op2_decontaminate,
         "op4_piece_codec": op4_piece_codec,
         "op5_near_dup": op5_near_dup,
+        "op6_license_scan": op6_license_scan,
         "op7_warc": op7_warc,
         "op8_quality": op8_quality,
         "op9_substring_dedup": op9_substring_dedup,
@@ -63,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality": quality.ORACLE}
+    return {"op6_license_scan": license_scan.ORACLE, "op8_quality": quality.ORACLE}
