@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, license_scan, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
+from corvid.llm import decontaminate, license_scan, line_dedup, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
 from corvid.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(shared)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.summary(table(spark, sf_dir, "documents"), percent=80)
+    return out.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec.encode_decode(table(spark, sf_dir, "documents"), piece_model_path(), with_text=False)
     return out.drop("ids", "decoded")
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
         "op2_decontaminate": op2_decontaminate,
+        "op3_line_dedup": op3_line_dedup,
         "op4_piece_codec": op4_piece_codec,
         "op5_near_dup": op5_near_dup,
         "op6_license_scan": op6_license_scan,
