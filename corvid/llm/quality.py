@@ -84,12 +84,13 @@ def thresholds(counts: DataFrame, reach: int = 6, min_group: int = 50) -> DataFr
 
     Counts that several runs made can be united before: sketches merge by adding.
     """
-    by_source, by_lang, overall = _bounds(counts, ["_lang", "_source"], reach), _bounds(counts, ["_lang"], reach), _bounds(counts.withColumn("_all", F.lit(0)), ["_all"], reach)
+    by_source, by_lang = _bounds(counts, ["_lang", "_source"], reach), _bounds(counts, ["_lang"], reach)
+    overall = _bounds(counts.withColumn("_all", F.lit(0)), ["_all"], reach).first()
     names = [c for c in by_source.columns if c not in ("_lang", "_source")]
     out = by_source.select("_lang", "_source", *(F.col(c).alias(f"s_{c}") for c in names))
     out = out.join(by_lang.select("_lang", *(F.col(c).alias(f"l_{c}") for c in names)), "_lang")
-    out = out.withColumn("_all", F.lit(0)).join(overall.select("_all", *(F.col(c).alias(f"a_{c}") for c in names)), "_all").drop("_all")
-    pick = lambda c: F.when(F.col("s_group_n") >= min_group, F.col(f"s_{c}")).when(F.col("l_group_n") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
+    of_all = lambda c: F.lit(overall[c] if overall else None).cast("long")
+    pick = lambda c: F.when(F.col("s_group_n") >= min_group, F.col(f"s_{c}")).when(F.col("l_group_n") >= min_group, F.col(f"l_{c}")).otherwise(of_all(c))
     return out.select("_lang", "_source", *(pick(c).alias(f"_{c}") for c in names))
 
 
@@ -111,6 +112,7 @@ def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col:
     rows = materialize(rows.withColumns({"_symbols": ratio("_n_symbols", each), "_word_length": ratio("_word_chars", each), "_dup_lines": ratio("_n_dup_lines", a_line), "_repeated": ratio("_n_repeat_words", each)}), "quality")
     some = rows.where("_n_words > 0").select("_lang", "_source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(f"_{m}")).alias("bucket")) for m in MEASURES))).alias("e"))
     counts = some.groupBy("_lang", "_source", F.col("e.measure").alias("measure"), F.col("e.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "sketches")
     limits = materialize(thresholds(counts, reach, min_group), "thresholds")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
