@@ -130,10 +130,11 @@ RESULT = T.StructType(
 _SPANS_PA = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
-def shared_spans(docs: DataFrame, bench: DataFrame, t: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+def shared_spans(docs: DataFrame, bench: DataFrame, t: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """For each document the word spans that it shares with benchmark items.
 
-    One row per input row: doc_id, text, n_words, spans (disjoint, sorted, in words), items (ids as strings, sorted).
+    One row per input row: doc_id, text, n_words, spans (disjoint, sorted, in words), items (ids as strings, sorted), and
+    the columns ``carry`` of the input as c_<name>.
     Null texts and empty ones have no words and no spans.  Repeated documents are all judged; repeated items are both
     reported.  Items without words never occur.  Without items nothing is hit.
 
@@ -147,11 +148,13 @@ def shared_spans(docs: DataFrame, bench: DataFrame, t: int = 10, k: int = 5, id_
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n_bytes // block_bytes))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry or []))
+    along = out.schema.fields[2:]
+    result = T.StructType([*RESULT.fields, *along])
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         rows = sorted((r["item"], r["text"].encode()) for r in part.collect())
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(rows), t, k, b == 0, keep_text or b < blocks - 1), RESULT)
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(rows), t, k, b == 0, keep_text or b < blocks - 1), result)
     return out
 
 
@@ -174,7 +177,11 @@ def _pass(rows, t: int, k: int, first: bool, keep_text: bool):
                     spans.append([{"from": a, "to": b} for a, b in merged(found)])
                     names.append(sorted(got))
                 text = part.column(1) if keep_text else pa.nulls(part.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(counts, pa.int64()), pa.array(spans, _SPANS_PA), pa.array(names, pa.list_(pa.string()))], RESULT.names)
+                along = range(2 if first else len(RESULT), part.num_columns)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), text, pa.array(counts, pa.int64()), pa.array(spans, _SPANS_PA), pa.array(names, pa.list_(pa.string())), *(part.column(i) for i in along)],
+                    RESULT.names + [part.schema.names[i] for i in along],
+                )
 
     return run
 
