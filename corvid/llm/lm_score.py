@@ -102,6 +102,7 @@ class Block:
             pair = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + token) >> np.uint64(64 - pair_bits)
         self.words, self.word_of = np.unique(token, return_inverse=True)
         self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
+        self.word_of, self.pair_of = self.word_of.astype(np.int32), self.pair_of.astype(np.int32)
         # a text's first token follows its start, which occurs as often as its end
         self.context_of = np.empty_like(self.word_of)
         self.context_of[1:] = self.word_of[:-1]
@@ -125,7 +126,8 @@ _REQUEST = "part int, kind int, block long, `keys` binary, `counts` binary"
 def _requests(pair_bits: int, part_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                block, texts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 b = Block(texts, pair_bits)
                 rows = []
                 for kind, width in ((WORD, 64), (PAIR, pair_bits)):
@@ -194,7 +196,8 @@ def _held_out(pair_bits: int, n: int, v: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, replies in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i in range(batch.num_rows):  # one block at a time in memory
+                texts, replies = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 b = Block(texts, pair_bits)
                 words, pairs = _totals(replies)
                 rest = n - int(b.own[WORD].sum())
@@ -231,12 +234,13 @@ _SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("he
 def _scores(pair_bits: int, n: int, v: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, replies in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i in range(batch.num_rows):  # one block at a time in memory
+                texts, replies = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 b = Block(texts, pair_bits)
                 words, pairs = _totals(replies)
                 count, context = words[b.word_of], words[b.context_of]
-                w = weights[bucket(context)]
-                p = w[:, 0] * pairs[b.pair_of] / np.maximum(context, 1) + w[:, 1] * count / max(n, 1) + w[:, 2] / (v + 1)
+                of = bucket(context)
+                p = weights[of, 0] * pairs[b.pair_of] / np.maximum(context, 1) + weights[of, 1] * count / max(n, 1) + weights[of, 2] / (v + 1)
                 per_text = lambda x: np.add.reduceat(x, b.starts)
                 cols = [b.ids, pa.array(~b.training[b.starts]), pa.array(b.sizes, pa.int64()), pa.array(per_text((count > 0).astype(np.int64))), pa.array(per_text(np.log10((count + 1) / (n + v + 1)))), pa.array(per_text(np.log10(p)))]
                 yield pa.RecordBatch.from_arrays(cols, _SCORED.names)
@@ -249,7 +253,7 @@ def held_out_ids(id_col: str, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Score all texts by a bigram model learned from those that aren't held out.
 
     One row per input row: doc_id, held_out, n_tokens, n_known (tokens that occur in training), train_tokens, base_score
