@@ -1,0 +1 @@
+"""Retrieval and analytics over source-code corpora, as Spark plans."""

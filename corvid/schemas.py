@@ -1,0 +1,20 @@
+"""Schemas of the tables and of the rows that operators exchange."""
+
+from pyspark.sql import types as T
+
+_s, _i, _l, _d = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+
+
+def _of(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+SYMBOL = _of(("fqn", _s), ("repo", _s), ("name", _s), ("kind", _s), ("file", _s), ("line_start", _i), ("line_end", _i), ("signature", _s), ("parent_fqn", _s))
+CHUNK = _of(("repo", _s), ("file", _s), ("line_start", _i), ("line_end", _i), ("content", _s), ("embedding", T.ArrayType(T.FloatType())), ("symbol_fqn", _s))
+RAW_EDGE = _of(("edge_id", _l), ("from_file", _s), ("from_name", _s), ("from_fqn", _s), ("to_name", _s), ("kind", _s), ("line", _i), ("import_path", _s))
+CALLS = _of(("in_fqn", _s), ("out_fqn", _s), ("line", _i), ("in_file", _s), ("out_file", _s))
+FILE_META = _of(("path", _s), ("repo", _s), ("mtime", _l), ("size", _l), ("chunk_count", _i), ("chunker_version", _i))
+CANDIDATE = _of(("file", _s), ("line_start", _i), ("line_end", _i), ("score", _d), ("rank", _d), ("content", _s), ("symbol", _s), ("symbol_fqn", _s), ("symbol_kind", _s), ("duplicates", T.ArrayType(_s)))
+
+#: Symbol kinds; a fully qualified name is the file and the names of the scopes around, joined by "::".
+KINDS = ("function", "method", "class", "struct", "trait", "interface", "enum", "module", "impl", "extension")
