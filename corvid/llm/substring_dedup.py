@@ -149,9 +149,10 @@ def _contexts(length: int, k: int):
                     places, g = _chosen(h, length, k)
                     if not len(places):
                         continue
-                    starts = np.nonzero(np.diff(places, prepend=-1))[0]
+                    key_of = g[places].view(np.int64)
+                    starts = np.append(0, np.nonzero(np.diff(key_of))[0] + 1)  # a repeated k-gram's runs stay together
                     ends = np.append(starts[1:], len(places))
-                    keys = g[places[starts]].view(np.int64)
+                    keys = key_of[starts]
                     hot = {x["anchor"]: x["hot"] for x in wanted}
                     t1 = _digest(h)[0]
                     for i in np.nonzero(np.isin(keys, np.fromiter(hot, dtype=np.int64, count=len(hot))))[0].tolist():
