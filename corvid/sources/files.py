@@ -7,19 +7,57 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvid.functions import paths
 from corvid.operators import explore
 
 
+def _file_system(root: str):
+    """The file system of a path or URI, and the path in it."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
 def listing(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """path, mtime (seconds), size, and content if asked for, of all files under a root, as Spark's reader lists them."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    cols = [path.alias("path"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size")]
-    return raw.select(*cols, *(["content"] if with_content else []))
+    """path, mtime (seconds), size, and content if asked for, of all files under a root.
+
+    Spark's own readers pass over names that begin with a dot or an underscore, such as __init__.py, so the tree is
+    listed once on the driver (a row a file) and the contents are read by the tasks, which must see the root under the
+    same path.  Content that can't be read is null.
+    """
+    system, base = _file_system(root)
+    prefix = root[: len(root) - len(base)] if root.endswith(base) else ""
+    found = [f for f in system.get_file_info(fs.FileSelector(base.rstrip("/") or "/", recursive=True, allow_not_found=True)) if f.type == fs.FileType.File]
+    table = pa.table({"path": pa.array([prefix + f.path for f in found], pa.string()), "mtime": pa.array([int((f.mtime_ns or 0) // 10**9) for f in found], pa.int64()), "size": pa.array([f.size for f in found], pa.int64())})
+    listed = spark.createDataFrame(table).repartition(max(1, min(len(found) // 200 + 1, 4000)))
+    return with_contents(listed) if with_content else listed
+
+
+def with_contents(listed: DataFrame) -> DataFrame:
+    names = listed.columns
+
+    def read(path: str) -> bytes | None:
+        try:
+            system, base = _file_system(path)
+            with system.open_input_stream(base) as f:
+                return f.read()
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                raw = [read(p) for p in part.column(names.index("path")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*names, "content"])
+
+    return listed.mapInArrow(run, T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 class IgnoreRules:
@@ -69,18 +107,19 @@ class IgnoreRules:
 def walk(spark: SparkSession, root: str, with_content: bool = False, more_extensions: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore", ".ignore"), subdir: str = "") -> DataFrame:
     """Files of a repository that are indexed.  Ignore files are few and small; they are read to the driver and sent along."""
     base = root.rstrip("/")
-    everything = listing(spark, base, True)
-    rules_rows = everything.where(paths.basename(F.col("path")).isin(list(ignore_files)) & (F.col("size") < 1 << 20)).select("path", F.col("content").cast("string").alias("text")).collect()
+    everything = listing(spark, base)
+    ignoring = with_contents(everything.where(paths.basename(F.col("path")).isin(list(ignore_files)) & (F.col("size") < 1 << 20)))
+    rules_rows = ignoring.select("path", F.col("content").cast("string").alias("text")).collect()
     order = {n: i for i, n in enumerate(ignore_files)}
     rules_rows.sort(key=lambda r: (r["path"].count("/"), order[r["path"].rsplit("/", 1)[-1]]))
     rules = IgnoreRules([(r["path"][len(base) :].rsplit("/", 1)[0], r["text"] or "") for r in rules_rows])
-    found = explore.walkable(listing(spark, f"{base}/{subdir}".rstrip("/"), with_content), base, more_extensions)
-    if not rules.rules:
-        return found
+    found = explore.walkable(everything if not subdir else everything.where(paths.in_repo(F.col("path"), f"{base}/{subdir}")), base, more_extensions)
     n = len(base) + 1
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b[[not rules.ignores(p[n:]) for p in b["path"]]]
 
-    return found.mapInPandas(keep, found.schema)
+    if rules.rules:
+        found = found.mapInPandas(keep, found.schema)
+    return with_contents(found) if with_content else found
