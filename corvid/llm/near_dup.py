@@ -6,12 +6,16 @@ A pair of similarity s meets unless one collection fails it: the chance of a mis
 is below 2 * (1 - s**t)**m, and m is chosen so that it is at most ``miss`` at the
 threshold.  Candidates are confirmed on the full shingle sets.
 
-Texts with equal sets are one class from the start.  Within a table's bucket no
-pairs are made but those of centres: first the least member, then, while a
-bucket still holds different components, twice as many centres a round, chosen
-by a hash, until every pair not yet in one component has been tried.  So no link
-is lost, and buckets of near copies, which join in the first rounds, cost a few
-times their size.
+Texts with equal sets are one class from the start.  Classes that share buckets,
+directly or through others, form a cluster; clusters are disjoint, so each one
+within a size bound is sent to one task with its sets, once, and all its links
+are found there by counting through its shingles' postings.
+
+In larger clusters no pairs are made within a bucket but those of centres: first
+the least member, then, while a bucket still holds different components, twice
+as many centres a round, chosen by a hash, until every pair not yet in one
+component has been tried.  So no link is lost, and buckets of near copies, which
+join in the first rounds, cost a few times their size.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from pyspark.sql import types as T
 from corvid.llm.common import HASHES, column_bytes, grams, materialize, mix
 from corvid.llm.graph import components
 
+#: Ids of texts that share a bucket are broadcast up to this number (8 bytes each).
+BROADCAST_IDS = 2_000_000
+
 
 def shingles(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's k-word shingles; of fewer words, the whole as one; of none, empty."""
@@ -143,14 +150,15 @@ def _centre(rep: Column, least: Column, size: Column, turn: int) -> Column:
     return first if turn == 0 else first | (_level(rep) >= F.floor(F.log2(size)) - turn)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", t: int = 3, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", t: int = 3, miss: float = 1e-4, most_members: int = 4000, most_shingles: int = 4_000_000) -> DataFrame:
     """Link texts whose k-word shingle sets have 100 * intersection >= percent * union, and name the components.
 
     One row per input row: doc_id, n_shingles, component_id (the least doc_id reachable, its own included) and kept
     (doc_id = component_id).  Words are lower-cased in A-Z.  Null and empty texts have no shingles and are linked with
-    nothing.  Rows with the same id count as one document.  A null id is left alone: component_id null, kept true.
+    nothing.  Ids should be unique; rows that share one share its links.  A null id is left alone: component_id null, kept true.
     Other columns aren't read.
 
+    A cluster of more than ``most_members`` classes or ``most_shingles`` shingles is worked off by centres.
     Only table keys, ids and signatures of all texts are shuffled; the sets of texts that share a bucket are written
     once to the scratch folder and joined to candidate pairs whose signatures are near enough.
     """
@@ -165,9 +173,89 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1")
     buckets = materialize(members.select("key", "rep").join(sizes, "key"), "buckets")
     marks = materialize(reps.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "s1", "s2").dropDuplicates(["rep", "s1", "s2"]), "signatures")
-    sets = materialize(rows.join(marks.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(k), "rep long, shingles array<long>"), "shingles")
+    wanted = marks.select(F.col("rep").alias("doc_id")).distinct()
+    if marks.count() <= BROADCAST_IDS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
+    sets = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "rep long, shingles array<long>"), "shingles")
 
     # Rows with one id and different texts start in one component: the id is the node.
+    edges = buckets.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    clusters = components(edges).withColumnsRenamed({"node": "rep", "root": "cluster"})
+    sizes = clusters.join(marks, "rep").groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    fits = (F.col("members") <= most_members) & (F.col("shingles") <= most_shingles)
+    clusters = materialize(clusters.join(sizes.select("cluster", fits.alias("fits")), "cluster"), "clusters")
+    together = sets.join(clusters.where("fits").select("rep", "cluster"), "rep").select("cluster", "rep", "shingles")
+    labels = together.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_linked(percent), "node long, root long")
+    labels = materialize(labels, "labels")
+    large = clusters.where("not fits")
+    if not large.isEmpty():
+        apart = materialize(buckets.join(large.select("rep"), "rep", "left_semi").select("key", "rep", "size", "least"), "large")
+        more = _by_centres(apart, marks, sets, percent, most)
+        labels = labels if more is None else labels.unionAll(more)
+
+    named = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("rep"))
+    out = described.drop("keys", "s1", "s2").join(named, ["k1", "k2"], "left")
+    ids = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", ids.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(percent: int):
+    """(cluster, rep, shingles) sorted by cluster -> (node, root) of all members that are linked to a lesser one."""
+
+    def links(reps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        order = np.argsort(reps, kind="stable")
+        reps, sets = [reps[i] for i in order], [sets[i] for i in order]
+        n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        _, of = np.unique(np.concatenate(sets), return_inverse=True)
+        postings = owner[np.argsort(of, kind="stable")]
+        length = np.bincount(of)
+        first = np.cumsum(length) - length
+        starts = np.cumsum(n) - n
+        parent = list(range(len(reps)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i in range(1, len(reps)):
+            if reps[i] == reps[i - 1]:  # one id twice
+                parent[i] = find(i - 1)
+        for i in range(len(reps) - 1):
+            own = of[starts[i] : starts[i] + n[i]]
+            size = length[own]
+            upto = np.cumsum(size)
+            at = np.arange(upto[-1]) + np.repeat(first[own] - (upto - size), size)
+            both = np.bincount(postings[at], minlength=len(reps))
+            for j in np.nonzero(both * 100 >= (n + n[i] - both) * percent)[0].tolist():
+                if j > i and (a := find(i)) != (b := find(j)):
+                    parent[max(a, b)] = min(a, b)
+        return sorted({(reps[i], reps[r]) for i in range(len(reps)) if reps[r := find(i)] != reps[i]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, reps, sets, out = None, [], [], []
+        for batch in batches:
+            of, rep, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, c in enumerate(of):
+                if c != cluster:
+                    if len(reps) > 1:
+                        out += links(reps, sets)
+                    cluster, reps, sets = c, [], []
+                reps.append(rep[i])
+                sets.append(flat[offsets[i] : offsets[i + 1]].copy())
+        if len(reps) > 1:
+            out += links(reps, sets)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["node", "root"])
+
+    return run
+
+
+def _by_centres(buckets: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame | None:
+    """(node, root) of the links within buckets (key, rep, size, least), by rounds of centres."""
     labels = None  # node -> component, for nodes that have left their own
     active, turn = buckets, 0
     largest = buckets.agg(F.max("size")).first()[0] or 0
@@ -188,13 +276,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         active = materialize(own.join(open_keys, "key"), "active")
         largest = active.agg(F.max("size")).first()[0] or 0
         turn += 1
-
-    named = classes
-    if labels is not None:
-        named = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("rep"))
-    out = described.drop("keys", "s1", "s2").join(named, ["k1", "k2"], "left")
-    ids = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", ids.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return labels
 
 
 def _confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
