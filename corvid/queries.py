@@ -777,6 +777,126 @@ def reexport_chase(spark, d):
     return imports.chased(start, ex)
 
 
+# ---- small pools: what tables of the data folder can't stand in for ----------------------------------------------------
+
+
+@_register("SELECT * FROM (VALUES (1, 0.9), (2, 0.9), (3, 0.85), (4, 1.0), (5, 0.9), (6, 1.0)) v(id, weight)".replace("0.9)", "0.9::DOUBLE)", 1))
+def class_weights(spark, d):
+    rows = [(1, "/r/a.css", ".x {}"), (2, "/r/src/x.test.ts", "jest.mock('a')"), (3, "/r/i.ts", "import a from 'b'\n"), (4, "/r/i.ts", "foo()"), (5, "/r/__mocks__/m.js", "x()"), (6, "/r/src/x.ts", "jest.mock('a')")]
+    df = spark.createDataFrame(rows, "id int, file string, content string")
+    return df.select("id", ranking.class_weight(F.col("file"), F.col("content"), ["how does it work"], plans.Filters(), ["/r"]).alias("weight"))
+
+
+_SCRIPTS = ["import a from 'b'", 'import {a} from "x";\n// c\nexport * from "y"', "import a from 'b'; f()", "'use strict'", "const x = require('y')", "f()", "import type {T} from 't'\nimport 'side'"]
+
+
+@_register("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, true), (5, false), (6, true)) v(id, import_only)")
+def import_only_chunks(spark, d):
+    from corvid.functions.imports import import_only
+
+    return spark.createDataFrame(list(enumerate(_SCRIPTS)), "id int, content string").select("id", import_only(F.col("content")).alias("import_only"))
+
+
+@_register("SELECT * FROM (VALUES ('c.py', 5, 9, 0.5::DOUBLE, 1.0::DOUBLE, ''), ('a.py', 1, 2, 0.9, 0.9, 'b.py'), ('d.py', 1, 6, 0.3, 0.3, '')) v(file, line_start, line_end, score, rank, duplicates)")
+def weighted_merge(spark, d):
+    rows = [("b.py", 1, 2, 0.9, "same\ntext"), ("a.py", 1, 2, 0.9, "same  \r\ntext"), ("c.py", 5, 9, 0.5, "other"), ("c.py", 5, 9, 0.2, "older"), ("c.py", 6, 7, 0.4, "inner"), ("d.py", 1, 3, 0.3, "1\n2\n3"), ("d.py", 4, 6, 0.1, "4\n5\n6")]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], "file string, line_start int, line_end int, score double, content string, symbol string, symbol_fqn string, symbol_kind string")
+    out = ranking.weighted_merge(df, 10, F.when(F.col("file") == "c.py", 2.0).otherwise(1.0))
+    return out.select("file", "line_start", "line_end", "score", "rank", _join("duplicates").alias("duplicates"))
+
+
+@_register("SELECT * FROM (VALUES ('a', 1, 9, 0, 7, 'y'), ('a', 20, 21, 1, NULL, NULL), ('b', 1, 2, 2, 3, 'z')) v(file, line_start, line_end, pos, callers, caller_names)")
+def merged_blocks(spark, d):
+    rows = [(0, "a", 1, 5, 2, 1, ["x"]), (3, "a", 6, 9, 7, 2, ["y"]), (1, "a", 20, 21, None, None, None), (2, "b", 1, 2, 3, 1, ["z"])]
+    df = spark.createDataFrame(rows, "pos int, file string, line_start int, line_end int, callers int, caller_files int, caller_names array<string>")
+    return ranking.merged_blocks(df).select("file", "line_start", "line_end", "pos", "callers", _join("caller_names").alias("caller_names"))
+
+
+@_register("SELECT * FROM (VALUES ('a', 1, 10), ('b', 2, 3), ('b', 9, 9), ('c', 1, 30)) v(file, line_start, line_end)")
+def pruned_rows(spark, d):
+    df = spark.createDataFrame([("a", 1, 10, [(2, 3)]), ("b", 1, 30, [(2, 3), (9, 9)]), ("c", 1, 30, None)], "file string, line_start int, line_end int, ranges array<struct<start:int,end:int>>")
+    return ranking.pruned_rows(df)
+
+
+@_register("SELECT row_number() OVER (ORDER BY n_chars % 10 DESC, doc_id) - 1 AS pos, doc_id, (n_chars % 10) / 10.0::DOUBLE AS relevance FROM documents WHERE doc_id < 30")
+def reranked(spark, d):
+    docs = _t(spark, d, "documents").where("doc_id < 30").select("doc_id", "n_chars", F.col("doc_id").alias("pos"))
+    return ranking.rerank(docs, "q", lambda q, rows: [(r["n_chars"] % 10) / 10 for r in rows]).select("pos", "doc_id", "relevance")
+
+
+@_register("SELECT doc_id AS pos, doc_id, NULL::DOUBLE AS relevance FROM documents WHERE doc_id < 30")
+def rerank_degraded(spark, d):
+    """A scorer that fails leaves the order as it is."""
+    docs = _t(spark, d, "documents").where("doc_id < 30").select("doc_id", F.col("doc_id").alias("pos"))
+    return ranking.rerank(docs, "q", lambda q, rows: [1.0]).select("pos", "doc_id", "relevance")
+
+
+@_register("SELECT * FROM (VALUES ('/Foo/bar/a.py', false, 'a.py'), ('/foobar/a.py', false, 'a.py'), ('/foo/bar/test/b.py', true, 'test/b.py'), ('/foo', true, 'foo'), ('/foo\\x.c', true, 'x.c')) v(file, inside, relative)")
+def repo_paths(spark, d):
+    df = spark.createDataFrame([("/Foo/bar/a.py",), ("/foobar/a.py",), ("/foo/bar/test/b.py",), ("/foo",), ("/foo\\x.c",)], "file string")
+    return df.select("file", paths.in_repo(F.col("file"), "/foo/").alias("inside"), paths.repo_relative(F.col("file"), ["/foo", "/foo/bar"]).alias("relative"))
+
+
+@_register("SELECT vec_id, list_sum(list_transform(embedding, lambda x: abs(round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 127))))::BIGINT AS total FROM embeddings")
+def vec_quantised(spark, d):
+    q = vectors.quantised(vectors.normalised(F.col("embedding")))
+    return _t(spark, d, "embeddings").select("vec_id", F.aggregate(q, F.lit(0), lambda a, x: a + F.abs(x.cast("int"))).cast("long").alias("total"))
+
+
+@_register("SELECT page_id FROM pages WHERE contains(url, '/en/') AND page_id % 3 = 0")
+def all_filters(spark, d):
+    p = _t(spark, d, "pages").where("page_id % 3 = 0").select("page_id", F.concat("url", F.lit("x.py")).alias("file"), F.lit("parse_file").alias("symbol"), F.lit(None).cast("string").alias("symbol_kind"))
+    return filters.apply(p, plans.Filters(kinds=["class"], languages=["py"], paths=["/en/"], names=["parse"])).select("page_id")
+
+
+@_register("SELECT * FROM (VALUES (1, 'f', 'callers: a, b +1 more'), (2, 'g', ''), (3, 'x.py', 'callers: z')) v(id, short, tag)")
+def name_tags(spark, d):
+    df = spark.createDataFrame([(1, "x.py::C::f", ["a", "b", "c"]), (2, "x.py::g", []), (3, "x.py", ["z"])], "id int, fqn string, names array<string>")
+    return df.select("id", text.short_name(F.col("fqn")).alias("short"), text.name_tag("callers", F.col("names"), 2).alias("tag"))
+
+
+@_register("SELECT DISTINCT url AS path FROM pages WHERE contains(lower(url), 'example.org')")
+def ignored_paths(spark, d):
+    return explore.ignored(_t(spark, d, "pages").select(F.col("url").alias("path")), "Example.ORG")
+
+
+@_register("SELECT doc_id, md5(text) AS content FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def point_lookups(spark, d):
+    """All lookups of a query as one join by key."""
+    keys = _t(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return vector.hydrate(keys, docs, ["doc_id"]).select("doc_id", F.md5("content").alias("content"))
+
+
+@_register("SELECT vec_id FROM embeddings WHERE label % 2 = 0")
+def identity_fence(spark, d):
+    e = _t(spark, d, "embeddings").withColumns({"provider": F.lit("p"), "model": F.when(F.col("label") % 2 == 0, "m").otherwise("n"), "dims": F.size("embedding")})
+    return vector.same_identity(e, "p", "m", 64).select("vec_id")
+
+
+@_register("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, doc_id) AS place FROM documents WHERE doc_id < 40")
+def hand_written_first(spark, d):
+    from pyspark.sql import Window
+
+    docs = _t(spark, d, "documents").where("doc_id < 40").select("doc_id", F.col("doc_id").alias("pos"), F.concat(F.lit("a/"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, "_pb2.py").otherwise(".py")).alias("file"))
+    out = ranking.hand_written_first(docs)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(paths.is_generated(F.col("file")), "pos")).cast("long")).select("doc_id", "place")
+
+
+@_register("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
+def cache_purge(spark, d):
+    o = _t(spark, d, "orders").withColumn("used_at", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    return cache.purged(o, 820454400).select("o_orderkey")
+
+
+@_register()
+def cached_vectors(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    embed = cache.hashing_embedder(16)
+    known = cache.embedded(docs.where("doc_id % 3 = 0").select("content").distinct(), embed).select(F.md5("content").alias("key"), "embedding")
+    return cache.with_vectors(docs, known, embed).select("doc_id", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
+
+
 # ---- event time (beyond the retrieval engine) ------------------------------------------------------------------------
 
 
