@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -44,9 +47,78 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    _WRITTEN[path] = _group
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables of this driver that haven't been removed, and on whose account they were written.
+_WRITTEN: dict[str, str] = {}
+_group = ""
+
+
+@contextmanager
+def account(name: str) -> Iterator[None]:
+    """Scratch tables written meanwhile are ``name``'s, for sweep()."""
+    global _group
+    before, _group = _group, name
+    try:
+        yield
+    finally:
+        _group = before
+
+
+def _tables_read(df: DataFrame) -> set[str]:
+    return {_plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+
+
+def _plain(path: str) -> str:
+    return re.sub("/+", "/", re.sub("^[a-z0-9]+:", "", path))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables from which nothing is still to be read: what was made of them has been written."""
+    for df in tables:
+        read = _tables_read(df)
+        for path in [p for p in _WRITTEN if _plain(p) in read]:
+            _remove(df.sparkSession, path)
+
+
+def sweep(name: str, keep: DataFrame) -> None:
+    """Remove the scratch tables written on ``name``'s account, but for those that ``keep`` reads."""
+    read = _tables_read(keep)
+    for path in [p for p, owner in _WRITTEN.items() if owner == name and _plain(p) not in read]:
+        _remove(keep.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[path]
+
+
+def with_runs(df: DataFrame, w: str, k: int, out: str) -> DataFrame:
+    """``df`` with ``out``: hashes of all runs of k elements of the array column ``w``; of fewer than k elements none.
+
+    Each element is hashed once and neighbours are joined by doubling, each step a column of its own (inside one
+    expression the steps would be repeated).  In the JVM this takes about half the time of hashing slices.
+    """
+    joined = lambda a, b, by: F.zip_with(a, F.slice(b, F.lit(by + 1), F.lit(1 << 30)), lambda x, y: F.xxhash64(x, y))
+    df, made, n = df.withColumn("_run1", F.transform(w, lambda x: F.xxhash64(x))), ["_run1"], 1
+    while 2 * n <= k:
+        df = df.withColumn(f"_run{2 * n}", joined(f"_run{n}", f"_run{n}", n))
+        n *= 2
+        made.append(f"_run{n}")
+    have, last = n, f"_run{n}"
+    for part in reversed([2**i for i in range(n.bit_length() - 1)]):
+        if have + part <= k:
+            last = joined(last, f"_run{part}", have)
+            have += part
+            df = df.withColumn(f"_runs{have}", last)
+            last = f"_runs{have}"
+            made.append(last)
+    return df.withColumn(out, F.slice(last, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))).drop(*made)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, _UPPER, _LOWER)

@@ -6,12 +6,14 @@ joined by prefix, length and position, candidates verified on the full token
 sets, and a line goes if an earlier one, by document id and line number, has a
 Jaccard similarity of at least ``percent``.
 
-Prefix.  Two lines that similar share many of the first tokens in any one order.
-Each line keeps its first p + e tokens by hash (p: the usual prefix, e: up to
-``spare`` more), of which similar lines share at least e + 1; ordered by rarity,
-the e most frequent of them can then be left out on either side and one shared
-token is still there.  Rarity is counted over all lines, in ``RARITY`` buckets
-of token hashes, so the table has a fixed size.
+Prefix.  In the order of token hashes two lines that similar share at least
+min(e + 1, ceil(n * percent)) of their first p + e tokens, p being the usual
+prefix, n the size of either and e ``spare``.  Of these tokens, ordered by
+rarity, each line can therefore leave out its d = min(e, ceil(n * percent) - 1)
+most frequent, and one shared token is still there.  Rarity is exact: in how many
+distinct lines of the corpus a token is among the first.  Tokens of one line only
+come first and need no index, so a line with p of them is compared with nothing;
+that is what keeps apart lines that merely share a passage.
 
 A token that many lines keep all the same isn't expanded into all pairs: a few
 members are compared with all others first, then twice as many each turn, and
@@ -22,29 +24,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import SPACE, materialize
+from corvid.llm.common import SPACE, discard, materialize, with_runs
 
-RARITY = 1 << 16
-#: Buckets this many times fuller than the mean count as frequent; there are at most RARITY / FREQUENT of them.
-FREQUENT = 8
 #: Up to so many members of a token are compared with each other at once.
 AT_ONCE = 64
 #: Candidate classes up to this number (16 bytes each) are broadcast to the scan that fetches their tokens.
 BROADCAST_CLASSES = 2_000_000
 
 
-def _tokens(line: Column, q: int) -> Column:
-    """Distinct hashes of a line's q-word runs, in hash order."""
-    plain = F.split(line, " ")
-    w = F.array_remove(F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(plain), "")
-    n = F.size("w")
-    runs = F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, q)))).when(n > 0, F.array(F.xxhash64("w")))
-    return w, F.sort_array(F.array_distinct(runs))
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (a hash of the text), line_no from 0, line, t1, t2: lines with a word."""
     text = F.col(text_col).cast("string")
@@ -53,8 +43,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_tokens(lines: DataFrame, q: int) -> DataFrame:
-    w, tokens = _tokens(F.col("line"), q)
-    return lines.withColumn("w", w).withColumn("tokens", tokens).drop("w", "line")
+    """``lines`` with tokens, the distinct hashes of a line's q-word runs in hash order, in place of line."""
+    plain = F.split("line", " ")
+    w = F.array_remove(F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split("line", SPACE)).otherwise(plain), "")
+    runs = with_runs(lines.withColumn("w", w), "w", q, "runs")
+    tokens = F.when(F.size("w") >= q, F.sort_array(F.array_distinct("runs"))).otherwise(F.array(F.xxhash64("w")))
+    return runs.withColumn("tokens", tokens).drop("w", "runs", "line")
 
 
 def _key() -> Column:
@@ -69,25 +63,29 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
     """
     classes = _with_tokens(_lines(docs, id_col, text_col), q)
     n = F.size("tokens")
-    p = n - F.ceil(n * percent / 100) + 1
-    extra = F.least(p - 1, F.lit(spare))
-    classes = classes.select("t1", "t2", _key().alias("key"), n.alias("n"), extra.cast("int").alias("extra"), F.slice("tokens", F.lit(1), (p + extra).cast("int")).alias("head"))
-    classes = classes.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("extra").alias("extra"), F.first("head").alias("head"))
-    classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "lines")
-
-    place = lambda x: F.pmod(x, F.lit(RARITY))
-    counts = classes.select(F.explode(F.transform("head", place)).alias("b")).groupBy("b").agg(F.count("*").alias("f"))
-    total = counts.agg(F.sum("f")).first()[0] or 0
-    frequent = [r["b"] for r in counts.where(F.col("f") * RARITY > FREQUENT * total).orderBy("f").collect()]
-    rank = lambda x: place(x).isin(frequent).cast("int") if frequent else F.lit(0)
-    ranked = F.sort_array(F.transform("head", lambda x, i: F.struct(rank(x).alias("often"), i.alias("pos"), x.alias("token"))))
-    prefix = classes.select("c", "n", F.explode(F.slice(ranked, F.lit(1), F.size("head") - F.col("extra"))).alias("e")).select("c", "n", "e.pos", "e.token")
-    sizes = prefix.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(prefix.join(sizes, "token"), "prefixes")
+    alike = F.ceil(n * percent / 100).cast("int")
+    drop = F.least(F.lit(spare), alike - 1)
+    head = F.slice("tokens", F.lit(1), n - alike + 1 + spare)
+    classes = classes.select("t1", "t2", _key().alias("key"), n.alias("n"), drop.alias("drop"), head.alias("head"))
+    classes = classes.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("drop").alias("drop"), F.first("head").alias("head"))
+    heads = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "lines")
+    classes = materialize(heads.select("c", "t1", "t2", "key", "n", "drop"), "classes")
+
+    prefix = heads.select("c", F.posexplode("head").alias("pos", "token"))
+    often = prefix.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = materialize(prefix.join(often, "token"), "prefixes")
+    discard(heads)
+    own = Window.partitionBy("c")
+    ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("often", "token")), "of": F.count("*").over(own)})
+    kept = ranked.join(classes.select("c", "n", "drop"), "c").where("rank <= of - drop").select("token", "c", "pos", "n")
+    sizes = kept.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    active = materialize(kept.join(sizes, "token"), "index")
+    discard(shared)
+    sets = _sets(docs, active, classes, q, id_col, text_col)
 
     gone = None  # classes that an earlier one matches
-    active, turn = shared, 0
-    largest = shared.agg(F.max("size")).first()[0] or 0
+    turn = 0
+    largest = active.agg(F.max("size")).first()[0] or 0
     keys = classes.select("c", "key")
     while largest and turn <= max(0, math.floor(math.log2(largest)) - int(math.log2(AT_ONCE)) + 1):
         now, before = _centre(turn), _centre(turn - 1)
@@ -101,8 +99,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
         needed = (F.col("n_a") + F.col("n_b")) * percent
         close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (most * (100 + percent) >= needed)
         pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.col("c_a") < F.col("c_b"))) & ~(F.col("gone_a") & F.col("gone_b")) & close)
-        pairs = materialize(pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "pairs")
-        found = _verified(docs, pairs, classes, percent, q, id_col, text_col)
+        pairs = pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
+        found = _verified(pairs, sets, percent)
         later = found.join(keys.select(F.col("c").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("c").alias("b"), F.col("key").alias("key_b")), "b").select(F.when(F.col("key_a") > F.col("key_b"), F.col("a")).otherwise(F.col("b")).alias("c"))
         gone = materialize((later if gone is None else later.unionAll(gone)).distinct(), "gone")
         active = materialize(active.drop("gone").where(F.floor(F.log2("size")) - int(math.log2(AT_ONCE)) + 1 > turn).where(F.col("size") > AT_ONCE), "active")
@@ -125,18 +123,22 @@ def _centre(turn: int) -> Column:
     return (F.col("size") <= AT_ONCE) | (level >= F.floor(F.log2("size")) - int(math.log2(AT_ONCE)) + 1 - turn)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, q: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full token sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = materialize(classes.join(wanted, "c", "left_semi").select("c", "t1", "t2", F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), F.col("key.th").alias("th")), "wanted")
+def _sets(docs: DataFrame, index: DataFrame, classes: DataFrame, q: int, id_col: str, text_col: str) -> DataFrame:
+    """(c, tokens) of the classes in the index, read from the first line of each."""
+    wanted = classes.join(index.select("c").distinct(), "c", "left_semi").select("c", F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), F.col("key.th").alias("th"))
+    wanted = materialize(wanted, "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
     lines = _lines(docs, id_col, text_col)
-    on = [lines.t1 == wanted.t1, lines.t2 == wanted.t2, lines.line_no == wanted.line_no, lines.th == wanted.th, lines.doc_id.eqNullSafe(wanted.doc_id)]
+    on = [lines.th == wanted.th, lines.line_no == wanted.line_no, lines.doc_id.eqNullSafe(wanted.doc_id)]
     found = lines.join(F.broadcast(wanted) if few else wanted, on).select("c", "line")
-    sets = materialize(_with_tokens(found, q).dropDuplicates(["c"]), "tokens")
+    return materialize(_with_tokens(found, q), "tokens")  # a repeated document's lines come out repeated
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full token sets are similar enough."""
     full = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return full.withColumn("both", both).where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b")
+    return full.withColumn("both", both).where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b").distinct()
 
 
 def summary(docs: DataFrame, percent: int = 80, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
