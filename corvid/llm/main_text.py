@@ -13,6 +13,7 @@ as bad.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,6 +66,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
     """Candidate blocks in page order: (text, linked characters, number of the article it lies in or 0, in a list)."""
     out: list[tuple[str, int, int, bool]] = []
     open_: list[tuple[str, str]] = []  # names and what they begin: "", "aside", "comments", "article"
+    many: Counter[str] = Counter()  # of each name in open_
     said: list[str] = []
     linked = anchors = aside = articles = 0
     article = 0
@@ -73,12 +75,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         nonlocal linked
         if said:
             if text := " ".join("".join(said).split()):
-                out.append((text, min(linked, len(text)), article, any(n == "li" for n, _ in open_)))
+                out.append((text, min(linked, len(text)), article, many["li"] > 0))
             said.clear()
         linked = 0
 
     def close(name: str) -> None:
         nonlocal aside, anchors, article
+        if not many[name]:
+            return
         for k in range(len(open_) - 1, -1, -1):
             if open_[k][0] == name:
                 break
@@ -87,6 +91,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         else:
             return
         for n, kind in open_[k:]:
+            many[n] -= 1
             aside -= kind in ("aside", "comments")
             anchors -= n == "a"
             if kind == "article":
@@ -109,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
                 if not aside:
                     flush()
                 if name == "p":
-                    close_open_p(open_)
+                    many["p"] -= close_open_p(open_)
                 elif name == "body":
                     close("head")
             kind = ""
@@ -132,6 +137,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
             aside += kind in ("aside", "comments")
             anchors += name == "a"
             open_.append((name, kind))
+            many[name] += 1
         elif what == "close":
             if name in BLOCK and not aside:
                 flush()
@@ -140,15 +146,16 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def close_open_p(open_: list[tuple[str, str]]) -> None:
-    """A paragraph ends the one before it, when nothing but inline elements is open in between."""
+def close_open_p(open_: list[tuple[str, str]]) -> bool:
+    """A paragraph ends the one before it, when nothing but inline elements is open in between; whether there was one."""
     for k in range(len(open_) - 1, -1, -1):
         n, kind = open_[k]
         if n == "p" and not kind:
             open_[k] = ("", "")
-            return
+            return True
         if n in BLOCK:
-            return
+            return False
+    return False
 
 
 def first_pass(text: str, linked: int, in_article: bool, in_list: bool) -> str:
