@@ -90,6 +90,12 @@ def sweep(name: str, keep: DataFrame) -> None:
         _remove(keep.sparkSession, path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove every scratch table of this driver: for when no result that reads one is still wanted."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -13,7 +13,9 @@ rarity, each line can therefore leave out its d = min(e, ceil(n * percent) - 1)
 most frequent, and one shared token is still there.  Rarity is exact: in how many
 distinct lines of the corpus a token is among the first.  Tokens of one line only
 come first and need no index, so a line with p of them is compared with nothing;
-that is what keeps apart lines that merely share a passage.
+that is what keeps apart lines that merely share a passage.  Pairs are then tested by
+length, by the places of the shared token, and by bitmaps of their tokens, all before
+any token set is looked at.
 
 A token that many lines keep all the same isn't expanded into all pairs: a few
 members are compared with all others first, then twice as many each turn, and
@@ -23,6 +25,7 @@ lines that have been removed are no longer compared with each other.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ from corvid.llm.common import SPACE, discard, materialize, with_runs
 
 #: Up to so many members of a token are compared with each other at once.
 AT_ONCE = 64
+#: A bitmap of a line's tokens, so many words of 64 bits.  Two lines differ in at least as many tokens as their bitmaps in bits.
+MAPS = ("m0", "m1", "m2", "m3")
 #: Candidate classes up to this number (16 bytes each) are broadcast to the scan that fetches their tokens.
 BROADCAST_CLASSES = 2_000_000
 
@@ -82,6 +87,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
     active = materialize(kept.join(sizes, "token"), "index")
     discard(shared)
     sets = _sets(docs, active, classes, q, id_col, text_col)
+    active = active.join(sets.select("c", *MAPS).dropDuplicates(["c"]), "c")
 
     gone = None  # classes that an earlier one matches
     turn = 0
@@ -93,11 +99,12 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
             active = active.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
         else:
             active = active.withColumn("gone", F.lit(False))
-        a = active.where(now & ~before).select("token", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "gone")))
-        b = active.where(~before).select("token", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "gone")), now.alias("also"))
+        a = active.where(now & ~before).select("token", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "gone", *MAPS)))
+        b = active.where(~before).select("token", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "gone", *MAPS)), now.alias("also"))
+        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MAPS))
         most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
         needed = (F.col("n_a") + F.col("n_b")) * percent
-        close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (most * (100 + percent) >= needed)
+        close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (most * (100 + percent) >= needed) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
         pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.col("c_a") < F.col("c_b"))) & ~(F.col("gone_a") & F.col("gone_b")) & close)
         pairs = pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
         found = _verified(pairs, sets, percent)
@@ -124,14 +131,18 @@ def _centre(turn: int) -> Column:
 
 
 def _sets(docs: DataFrame, index: DataFrame, classes: DataFrame, q: int, id_col: str, text_col: str) -> DataFrame:
-    """(c, tokens) of the classes in the index, read from the first line of each."""
+    """(c, tokens, MAPS) of the classes in the index, read from the first line of each."""
     wanted = classes.join(index.select("c").distinct(), "c", "left_semi").select("c", F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), F.col("key.th").alias("th"))
     wanted = materialize(wanted, "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
     lines = _lines(docs, id_col, text_col)
     on = [lines.th == wanted.th, lines.line_no == wanted.line_no, lines.doc_id.eqNullSafe(wanted.doc_id)]
     found = lines.join(F.broadcast(wanted) if few else wanted, on).select("c", "line")
-    return materialize(_with_tokens(found, q), "tokens")  # a repeated document's lines come out repeated
+    bit = lambda x: F.pmod(x, F.lit(64)).cast("int")
+    of = lambda x: F.pmod(F.shiftright(x, 6), F.lit(len(MAPS)))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), bit(x))
+    maps = {m: F.aggregate(F.filter("tokens", lambda x: of(x) == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x))) for k, m in enumerate(MAPS)}  # noqa: B023
+    return materialize(_with_tokens(found, q).withColumns(maps), "tokens")  # a repeated document's lines come out repeated
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
