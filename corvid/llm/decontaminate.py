@@ -11,6 +11,7 @@ holds for them too.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -158,9 +159,18 @@ def shared_spans(docs: DataFrame, bench: DataFrame, t: int = 10, k: int = 5, id_
     return out
 
 
+#: The index that this Python worker uses; the next task of the same pass finds it built.
+_INDEX: dict[str, Index] = {}
+
+
 def _pass(rows, t: int, k: int, first: bool, keep_text: bool):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(rows.value, t, k)
+        if name not in _INDEX:
+            _INDEX.clear()
+            _INDEX[name] = Index(rows.value, t, k)
+        index = _INDEX[name]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
