@@ -9,8 +9,9 @@ A sequence in which all neighbours are compatible is the one that repeated
 best-first merging gives, so the result is exact and the work linear.
 
 No piece has a space mark after another character (checked when the model is
-loaded), so merging never crosses the place before a run of space marks; these
-segments are encoded apart and remembered.
+loaded), so merging never crosses the place before a run of space marks, nor that
+between two characters that no piece has side by side; the segments in between
+are encoded apart and remembered.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceCodec:
     """Encoder and decoder for one model; ``raw`` is the content of its file."""
 
-    def __init__(self, raw: bytes, remembered: int = 300_000):
+    def __init__(self, raw: bytes, remembered: int = 500_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -112,13 +113,20 @@ class PieceCodec:
         self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
-        alone = "".join(c for c in "\n\t" if not any(c in p and len(p) > 1 for p in self.ids))
-        body = f"[^{MARK}{alone}]"
-        self.segments = re.compile(f"{MARK}*{body}+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
+        # characters other than letters that no piece joins with anything but each other: runs of them stand apart
+        beside = {(x, y) for p in self.ids for x, y in zip(p, p[1:]) if MARK not in (x, y)}
+        apart = {c for c in (*map(chr, range(128)), *(c for p in self.ids for c in p)) if not c.isalpha() and c != MARK}
+        while mixed := {c for x, y in beside for c in (x, y) if (x in apart) != (y in apart)} & apart:
+            apart -= mixed
+        marks = "".join(map(re.escape, sorted(apart)))
+        self.segments = re.compile(f"{MARK}*[^{MARK}{marks}]+|{MARK}+" + (f"(?:[{marks}]+)?|[{marks}]+" if marks else "")).findall
         self.compatible: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.shorter: dict[str, str] = {}
+        self.decimal = [b"%d" % i for i in range(len(self.pieces))]
+        self.spoken = [p.replace(MARK, " ") if k == NORMAL else UNKNOWN_SURFACE if k == UNKNOWN else "" for p, k in zip(self.pieces, self.kinds)]
         self.memory = _Segments(self, remembered)
 
     def merged(self, text: str) -> list[str]:
@@ -150,37 +158,52 @@ class PieceCodec:
             known = self.whole[piece] = len(piece) == 1 or self.merged(piece) == [piece]
         return known
 
+    def next_shorter(self, piece: str) -> str:
+        """The longest piece that is a prefix of this one, at the end its first character; empty for one character."""
+        found = self.shorter.get(piece)
+        if found is None:
+            found = self.shorter[piece] = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if k == 1 or piece[:k] in self.ids), "")
+        return found
+
     def split(self, text: str) -> list[str]:
         """The pieces of one segment, characters outside the vocabulary as they are."""
         n = len(text)
         longest: list[str | None] = [None] * n
-        for end, piece in self.automaton.iter(text):
-            longest[end - len(piece) + 1] = piece  # later ends are longer
-        ids, failed, out, at = self.ids, bytearray(n + 1), [], 0
-        piece = n and (longest[0] or text[0])
+        for end, (reach, piece) in self.automaton.iter(text):
+            longest[end - reach] = piece  # later ends are longer
+        known, failed, out, at = self.compatible.get, bytearray(n + 1), [], 0
+        piece, last = n and (longest[0] or text[0]), ""
         while at < n:
             while piece:
-                end = at + len(piece)
-                if not failed[end] and self.stands(piece) and (not out or self.fits(out[-1], piece)):
-                    break
-                piece = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if k == 1 or piece[:k] in ids), "")
+                if not failed[at + len(piece)]:
+                    good = known((last, piece)) if last else self.stands(piece)
+                    if good or good is None and self.fits(last, piece):
+                        break
+                piece = self.next_shorter(piece)
             if piece:
                 out.append(piece)
-                at = end
+                at += len(piece)
+                last = piece
                 if at < n:
                     piece = longest[at] or text[at]
             else:
                 failed[at] = 1
                 if not out:
                     return self.merged(text)  # not reached with a vocabulary made by merging
-                last = out.pop()
-                at -= len(last)
-                piece = next((last[:k] for k in range(len(last) - 1, 0, -1) if k == 1 or last[:k] in ids), "")
+                gone = out.pop()
+                at -= len(gone)
+                last = out[-1] if out else ""
+                piece = self.next_shorter(gone)
         return out
 
     def segment_ids(self, text: str) -> list[int]:
+        pieces = self.split(text)
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:  # characters outside the vocabulary
+            pass
         ids: list[int] = []
-        for piece in self.split(text):
+        for piece in pieces:
             k = self.ids.get(piece)
             if k is not None:
                 ids.append(k)
@@ -199,6 +222,8 @@ class PieceCodec:
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids, space marks as spaces; runs of byte pieces as UTF-8, a bad byte as U+FFFD."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.spoken[k] for k in ids])
         out, run = [], bytearray()
         for k in ids:
             if (b := self.byte_of.get(k)) is not None:
@@ -207,8 +232,7 @@ class PieceCodec:
             if run:
                 out.append(run.decode("utf-8", "corvid-each-byte"))
                 run.clear()
-            kind = self.kinds[k]
-            out.append(self.pieces[k].replace(MARK, " ") if kind == NORMAL else UNKNOWN_SURFACE if kind == UNKNOWN else "")
+            out.append(self.spoken[k])
         if run:
             out.append(run.decode("utf-8", "corvid-each-byte"))
         return "".join(out)
@@ -222,19 +246,24 @@ class PieceCodec:
 
 
 class _Segments(dict):
-    """segment -> (decimal ids joined by commas, number of ids, decoded text), up to a bound."""
+    """segment -> (decimal ids joined by commas, number of ids, decoded text), in two generations of bounded size."""
 
     def __init__(self, codec: PieceCodec, bound: int):
         super().__init__()
-        self.codec, self.bound = codec, bound
+        self.codec, self.bound, self.old = codec, bound // 2, {}
 
     def __missing__(self, segment: str) -> tuple[bytes, int, str]:
-        ids = self.codec.segment_ids(segment)
-        got = b",".join(b"%d" % k for k in ids), len(ids), self.codec.surface(ids)
-        if len(segment) <= 64:  # what is longer hardly comes back
-            if len(self) >= self.bound:
-                self.clear()
-            self[segment] = got
+        got = self.old.get(segment)
+        if got is None:
+            codec = self.codec
+            ids = codec.segment_ids(segment)
+            got = b",".join([codec.decimal[k] for k in ids]), len(ids), codec.surface(ids)
+            if len(segment) > 64:  # hardly comes back
+                return got
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[segment] = got
         return got
 
 
