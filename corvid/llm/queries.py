@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm import decontaminate, license_scan, line_dedup, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
 from corvid.llm.common import table
+from corvid.llm.oracles import oracle_sql  # noqa: F401  the SQL twins of these queries
 
 
 def piece_model_path() -> str:
@@ -77,7 +78,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_main_text": op10_main_text,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": license_scan.ORACLE, "op8_quality": quality.ORACLE}
