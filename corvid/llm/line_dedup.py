@@ -19,7 +19,7 @@ any token set is looked at.
 
 A token that many lines keep all the same isn't expanded into all pairs: a few
 members are compared with all others first, then twice as many each turn, and
-lines that have been removed are no longer compared with each other.
+a line that has been removed is no longer compared with earlier ones.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from corvid.llm.common import SPACE, discard, materialize, with_runs
 
 #: Up to so many members of a token are compared with each other at once.
-AT_ONCE = 64
+AT_ONCE = 8
 #: A bitmap of a line's tokens, so many words of 64 bits.  Two lines differ in at least as many tokens as their bitmaps in bits.
 MAPS = ("m0", "m1", "m2", "m3")
-#: Candidate classes up to this number (16 bytes each) are broadcast to the scan that fetches their tokens.
+#: Candidate classes up to this number (40 bytes each) are broadcast to the scan that fetches their tokens.
 BROADCAST_CLASSES = 2_000_000
 
 
@@ -72,9 +72,9 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
     drop = F.least(F.lit(spare), alike - 1)
     head = F.slice("tokens", F.lit(1), n - alike + 1 + spare)
     classes = classes.select("t1", "t2", _key().alias("key"), n.alias("n"), drop.alias("drop"), head.alias("head"))
-    classes = classes.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("drop").alias("drop"), F.first("head").alias("head"))
+    classes = classes.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("drop").alias("drop"), F.first("head").alias("head"), F.count("*").alias("copies"))
     heads = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "lines")
-    classes = materialize(heads.select("c", "t1", "t2", "key", "n", "drop"), "classes")
+    classes = materialize(heads.select("c", "t1", "t2", "key", "n", "drop", "copies"), "classes")
 
     prefix = heads.select("c", F.posexplode("head").alias("pos", "token"))
     often = prefix.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
@@ -82,7 +82,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
     discard(heads)
     own = Window.partitionBy("c")
     ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("often", "token")), "of": F.count("*").over(own)})
-    kept = ranked.join(classes.select("c", "n", "drop"), "c").where("rank <= of - drop").select("token", "c", "pos", "n")
+    kept = ranked.join(classes.select("c", "n", "drop", "key"), "c").where("rank <= of - drop").select("token", "c", "pos", "n", "key")
     sizes = kept.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     active = materialize(kept.join(sizes, "token"), "index")
     discard(shared)
@@ -92,32 +92,34 @@ def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4
     gone = None  # classes that an earlier one matches
     turn = 0
     largest = active.agg(F.max("size")).first()[0] or 0
-    keys = classes.select("c", "key")
     while largest and turn <= max(0, math.floor(math.log2(largest)) - int(math.log2(AT_ONCE)) + 1):
         now, before = _centre(turn), _centre(turn - 1)
         if gone is not None:
             active = active.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
         else:
             active = active.withColumn("gone", F.lit(False))
-        a = active.where(now & ~before).select("token", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "gone", *MAPS)))
-        b = active.where(~before).select("token", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "gone", *MAPS)), now.alias("also"))
+        a = active.where(now & ~before).select("token", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "key", "gone", *MAPS)))
+        b = active.where(~before).select("token", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "key", "gone", *MAPS)), now.alias("also"))
         apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MAPS))
         most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
         needed = (F.col("n_a") + F.col("n_b")) * percent
         close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (most * (100 + percent) >= needed) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-        pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.col("c_a") < F.col("c_b"))) & ~(F.col("gone_a") & F.col("gone_b")) & close)
-        pairs = pairs.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct()
-        found = _verified(pairs, sets, percent)
-        later = found.join(keys.select(F.col("c").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("c").alias("b"), F.col("key").alias("key_b")), "b").select(F.when(F.col("key_a") > F.col("key_b"), F.col("a")).otherwise(F.col("b")).alias("c"))
+        pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.col("c_a") < F.col("c_b"))) & ~F.when(F.col("key_a") > F.col("key_b"), F.col("gone_a")).otherwise(F.col("gone_b")) & close)
+        first = F.col("key_a") < F.col("key_b")
+        pairs = pairs.select(F.when(first, F.col("c_a")).otherwise(F.col("c_b")).alias("a"), F.when(first, F.col("c_b")).otherwise(F.col("c_a")).alias("b")).distinct()
+        later = _verified(pairs, sets, percent).select(F.col("b").alias("c"))
         gone = materialize((later if gone is None else later.unionAll(gone)).distinct(), "gone")
         active = materialize(active.drop("gone").where(F.floor(F.log2("size")) - int(math.log2(AT_ONCE)) + 1 > turn).where(F.col("size") > AT_ONCE), "active")
         largest = active.agg(F.max("size")).first()[0] or 0
         turn += 1
 
-    judged = classes.select("t1", "t2", "key", "c")
+    judged = classes.select("t1", "t2", "key", "c", "copies")
     judged = judged.join(gone.withColumn("whole", F.lit(True)), "c", "left") if gone is not None else judged.withColumn("whole", F.lit(None).cast("boolean"))
-    lines = _lines(docs, id_col, text_col).select("doc_id", "th", "line_no", "t1", "t2")
-    out = lines.join(judged.select("t1", "t2", "key", F.coalesce("whole", F.lit(False)).alias("whole")), ["t1", "t2"])
+    judged = judged.select("t1", "t2", "key", F.coalesce("whole", F.lit(False)).alias("whole"), "copies").where("whole or copies > 1").drop("copies")
+    judged = materialize(judged, "judged")  # the classes that lose lines
+    if judged.count() <= BROADCAST_CLASSES:
+        judged = F.broadcast(judged)
+    out = _lines(docs, id_col, text_col).select("doc_id", "th", "line_no", "t1", "t2").join(judged, ["t1", "t2"])
     return out.where(F.col("whole") | (_key() != F.col("key"))).select("doc_id", "th", "line_no").distinct()
 
 
@@ -135,7 +137,9 @@ def _sets(docs: DataFrame, index: DataFrame, classes: DataFrame, q: int, id_col:
     wanted = classes.join(index.select("c").distinct(), "c", "left_semi").select("c", F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), F.col("key.th").alias("th"))
     wanted = materialize(wanted, "wanted")
     few = wanted.count() <= BROADCAST_CLASSES
-    lines = _lines(docs, id_col, text_col)
+    some = wanted.select(F.col("th").alias("_wanted_th")).distinct()  # whole documents first, then lines
+    some = docs.join(F.broadcast(some) if few else some, F.xxhash64(F.col(text_col).cast("string")) == F.col("_wanted_th"), "left_semi")
+    lines = _lines(some, id_col, text_col)
     on = [lines.th == wanted.th, lines.line_no == wanted.line_no, lines.doc_id.eqNullSafe(wanted.doc_id)]
     found = lines.join(F.broadcast(wanted) if few else wanted, on).select("c", "line")
     bit = lambda x: F.pmod(x, F.lit(64)).cast("int")
@@ -146,8 +150,14 @@ def _sets(docs: DataFrame, index: DataFrame, classes: DataFrame, q: int, id_col:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full token sets are similar enough."""
-    full = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
+    """The pairs (a the earlier line) whose full token sets are similar enough."""
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("c")).distinct().unionAll(pairs.select(F.col("b").alias("c")).distinct()).distinct()
+    n = ids.count()
+    if not n:
+        return pairs
+    some = sets.join(F.broadcast(ids) if n <= BROADCAST_CLASSES else ids, "c", "left_semi")
+    full = pairs.join(some.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(some.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return full.withColumn("both", both).where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b").distinct()
 
