@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corvid.llm.common import SPACE, discard, materialize, with_runs
 
 #: Up to so many members of a token are compared with each other at once.
-AT_ONCE = 8
+AT_ONCE = 2
 #: A bitmap of a line's tokens, so many words of 64 bits.  Two lines differ in at least as many tokens as their bitmaps in bits.
 MAPS = ("m0", "m1", "m2", "m3")
 #: Candidate classes up to this number (40 bytes each) are broadcast to the scan that fetches their tokens.
