@@ -429,15 +429,21 @@ WITH s AS (SELECT p_partkey::VARCHAR AS fqn, p_type AS name, p_brand AS file, p_
 e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_suppkey) AS edge_id, p_brand AS from_file, p_type AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0),
 f AS (SELECT name, file, arg_min(fqn, (ls, fqn)) AS fqn FROM s GROUP BY ALL), a AS (SELECT name, arg_min(fqn, (file, ls, fqn)) AS fqn FROM s GROUP BY ALL)
 SELECT edge_id, coalesce(f.fqn, a.fqn) AS out_fqn, (CASE WHEN f.fqn IS NULL THEN 4 ELSE 3 END)::BIGINT AS level FROM e JOIN a ON a.name = to_name LEFT JOIN f ON f.name = to_name AND f.file = from_file""")
-def resolve_edges(spark, d):
+def resolve_edges(spark, d, only="l_orderkey % 4 = 0"):
     p = _t(spark, d, "part")
     s = p.select(F.col("p_partkey").cast("string").alias("fqn"), F.col("p_type").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line_start"), F.col("p_size").alias("line_end"))
-    e = _t(spark, d, "lineitem").where("l_orderkey % 4 = 0").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = _t(spark, d, "lineitem").where(only).join(p, F.col("l_partkey") == F.col("p_partkey"))
     none = F.lit(None).cast("string")
     e = e.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey").alias("edge_id"), F.col("p_brand").alias("from_file"), none.alias("from_fqn"), F.col("p_type").alias("to_name"), F.col("l_linenumber").alias("line"), none.alias("import_path"))
     return graph.resolve(e, s).select("edge_id", "out_fqn", F.col("level").cast("long").alias("level"))
 
 
+@_register(_SQL["resolve_edges"].replace(" WHERE l_orderkey % 4 = 0", ""))
+def resolve_edges_whole(spark, d):
+    """resolve_edges over all of lineitem."""
+    return resolve_edges(spark, d, "true")
+
+
 _SYM_ROWS = [("a1", "foo", "src/a/one.py", 3, 5), ("a2", "foo", "src/b/two.py", 1, 2), ("a3", "foo", "src/b/gen_pb2.py", 1, 2), ("b1", "bar", "lib/x_pb2.py", 1, 1), ("b2", "bar", "lib/y.py", 9, 9), ("c1", "baz", "pkg/deep/mod.c", 4, 8), ("c2", "baz", "pkg/other.c", 2, 3)]
 _EDGE_ROWS = [(1, "src/b/three.py", "foo", None), (2, "src/b/two.py", "foo", None), (3, "src/b/x.py", "foo", "two"), (4, "lib/z.py", "bar", None), (5, "lib/x_pb2.py", "bar", None), (6, "m.c", "baz", "deep/mod.c"), (7, "m.c", "baz", "nowhere/mod.h"), (8, "q.py", "none", None)]
 
@@ -595,14 +601,20 @@ _EDGES = "e AS (SELECT p_brand AS in_file, 'Brand#' || (l_suppkey % 5 + 1) || (l
 
 
 @_register(f"WITH {_VERSIONS}, {_EDGES} SELECT DISTINCT file FROM (SELECT 'Brand#11' AS file UNION ALL SELECT in_file FROM e WHERE out_file IN (SELECT file FROM dl WHERE change = 'removed' AND name LIKE '%A%') UNION ALL SELECT in_file FROM e WHERE to_name IN (SELECT name FROM dl WHERE change = 'added' AND name LIKE '%A%'))")
-def blast_radius(spark, d):
+def blast_radius(spark, d, only="l_orderkey % 50 = 0"):
     delta = incremental.surface_delta(*_versions(spark, d)).where("name like '%A%'")
-    e = _t(spark, d, "lineitem").where("l_orderkey % 50 = 0").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    e = _t(spark, d, "lineitem").where(only).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     e = e.select(F.col("p_brand").alias("in_file"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_suppkey") % 4 + 1).cast("string")).alias("out_file"), F.col("p_type").alias("to_name"), F.col("p_brand").alias("from_file"))
     changed = spark.createDataFrame([("Brand#11",)], "file string")
     return incremental.blast_radius(changed, delta, e, e)
 
 
+@_register(_SQL["blast_radius"].replace(" WHERE l_orderkey % 50 = 0", ""))
+def blast_radius_whole(spark, d):
+    """blast_radius over all of lineitem."""
+    return blast_radius(spark, d, "true")
+
+
 _RE = """
 WITH s AS (SELECT p_partkey::VARCHAR AS fqn, p_type AS name, p_brand AS file, p_size AS ls FROM part WHERE p_partkey % 4 <> 0),
 e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_suppkey) AS edge_id, p_brand AS from_file, p_type AS to_name, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 40 = 0),
@@ -611,12 +623,12 @@ SELECT edge_id AS in_fqn, coalesce(f.fqn, a.fqn) AS out_fqn FROM e JOIN a ON a.n
 
 
 @_register(_RE)
-def incremental_resolve(spark, d):
+def incremental_resolve(spark, d, only="l_orderkey % 40 = 0"):
     """The old graph with only the affected files resolved again; the SQL resolves everything anew."""
     p = _t(spark, d, "part")
     of = lambda m: p.where(F.col("p_partkey") % m != 0).select(F.col("p_partkey").cast("string").alias("fqn"), F.col("p_type").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line_start"), F.col("p_size").alias("line_end"))
     before, after = of(6), of(4)
-    e = _t(spark, d, "lineitem").where("l_orderkey % 40 = 0").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = _t(spark, d, "lineitem").where(only).join(p, F.col("l_partkey") == F.col("p_partkey"))
     key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey")
     raw = e.select(key.alias("edge_id"), F.col("p_brand").alias("from_file"), key.alias("from_fqn"), F.col("p_type").alias("to_name"), F.col("l_linenumber").alias("line"), F.lit(None).cast("string").alias("import_path"))
     old = graph.resolve(raw, before).select("in_fqn", "out_fqn", "line", "in_file", "out_file")
@@ -625,6 +637,12 @@ def incremental_resolve(spark, d):
     return incremental.re_resolved(old, radius, raw, after).select("in_fqn", "out_fqn")
 
 
+@_register(_RE.replace(" WHERE l_orderkey % 40 = 0", ""))
+def incremental_resolve_whole(spark, d):
+    """incremental_resolve over all of lineitem."""
+    return incremental_resolve(spark, d, "true")
+
+
 @_register("SELECT doc_id, doc_id % 3 = 0 AS hit FROM documents d WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) AND doc_id % 3 = 0 UNION ALL SELECT doc_id, true FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, false FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
 def cache_split(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
