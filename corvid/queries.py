@@ -222,8 +222,8 @@ def turn_budget(spark, d):
 _CHUNKS = """c AS (SELECT l_orderkey, l_linenumber, 'f' || (l_orderkey % 50) || '.py' AS file, (l_orderkey % 400 + l_linenumber * 3)::INT AS line_start, (l_orderkey % 400 + l_linenumber * 3 + (l_quantity / 5)::INT)::INT AS line_end, round(l_extendedprice, 2) AS score FROM lineitem WHERE l_orderkey % 20 = 0)"""
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+def _chunks(spark: SparkSession, d: str, only: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").where(only)
     start = (F.col("l_orderkey") % 400 + F.col("l_linenumber") * 3).cast("int")
     return li.select(
         F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string"), F.lit(".py")).alias("file"),
@@ -243,14 +243,20 @@ m(file, n, s, e, score, k) AS (
   SELECT p.file, p.n, CASE WHEN fits THEN m.s ELSE p.line_start END, CASE WHEN fits THEN greatest(m.e, p.line_end) ELSE p.line_end END, CASE WHEN fits THEN greatest(m.score, p.score) ELSE p.score END, CASE WHEN fits THEN m.k ELSE m.k + 1 END
   FROM (SELECT p.*, p.line_start <= m.e + 2 AND greatest(m.e, p.line_end) - m.s + 1 <= 60 AS fits, m.s, m.e, m.score AS ms, m.k FROM m JOIN p ON p.file = m.file AND p.n = m.n + 1) p JOIN m ON m.file = p.file AND m.n = p.n - 1)
 SELECT file, min(s)::BIGINT AS line_start, max(e)::BIGINT AS line_end, max(score) AS score FROM m GROUP BY file, k""")
-def interval_merge_capped(spark, d):
-    c = _chunks(spark, d).groupBy("file", "line_start", "line_end").agg(F.max("score").alias("score"))
+def interval_merge_capped(spark, d, only="l_orderkey % 20 = 0"):
+    c = _chunks(spark, d, only).groupBy("file", "line_start", "line_end").agg(F.max("score").alias("score"))
     none = F.lit(None).cast("string")
     full = c.withColumns({"rank": F.col("score"), "content": none, "symbol": none, "symbol_fqn": none, "symbol_kind": none, "duplicates": F.array().cast("array<string>")})
     out = intervals.merged_capped(full, ["file"])
     return out.select("file", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "score")
 
 
+@_register(_SQL["interval_merge_capped"].replace(" WHERE l_orderkey % 20 = 0", ""))
+def interval_merge_capped_whole(spark, d):
+    """interval_merge_capped over all of lineitem."""
+    return interval_merge_capped(spark, d, "true")
+
+
 _LINES = "i AS (SELECT l_orderkey AS file, l_linenumber * 2 AS ls, l_linenumber * 2 + floor(l_quantity / 10)::INT AS le, l_partkey AS part, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem)"
 
 

@@ -16,3 +16,9 @@ def test_every_order_is_resolved(spark, sf_dir, name, key):
 @pytest.mark.parametrize("name", [n for n in queries.queries() if n.endswith("_whole")])
 def test_sql_of_a_whole_query_has_no_slice(name):
     assert "WHERE l_orderkey %" not in queries.oracle_sql().get(name, "")
+
+
+def test_every_file_is_merged(spark, sf_dir):
+    files = {r.file for r in queries.queries()["interval_merge_capped_whole"](spark, sf_dir).collect()}
+    orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey % 50 AS f").distinct()
+    assert files == {f"f{r.f}.py" for r in orders.collect()}
