@@ -294,8 +294,11 @@ def overlap_join_bucketed(spark, d):
     return both.groupBy("file").agg(F.count("*").alias("pairs"), F.sum(F.least("le", "e") - F.greatest("ls", "s") + 1).cast("long").alias("shared"))
 
 
-def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+_TENTH = "l_orderkey % 10 = 0"
+
+
+def _numbered(spark: SparkSession, d: str, only: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").where(only)
     start = F.col("l_linenumber") * 2
     return li.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").alias("file"), start.alias("ls"), (start + F.floor(F.col("l_quantity") / 10).cast("int")).alias("le"))
 
@@ -304,40 +307,64 @@ _NUMBERED = "i AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_
 
 
 @_register(f"WITH {_NUMBERED}, p AS (SELECT file, ls + 1 AS line FROM i GROUP BY ALL), r AS (SELECT p.file, p.line, i.id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY i.le - i.ls, i.ls DESC, i.id DESC) AS n FROM p JOIN i ON p.file = i.file AND i.ls <= p.line AND i.le >= p.line) SELECT p.file, p.line::BIGINT AS line, coalesce(r.id, '<module>') AS enclosing FROM p LEFT JOIN r ON p.file = r.file AND p.line = r.line AND r.n = 1")
-def deepest_enclosing(spark, d):
-    i = _numbered(spark, d)
+def deepest_enclosing(spark, d, only=_TENTH):
+    i = _numbered(spark, d, only)
     p = i.select("file", (F.col("ls") + 1).alias("line")).distinct().withColumn("k", F.concat_ws(":", "file", "line"))
     outer = i.select("file", F.col("ls").alias("s"), F.col("le").alias("e"), "id")
     out = intervals.enclosing(p.withColumn("line2", F.col("line")), outer, ["file"], "k", ("line", "line2", "s", "e"), "id", F.lit("<module>"))
     return out.select("file", F.col("line").cast("long").alias("line"), "enclosing")
 
 
+@_register(_SQL["deepest_enclosing"].replace(f" WHERE {_TENTH}", ""))
+def deepest_enclosing_whole(spark, d):
+    """deepest_enclosing over all of lineitem."""
+    return deepest_enclosing(spark, d, "true")
+
+
 @_register(f"WITH {_NUMBERED}, c AS (SELECT DISTINCT file, ls AS cs, ls + 2 AS ce FROM i WHERE ls % 4 = 0) SELECT DISTINCT c.file, cs::BIGINT AS cs, greatest(ls, cs)::BIGINT AS span_start, least(le, ce)::BIGINT AS span_end FROM c JOIN i ON c.file = i.file AND i.ls <= ce AND i.le >= cs WHERE NOT (ls <= cs AND le >= ce)")
-def candidate_spans(spark, d):
-    i = _numbered(spark, d)
-    c = i.where("ls % 4 = 0").select("file", F.col("ls").alias("cs"), (F.col("ls") + 2).alias("ce")).distinct()
+def candidate_spans(spark, d, only=_TENTH, candidates="ls % 4 = 0"):
+    i = _numbered(spark, d, only)
+    c = i.where(candidates).select("file", F.col("ls").alias("cs"), (F.col("ls") + 2).alias("ce")).distinct()
     out = intervals.spans(c, i, ["file"], ("cs", "ce", "ls", "le"))
     return out.select("file", *(F.col(x).cast("long").alias(x) for x in ("cs", "span_start", "span_end")))
 
 
+@_register(_SQL["candidate_spans"].replace(f" WHERE {_TENTH}", "").replace(" WHERE ls % 4 = 0", ""))
+def candidate_spans_whole(spark, d):
+    """candidate_spans over all of lineitem, every start a candidate."""
+    return candidate_spans(spark, d, "true", "true")
+
+
 @_register(f"WITH {_NUMBERED}, c AS (SELECT DISTINCT file, ls + 1 AS cs, ls + 3 AS ce FROM i), r AS (SELECT id, cs, ce, row_number() OVER (PARTITION BY id ORDER BY cs, ce) AS n FROM i JOIN c ON c.file = i.file AND c.cs <= i.le AND c.ce >= i.ls) SELECT id, cs::BIGINT AS cs, ce::BIGINT AS ce FROM r WHERE n = 1")
-def first_overlap(spark, d):
-    i = _numbered(spark, d)
+def first_overlap(spark, d, only=_TENTH):
+    i = _numbered(spark, d, only)
     c = i.select("file", (F.col("ls") + 1).alias("cs"), (F.col("ls") + 3).alias("ce")).distinct()
     out = intervals.first_overlap(i, c, ["file"], "id", ("ls", "le", "cs", "ce"))
     return out.select("id", F.col("cs").cast("long").alias("cs"), F.col("ce").cast("long").alias("ce"))
 
 
+@_register(_SQL["first_overlap"].replace(f" WHERE {_TENTH}", ""))
+def first_overlap_whole(spark, d):
+    """first_overlap over all of lineitem."""
+    return first_overlap(spark, d, "true")
+
+
 @_register(f"""WITH {_NUMBERED}, b AS (SELECT DISTINCT file, file || ':' || ls AS k, ls + 1 AS bs, ls + 2 AS be FROM i),
 j AS (SELECT k, id, ls BETWEEN bs AND be AS inside, ls < bs AND le >= bs AS around, le - ls AS len, ls FROM b JOIN i ON b.file = i.file AND ls <= be AND le >= bs),
 r AS (SELECT *, bool_or(inside) OVER (PARTITION BY k) AS has_in, row_number() OVER (PARTITION BY k ORDER BY around DESC, len, ls DESC, id) AS n FROM j)
 SELECT k, id FROM r WHERE CASE WHEN has_in THEN inside ELSE n = 1 AND around END""")
-def block_symbols(spark, d):
-    i = _numbered(spark, d)
+def block_symbols(spark, d, only=_TENTH):
+    i = _numbered(spark, d, only)
     b = i.select("file", F.concat_ws(":", "file", "ls").alias("k"), (F.col("ls") + 1).alias("bs"), (F.col("ls") + 2).alias("be")).distinct()
     return intervals.block_symbols(b, i, ["file"], "k", ("bs", "be", "ls", "le"), "id").select("k", "id")
 
 
+@_register(_SQL["block_symbols"].replace(f" WHERE {_TENTH}", ""))
+def block_symbols_whole(spark, d):
+    """block_symbols over all of lineitem."""
+    return block_symbols(spark, d, "true")
+
+
 @_register("""SELECT * FROM (VALUES (1, '1-7,10-14'), (2, '4-6'), (3, ''), (4, '1-100')) AS v(k, ranges)""")
 def tidy_ranges(spark, d):
     rows = [(1, [(3, 5), (12, 12), (2, 4)]), (2, [(5, 5)]), (3, []), (4, [(1, 60), (50, 99)])]
@@ -724,14 +751,20 @@ h AS (SELECT i.id, coalesce(bool_or(c.s <= i.ls AND c.e >= i.le), false) AS whol
 p AS (SELECT c.file, c.s, c.e, count(i.id) AS n FROM c LEFT JOIN i ON c.file = i.file AND i.ls <= c.e AND i.le >= c.s GROUP BY ALL)
 SELECT (SELECT count(*) FROM c)::BIGINT AS chunks, round((SELECT 1.0 - count(DISTINCT t)::DOUBLE / count(*) FROM c), 6) AS copies, (SELECT n_over FROM o)::BIGINT AS "overlaps", round((SELECT avg(CASE WHEN whole THEN 0.0 ELSE 1.0 END) FROM h), 6) AS cut,
  (SELECT count(*) FROM p WHERE n = 0)::BIGINT AS with_0, (SELECT count(*) FROM p WHERE n = 1)::BIGINT AS with_1, (SELECT count(*) FROM p WHERE n = 2)::BIGINT AS with_2, (SELECT count(*) FROM p WHERE n >= 3)::BIGINT AS with_3""")
-def chunk_shape(spark, d):
-    i = _numbered(spark, d)
+def chunk_shape(spark, d, only=_TENTH):
+    i = _numbered(spark, d, only)
     s = i.select("file", F.col("ls").alias("line_start"), F.col("le").alias("line_end"), F.col("id").alias("fqn"))
     c = i.select("file", F.col("ls").alias("line_start"), (F.col("ls") + 1).alias("line_end"), (F.col("file") % 3).cast("string").alias("content")).distinct()
     out = metrics.chunk_shape(c, s)
     return out.select("chunks", F.round("copies", 6).alias("copies"), F.col("overlaps").cast("long").alias("overlaps"), F.round("cut", 6).alias("cut"), *(F.col(f"with_{k}").cast("long").alias(f"with_{k}") for k in range(4)))
 
 
+@_register(_SQL["chunk_shape"].replace(f" WHERE {_TENTH}", ""))
+def chunk_shape_whole(spark, d):
+    """chunk_shape over all of lineitem."""
+    return chunk_shape(spark, d, "true")
+
+
 @_register("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM labels) WHERE p IN (SELECT (i * n) // 37 FROM range(0, 37) t(i), (SELECT count(*) AS n FROM labels))")
 def strided_sample(spark, d):
     return metrics.strided(_t(spark, d, "labels").select("doc_id"), ["doc_id"], 37)

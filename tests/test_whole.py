@@ -22,3 +22,11 @@ def test_every_file_is_merged(spark, sf_dir):
     files = {r.file for r in queries.queries()["interval_merge_capped_whole"](spark, sf_dir).collect()}
     orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey % 50 AS f").distinct()
     assert files == {f"f{r.f}.py" for r in orders.collect()}
+
+
+@pytest.mark.parametrize("name, key, of", [("deepest_enclosing_whole", "file", "true"), ("first_overlap_whole", "split(id, ':')[0]", "l_quantity >= 10")])
+def test_every_order_has_its_intervals(spark, sf_dir, name, key, of):
+    """Symbols of one line, of l_quantity below 10, need not overlap a chunk."""
+    got = queries.queries()[name](spark, sf_dir).selectExpr(f"cast({key} AS bigint) AS o").distinct()
+    orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(of).selectExpr("cast(l_orderkey AS bigint) AS o").distinct()
+    assert not orders.exceptAll(got).count()
