@@ -562,6 +562,14 @@ def content_keys(spark, d):
     return docs.select("doc_id", F.md5(text.content_key(F.col("text"))).alias("k"))
 
 
+@_register(r"""WITH x AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END AS t FROM documents),
+k AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda s: regexp_replace(s, '[\s\x{0B}\x{85}\p{Z}]+$', '')), chr(10)) AS k FROM x)
+SELECT doc_id, CASE WHEN regexp_matches(k, '[^\s\x{0B}\x{85}\p{Z}]') THEN md5(k) END AS k FROM k""")
+def content_keys_whole(spark, d):
+    """content_keys of every document, blank lines and final line ends included."""
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.content_key(F.col("text"))).alias("k"))
+
+
 @_register("""WITH RECURSIVE x AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text <> ''),
 z AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(list_transform(l, lambda s: length(regexp_replace(s, '\\s', '', 'g')))) AS w FROM x),
 m AS (SELECT doc_id, max(i) AS n FROM z GROUP BY doc_id),
@@ -876,18 +884,42 @@ def pruned_rows(spark, d):
 
 
 @_register("SELECT row_number() OVER (ORDER BY n_chars % 10 DESC, doc_id) - 1 AS pos, doc_id, (n_chars % 10) / 10.0::DOUBLE AS relevance FROM documents WHERE doc_id < 30")
-def reranked(spark, d):
-    docs = _t(spark, d, "documents").where("doc_id < 30").select("doc_id", "n_chars", F.col("doc_id").alias("pos"))
+def reranked(spark, d, docs=None):
+    docs = docs or _t(spark, d, "documents").where("doc_id < 30").select("doc_id", "n_chars", F.col("doc_id").alias("pos"))
     return ranking.rerank(docs, "q", lambda q, rows: [(r["n_chars"] % 10) / 10 for r in rows]).select("pos", "doc_id", "relevance")
 
 
+_LONGEST = "p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents QUALIFY pos < {k})"
+
+
+def _longest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """A pool for ranking: the k longest texts of the whole table, in places from 0."""
+    from pyspark.sql import Window
+
+    order = [F.desc("n_chars"), F.col("doc_id")]
+    top = _t(spark, d, "documents").select("doc_id", "n_chars").orderBy(*order).limit(k)
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+
+
+@_register(f"WITH {_LONGEST.format(k=30)} SELECT row_number() OVER (ORDER BY n_chars % 10 DESC, pos) - 1 AS pos, doc_id, (n_chars % 10) / 10.0::DOUBLE AS relevance FROM p")
+def reranked_whole(spark, d):
+    """reranked on the top of the whole table."""
+    return reranked(spark, d, _longest(spark, d, 30))
+
+
 @_register("SELECT doc_id AS pos, doc_id, NULL::DOUBLE AS relevance FROM documents WHERE doc_id < 30")
-def rerank_degraded(spark, d):
+def rerank_degraded(spark, d, docs=None):
     """A scorer that fails leaves the order as it is."""
-    docs = _t(spark, d, "documents").where("doc_id < 30").select("doc_id", F.col("doc_id").alias("pos"))
+    docs = docs or _t(spark, d, "documents").where("doc_id < 30").select("doc_id", F.col("doc_id").alias("pos"))
     return ranking.rerank(docs, "q", lambda q, rows: [1.0]).select("pos", "doc_id", "relevance")
 
 
+@_register(f"WITH {_LONGEST.format(k=30)} SELECT pos, doc_id, NULL::DOUBLE AS relevance FROM p")
+def rerank_degraded_whole(spark, d):
+    """rerank_degraded on the top of the whole table."""
+    return rerank_degraded(spark, d, _longest(spark, d, 30))
+
+
 @_register("SELECT * FROM (VALUES ('/Foo/bar/a.py', false, 'a.py'), ('/foobar/a.py', false, 'a.py'), ('/foo/bar/test/b.py', true, 'test/b.py'), ('/foo', true, 'foo'), ('/foo\\x.c', true, 'x.c')) v(file, inside, relative)")
 def repo_paths(spark, d):
     df = spark.createDataFrame([("/Foo/bar/a.py",), ("/foobar/a.py",), ("/foo/bar/test/b.py",), ("/foo",), ("/foo\\x.c",)], "file string")
@@ -901,11 +933,17 @@ def vec_quantised(spark, d):
 
 
 @_register("SELECT page_id FROM pages WHERE contains(url, '/en/') AND page_id % 3 = 0")
-def all_filters(spark, d):
-    p = _t(spark, d, "pages").where("page_id % 3 = 0").select("page_id", F.concat("url", F.lit("x.py")).alias("file"), F.lit("parse_file").alias("symbol"), F.lit(None).cast("string").alias("symbol_kind"))
+def all_filters(spark, d, only="page_id % 3 = 0"):
+    p = _t(spark, d, "pages").where(only).select("page_id", F.concat("url", F.lit("x.py")).alias("file"), F.lit("parse_file").alias("symbol"), F.lit(None).cast("string").alias("symbol_kind"))
     return filters.apply(p, plans.Filters(kinds=["class"], languages=["py"], paths=["/en/"], names=["parse"])).select("page_id")
 
 
+@_register(_SQL["all_filters"].replace(" AND page_id % 3 = 0", ""))
+def all_filters_whole(spark, d):
+    """all_filters over all pages."""
+    return all_filters(spark, d, "true")
+
+
 @_register("SELECT * FROM (VALUES (1, 'f', 'callers: a, b +1 more'), (2, 'g', ''), (3, 'x.py', 'callers: z')) v(id, short, tag)")
 def name_tags(spark, d):
     df = spark.createDataFrame([(1, "x.py::C::f", ["a", "b", "c"]), (2, "x.py::g", []), (3, "x.py", ["z"])], "id int, fqn string, names array<string>")
@@ -932,14 +970,21 @@ def identity_fence(spark, d):
 
 
 @_register("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, doc_id) AS place FROM documents WHERE doc_id < 40")
-def hand_written_first(spark, d):
+def hand_written_first(spark, d, docs=None):
     from pyspark.sql import Window
 
-    docs = _t(spark, d, "documents").where("doc_id < 40").select("doc_id", F.col("doc_id").alias("pos"), F.concat(F.lit("a/"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, "_pb2.py").otherwise(".py")).alias("file"))
+    docs = docs or _t(spark, d, "documents").where("doc_id < 40").select("doc_id", F.col("doc_id").alias("pos"))
+    docs = docs.select("doc_id", "pos", F.concat(F.lit("a/"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, "_pb2.py").otherwise(".py")).alias("file"))
     out = ranking.hand_written_first(docs)
     return out.withColumn("place", F.row_number().over(Window.orderBy(paths.is_generated(F.col("file")), "pos")).cast("long")).select("doc_id", "place")
 
 
+@_register(f"WITH {_LONGEST.format(k=40)} SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, pos) AS place FROM p")
+def hand_written_first_whole(spark, d):
+    """hand_written_first on the top of the whole table."""
+    return hand_written_first(spark, d, _longest(spark, d, 40))
+
+
 @_register("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
 def cache_purge(spark, d):
     o = _t(spark, d, "orders").withColumn("used_at", F.unix_seconds(F.col("o_orderdate").cast("timestamp")))

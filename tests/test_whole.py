@@ -30,3 +30,17 @@ def test_every_order_has_its_intervals(spark, sf_dir, name, key, of):
     got = queries.queries()[name](spark, sf_dir).selectExpr(f"cast({key} AS bigint) AS o").distinct()
     orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(of).selectExpr("cast(l_orderkey AS bigint) AS o").distinct()
     assert not orders.exceptAll(got).count()
+
+
+def test_every_document_has_a_key_and_no_layout_counts(spark, sf_dir, tmp_path):
+    assert queries.queries()["content_keys_whole"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    rows = [(1, "a\n\nb \n"), (3, "a\r\n\nb"), (5, "a\nb"), (7, " \n\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    k = {r.doc_id: r.k for r in queries.queries()["content_keys_whole"](spark, str(tmp_path)).collect()}
+    assert k[1] == k[3] != k[5] and k[7] is None
+
+
+@pytest.mark.parametrize("name, k", [("reranked_whole", 30), ("rerank_degraded_whole", 30), ("hand_written_first_whole", 40)])
+def test_pools_are_the_top_of_the_whole_table(spark, sf_dir, name, k):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("n_chars", "doc_id", ascending=[False, True]).limit(k)
+    assert {r.doc_id for r in queries.queries()[name](spark, sf_dir).collect()} == {r.doc_id for r in docs.collect()}
