@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors.
 
     What is read again later is the table, so the shuffle files behind it go as soon as it is written.

@@ -1,183 +1,191 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct runs of five words (of fewer, the whole line).
-Equal lines are one class, found by a 128-bit hash of their text.  Classes are
-joined by prefix, length and position, candidates verified on the full token
-sets, and a line goes if an earlier one, by document id and line number, has a
-Jaccard similarity of at least ``percent``.
-
-Prefix.  In the order of token hashes two lines that similar share at least
-min(e + 1, ceil(n * percent)) of their first p + e tokens, p being the usual
-prefix, n the size of either and e ``spare``.  Of these tokens, ordered by
-rarity, each line can therefore leave out its d = min(e, ceil(n * percent) - 1)
-most frequent, and one shared token is still there.  Rarity is exact: in how many
-distinct lines of the corpus a token is among the first.  Tokens of one line only
-come first and need no index, so a line with p of them is compared with nothing;
-that is what keeps apart lines that merely share a passage.  Pairs are then tested by
-length, by the places of the shared token, and by bitmaps of their tokens, all before
-any token set is looked at.
-
-A token that many lines keep all the same isn't expanded into all pairs: a few
-members are compared with all others first, then twice as many each turn, and
-a line that has been removed is no longer compared with earlier ones.
+A line's tokens are its distinct words.  Equal lines are one class, found by a 128-bit hash of their text.  Classes are
+joined by prefix, length and position, candidates verified on the full token sets, and a line goes if an earlier one, by
+document id and line number, has a Jaccard similarity of at least ``percent``.
+
+Rarity.  How many distinct lines have a token is counted over the whole corpus into ``cells`` counters, a token's counter
+being chosen by its hash; so the counts that every task needs have a fixed size, whatever the vocabulary, and go into the
+plan as one array (a subquery may not stand in an array function).  All tokens are ordered by their counter, in steps of
+an eighth of a factor of two, then by hash.  Any one order makes the prefix filter exact; tokens that share a counter are
+merely taken for more frequent than they are.
+
+Filters.  Two lines of n and m tokens that are similar share a token among the first n - ceil(n * percent) + 1 of either,
+and at the first that they share there are still enough tokens left in both (position).  Their sizes are close (length),
+and the parities of their tokens' hash bits differ in no more places than their sets do in tokens (bitmap).  One semi-join
+of the prefixes by token with these filters leaves the lines that have any partner; all others are done with.
+
+Turns.  Among what is left a token isn't expanded into all pairs of its lines.  First the earliest line of each token is
+compared with the others; lines that it removes are done with.  For those that remain a few members are compared, chosen
+by hash, then eight times as many each turn, until every earlier line has been.  So a family of near-equal lines costs
+about one pair a line, and no link is lost.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import SPACE, discard, materialize, with_runs
+from corvid.llm.common import SPACE, discard, materialize
 
-#: Up to so many members of a token are compared with each other at once.
-AT_ONCE = 2
-#: A bitmap of a line's tokens, so many words of 64 bits.  Two lines differ in at least as many tokens as their bitmaps in bits.
-MAPS = ("m0", "m1", "m2", "m3")
-#: Candidate classes up to this number (40 bytes each) are broadcast to the scan that fetches their tokens.
-BROADCAST_CLASSES = 2_000_000
+#: Counters of the tokens' frequencies.
+CELLS = 1 << 18
+#: A token's lines up to so many are compared with each other at once; beyond, by turns, each with 2**GROWTH times as many.
+AT_ONCE, GROWTH = 16, 3
+#: Ids and hashes are broadcast up to so many rows (of at most 48 bytes), joined by a shuffle beyond.
+BROADCAST_ROWS = 300_000
+_MAPS = ("m0", "m1")
+_KEY = ("doc_id", "line_no", "th")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (a hash of the text), line_no from 0, line, t1, t2: lines with a word."""
     text = F.col(text_col).cast("string")
     rows = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64("line", F.lit(7))})
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64(F.lit(7), "line")})
 
 
-def _with_tokens(lines: DataFrame, q: int) -> DataFrame:
-    """``lines`` with tokens, the distinct hashes of a line's q-word runs in hash order, in place of line."""
-    plain = F.split("line", " ")
-    w = F.array_remove(F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.split("line", SPACE)).otherwise(plain), "")
-    runs = with_runs(lines.withColumn("w", w), "w", q, "runs")
-    tokens = F.when(F.size("w") >= q, F.sort_array(F.array_distinct("runs"))).otherwise(F.array(F.xxhash64("w")))
-    return runs.withColumn("tokens", tokens).drop("w", "runs", "line")
+def _tokens(line: str = "line") -> Column:
+    """Hashes of a line's distinct words."""
+    w = F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
 
 
-def _key() -> Column:
-    return F.struct("doc_id", "line_no", "th")
+def _frequencies(classes: DataFrame, cells: int) -> Column:
+    """An array: of each counter the binary logarithm of its count in eighths."""
+    cell = F.pmod("t", F.lit(cells)).cast("int").alias("cell")
+    counted = classes.select(F.explode(_tokens()).alias("t")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
+    levels = [0] * cells
+    for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
+        levels[r[0]] = r[1]
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, q: int = 5, spare: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _prefixes(classes: DataFrame, levels: Column, cells: int, percent: int) -> DataFrame:
+    """token, pos, c, n, m0, m1: the first tokens of each class in order of rarity, with the class's size and bitmaps."""
+    level = lambda x: F.coalesce(F.element_at(levels, F.pmod(x, F.lit(cells)).cast("int") + 1).cast("long"), F.lit(0).cast("long"))
+    in_order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 52).bitwiseOR(F.shiftrightunsigned(x, 12))))
+    half = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))  # noqa: E731  each token flips one bit of one of two maps
+    flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
+    zero = F.lit(0).cast("long")
+    m0 = F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(flip(half(x).bitwiseXOR(F.lit(1)), x)))
+    m1 = F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(flip(half(x), x)))
+    rows = classes.select("c", _tokens().alias("tokens"))
+    rows = rows.select("c", F.size("tokens").alias("n"), in_order.alias("o"), m0.alias("m0"), m1.alias("m1"))
+    alike = F.ceil(F.col("n") * percent / 100).cast("int")
+    head = F.slice("o", F.lit(1), F.col("n") - alike + 1)
+    return rows.select(F.posexplode(head).alias("pos", "token"), "c", "n", *_MAPS)
+
+
+def _close(a: str, b: str, percent: int) -> Column:
+    """Whether the token that ``a`` and ``b`` share may be the first of a similar pair: length, position, bitmaps."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    length = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
+    position = F.least(x("n") - x("pos"), y("n") - y("pos")) * (100 + percent) >= (x("n") + y("n")) * percent
+    apart = reduce(lambda s, t: s + t, (F.bit_count(x(m).bitwiseXOR(y(m))) for m in _MAPS))
+    return (x("c") != y("c")) & length & position & (apart * (100 + percent) <= (x("n") + y("n")) * (100 - percent))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """(doc_id, th, line_no) of every line to remove; th is xxhash64 of the document's text.
 
-    A line without a word is never removed.  Lines of fewer than ``q`` words match equal ones only.  Rows with the same id
-    and text are one document and lose the same lines.  A null id sorts first.
+    A line without a word is never removed.  Rows with the same id and text are one document and lose the same lines.  A
+    null id sorts first.
     """
-    classes = _with_tokens(_lines(docs, id_col, text_col), q)
-    n = F.size("tokens")
-    alike = F.ceil(n * percent / 100).cast("int")
-    drop = F.least(F.lit(spare), alike - 1)
-    head = F.slice("tokens", F.lit(1), n - alike + 1 + spare)
-    classes = classes.select("t1", "t2", _key().alias("key"), n.alias("n"), drop.alias("drop"), head.alias("head"))
-    classes = classes.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("drop").alias("drop"), F.first("head").alias("head"), F.count("*").alias("copies"))
-    heads = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "lines")
-    classes = materialize(heads.select("c", "t1", "t2", "key", "n", "drop", "copies"), "classes")
-
-    prefix = heads.select("c", F.posexplode("head").alias("pos", "token"))
-    often = prefix.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared = materialize(prefix.join(often, "token"), "prefixes")
-    discard(heads)
-    own = Window.partitionBy("c")
-    ranked = shared.withColumns({"rank": F.row_number().over(own.orderBy("often", "token")), "of": F.count("*").over(own)})
-    kept = ranked.join(classes.select("c", "n", "drop", "key"), "c").where("rank <= of - drop").select("token", "c", "pos", "n", "key")
-    sizes = kept.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    active = materialize(kept.join(sizes, "token"), "index")
-    discard(shared)
-    sets = _sets(docs, active, classes, q, id_col, text_col)
-    active = active.join(sets.select("c", *MAPS).dropDuplicates(["c"]), "c")
-
-    gone = None  # classes that an earlier one matches
-    turn = 0
-    largest = active.agg(F.max("size")).first()[0] or 0
-    while largest and turn <= max(0, math.floor(math.log2(largest)) - int(math.log2(AT_ONCE)) + 1):
-        now, before = _centre(turn), _centre(turn - 1)
-        if gone is not None:
-            active = active.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-        else:
-            active = active.withColumn("gone", F.lit(False))
-        a = active.where(now & ~before).select("token", *(F.col(x).alias(f"{x}_a") for x in ("c", "n", "pos", "key", "gone", *MAPS)))
-        b = active.where(~before).select("token", *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "key", "gone", *MAPS)), now.alias("also"))
-        apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in MAPS))
-        most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-        needed = (F.col("n_a") + F.col("n_b")) * percent
-        close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (most * (100 + percent) >= needed) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-        pairs = a.join(b, "token").where((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.col("c_a") < F.col("c_b"))) & ~F.when(F.col("key_a") > F.col("key_b"), F.col("gone_a")).otherwise(F.col("gone_b")) & close)
-        first = F.col("key_a") < F.col("key_b")
-        pairs = pairs.select(F.when(first, F.col("c_a")).otherwise(F.col("c_b")).alias("a"), F.when(first, F.col("c_b")).otherwise(F.col("c_a")).alias("b")).distinct()
-        later = _verified(pairs, sets, percent).select(F.col("b").alias("c"))
-        gone = materialize((later if gone is None else later.unionAll(gone)).distinct(), "gone")
-        active = materialize(active.drop("gone").where(F.floor(F.log2("size")) - int(math.log2(AT_ONCE)) + 1 > turn).where(F.col("size") > AT_ONCE), "active")
-        largest = active.agg(F.max("size")).first()[0] or 0
-        turn += 1
-
-    judged = classes.select("t1", "t2", "key", "c", "copies")
-    judged = judged.join(gone.withColumn("whole", F.lit(True)), "c", "left") if gone is not None else judged.withColumn("whole", F.lit(None).cast("boolean"))
-    judged = judged.select("t1", "t2", "key", F.coalesce("whole", F.lit(False)).alias("whole"), "copies").where("whole or copies > 1").drop("copies")
-    judged = materialize(judged, "judged")  # the classes that lose lines
-    if judged.count() <= BROADCAST_CLASSES:
-        judged = F.broadcast(judged)
-    out = _lines(docs, id_col, text_col).select("doc_id", "th", "line_no", "t1", "t2").join(judged, ["t1", "t2"])
-    return out.where(F.col("whole") | (_key() != F.col("key"))).select("doc_id", "th", "line_no").distinct()
+    lines = _lines(docs, id_col, text_col)
+    classes = lines.groupBy("t1", "t2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("copies"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", "first.line"), "lines", "zstd")
+
+    prefixes = _prefixes(classes, _frequencies(classes, cells), cells, percent)
+    a, b = prefixes.alias("a"), prefixes.alias("b")
+    active = materialize(a.join(b, (F.col("a.token") == F.col("b.token")) & _close("a", "b", percent), "left_semi"), "active")
+    wanted = materialize(active.select("c").distinct(), "wanted")
+    sets = materialize(classes.join(_few(wanted), "c", "left_semi").select("c", "key", "t1", "t2", _tokens().alias("tokens")), "sets")
+    gone = _gone(active, sets, percent)
+    discard(wanted, active)
+
+    # the classes that lose lines: whole ones, and of others all lines but the first
+    judged = gone.select("t1", "t2", F.lit(None).cast(classes.schema["key"].dataType).alias("key")).unionAll(classes.where("copies > 1").select("t1", "t2", "key"))
+    judged = materialize(judged, "judged")
+    out = _lines(docs, id_col, text_col).select(*_KEY, "t1", "t2").join(_few(judged), ["t1", "t2"])  # a line that is everywhere: a skewed join's large side is split
+    discard(classes)
+    return out.where(F.col("key").isNull() | (F.struct(*_KEY) != F.col("key"))).select(*_KEY).distinct()
+
+
+def _gone(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(c, t1, t2) of the classes that an earlier one matches."""
+    members = materialize(active.join(sets.select("c", "key"), "c"), "members")
+    groups = members.groupBy("token").agg(F.min(F.struct("key", "c", "n", "pos", *_MAPS)).alias("least"), F.count("*").alias("size"))
+    groups = materialize(groups.where("size > 1"), "groups")
+    earliest = groups.select("token", "least.*")
+    close = (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _close("a", "b", percent)
+    pairs = lambda a, b, more=F.lit(True): a.alias("a").join(b.alias("b"), close & more).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    gone = materialize(_verified(pairs(earliest, members), sets, percent), "gone")
+    # lines that remain, where another than the earliest of their token may still match
+    late = members.join(groups.select("token", "size", F.col("least.key").alias("from")), "token").where("key > from and size > 2").drop("from")
+    left = materialize(late.join(_few(gone), "c", "left_anti"), "remain")
+    turn, largest = 0, left.agg(F.max("size")).first()[0]
+    while largest:
+        sized = members.join(_few(materialize(left.select("token", "size").distinct(), "tokens")), "token")
+        centres = sized.where(_centre(turn))
+        found = pairs(centres, left, ~_before(turn))
+        more = materialize(_verified(found, sets, percent), "more")
+        both = materialize(gone.unionAll(more), "gone")
+        rest = materialize(left.where(F.col("size") > AT_ONCE << (GROWTH * turn)).join(_few(more), "c", "left_anti"), "remain")
+        discard(gone, more, left)
+        gone, left = both, rest
+        turn, largest = turn + 1, left.agg(F.max("size")).first()[0]
+    out = sets.select("c", "t1", "t2").join(_few(gone), "c", "left_semi")
+    return materialize(out, "whole")
+
+
+def _level(c: str, size: str, turn: int) -> Column:
+    """Whether a member of a token's ``size`` lines is compared with all others by this turn: about AT_ONCE * 2**(GROWTH * turn) are."""
+    h = F.xxhash64(c)
+    zeros = F.bit_count(h.bitwiseAND(-h) - F.lit(1))  # at the end of the hash: k or more with a chance of 2**-k
+    most = AT_ONCE << (GROWTH * turn)
+    return (F.col(size) <= most) | (zeros >= F.ceil(F.log2(F.col(size) / most)))
 
 
 def _centre(turn: int) -> Column:
-    """Whether a member of a token's lines is compared with all others by this turn: about AT_ONCE * 2**turn are."""
-    if turn < 0:
-        return F.lit(False)
-    h = F.xxhash64("c")
-    level = F.bit_count(h.bitwiseAND(-h) - F.lit(1))
-    return (F.col("size") <= AT_ONCE) | (level >= F.floor(F.log2("size")) - int(math.log2(AT_ONCE)) + 1 - turn)
-
-
-def _sets(docs: DataFrame, index: DataFrame, classes: DataFrame, q: int, id_col: str, text_col: str) -> DataFrame:
-    """(c, tokens, MAPS) of the classes in the index, read from the first line of each."""
-    wanted = classes.join(index.select("c").distinct(), "c", "left_semi").select("c", F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), F.col("key.th").alias("th"))
-    wanted = materialize(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_CLASSES
-    some = wanted.select(F.col("th").alias("_wanted_th")).distinct()  # whole documents first, then lines
-    some = docs.join(F.broadcast(some) if few else some, F.xxhash64(F.col(text_col).cast("string")) == F.col("_wanted_th"), "left_semi")
-    lines = _lines(some, id_col, text_col)
-    on = [lines.th == wanted.th, lines.line_no == wanted.line_no, lines.doc_id.eqNullSafe(wanted.doc_id)]
-    found = lines.join(F.broadcast(wanted) if few else wanted, on).select("c", "line")
-    bit = lambda x: F.pmod(x, F.lit(64)).cast("int")
-    of = lambda x: F.pmod(F.shiftright(x, 6), F.lit(len(MAPS)))
-    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), bit(x))
-    maps = {m: F.aggregate(F.filter("tokens", lambda x: of(x) == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(one(x))) for k, m in enumerate(MAPS)}  # noqa: B023
-    return materialize(_with_tokens(found, q).withColumns(maps), "tokens")  # a repeated document's lines come out repeated
+    return _level("c", "size", turn)
+
+
+def _before(turn: int) -> Column:
+    """Whether the pair's first line was compared in an earlier turn."""
+    return _level("a.c", "a.size", turn - 1) if turn else F.lit(False)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a the earlier line) whose full token sets are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("c")).distinct().unionAll(pairs.select(F.col("b").alias("c")).distinct()).distinct()
-    n = ids.count()
-    if not n:
-        return pairs
-    some = sets.join(F.broadcast(ids) if n <= BROADCAST_CLASSES else ids, "c", "left_semi")
-    full = pairs.join(some.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(some.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return full.withColumn("both", both).where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b").distinct()
-
-
-def summary(docs: DataFrame, percent: int = 80, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(c) of the later lines of the pairs whose full token sets are similar enough."""
+    x, y = (sets.select(F.col("c").alias(s), F.col("tokens").alias(t)) for s, t in (("a", "x"), ("b", "y")))
+    full = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return full.where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select(F.col("b").alias("c")).distinct()
+
+
+def summary(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """One row per input row: doc_id, n_lines (with a word), n_removed and removed (their numbers, from 0, sorted).
 
     Null and empty texts have no lines.  Other columns aren't read.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
-    gone = removed_lines(docs, percent, q, id_col=id_col, text_col=text_col).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    gone = removed_lines(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
     out = rows.alias("r").join(gone.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.th") == F.col("g.th")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("r.doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def dedup(docs: DataFrame, percent: int = 80, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """``docs`` with the lines to remove taken out of the text; all columns and rows stay, a text may become empty."""
-    gone = removed_lines(docs, percent, q, id_col=id_col, text_col=text_col).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone"))
+    gone = removed_lines(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"), "_gone")
     text = F.col(text_col).cast("string")
     out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_th")), "left")

@@ -23,9 +23,9 @@ FROM d LEFT JOIN p ON d.k = p.k LEFT JOIN t ON d.k = t.k
 LINE_DEDUP = f"""
 WITH x AS (SELECT doc_id, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
 y AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS k, doc_id, line_no, regexp_extract_all(line, {_WORD}) AS w FROM x WHERE regexp_matches(line, {_WORD})),
-t AS (SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM y)),
-n AS (SELECT k, count(*) AS n FROM t GROUP BY k),
-p AS (SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+n AS (SELECT k, list_distinct(w) AS u, len(list_distinct(w)) AS n FROM y),
+t AS (SELECT k, n, unnest(u) AS g FROM n),
+p AS (SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.k < b.k AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 GROUP BY ALL),
 r AS (SELECT DISTINCT kb AS k FROM p JOIN n na ON na.k = ka JOIN n nb ON nb.k = kb WHERE c * 100 >= 80 * (na.n + nb.n - c)),
 g AS (SELECT doc_id, count(*) AS total, count(r.k) AS gone, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (r.k IS NOT NULL) AS removed FROM y LEFT JOIN r ON y.k = r.k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(total, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
