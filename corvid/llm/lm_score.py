@@ -3,17 +3,22 @@
 The model mixes maximum-likelihood estimates of bigrams, of single words and a
 uniform one, P(w|v) = l2 c(vw)/c(v) + l1 c(w)/N + l0 1/(V+1).  The weights depend
 on how often the context v occurs: one set for each power of two of c(v).  They
-are learned by expectation-maximisation on held-out counts: the training texts
-are cut into blocks, each block in turn is deleted from the counts, and its
-tokens are the held-out ones for what remains.
-
-Counting.  Texts are packed into blocks.  A block sends the distinct hashes of
-its words and word pairs, sorted and coded by differences, to the ranges of hash
-values they fall into; a range adds up what all blocks sent and answers each
-block with the totals, in the order in which it asked.  So each key crosses the
-network once a block, however often it occurs, and no key's rows meet in one
-place in a number beyond that of the blocks.  Words have 64-bit hashes; pairs so
-many bits that a pair shares its hash with another by a chance below 2**-22.
+are learned by expectation-maximisation on held-out counts: a hash of its id
+puts each training text into one of ``FOLDS`` parts, each part in turn is
+deleted from the counts, and its tokens are the held-out ones for what remains.
+So the weights follow from the texts alone, not from how they lie in files.
+
+Counting.  Texts of one part are packed into blocks.  A block sends the distinct
+hashes of its words and word pairs, sorted and coded by differences, to the
+ranges of hash values they fall into; a range adds up what all blocks sent and
+answers each block with the totals, and with those that remain without its part,
+in the order in which it asked.  So each key crosses the network once a block,
+however often it occurs, and no key's rows meet in one place in a number beyond
+that of the blocks.  There is a row for each block and range, so their number is
+(bytes / block_bytes) * (bytes / range_bytes): on machines that hold larger blocks
+both are to be raised with the corpus, so that a row has a thousand keys or so.
+Words have 64-bit hashes; pairs so many bits that a pair shares its hash with
+another by a chance below 2**-22.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ END, START = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b" ", b"  "))  #
 WORD, PAIR = 0, 1
 #: Context-frequency buckets: none, 1, 2-3, 4-7, ...
 BUCKETS = 48
+#: Parts of the training texts that are deleted in turn.
+FOLDS = 4
 #: Steps of the held-out histogram for each factor of two, and its reach: ratios to the uniform estimate up to 2**64.
 STEPS, REACH = 4, 64
 
@@ -60,23 +67,28 @@ def _pack_texts(rows: list[tuple[int | None, bool, bytes]]) -> bytes:
 
 
 def _blocks(block_bytes: int):
-    """(doc_id, train, text) -> packed blocks."""
+    """(doc_id, train, text, fold) -> packed blocks, each of texts of one fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, n, rows, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        n = TaskContext.get().partitionId() << 32
+        rows: list[list[tuple]] = [[] for _ in range(FOLDS)]
+        size = [0] * FOLDS
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([first + n], pa.int64()), pa.array([_pack_texts(rows)], pa.binary())], ["block", "texts"])
+        def packed(fold: int) -> pa.RecordBatch:
+            nonlocal n
+            cols = [pa.array([n], pa.int64()), pa.array([fold], pa.int32()), pa.array([_pack_texts(rows[fold])], pa.binary()), pa.array([size[fold]], pa.int64())]
+            n, rows[fold], size[fold] = n + 1, [], 0
+            return pa.RecordBatch.from_arrays(cols, ["block", "fold", "texts", "bytes"])
 
         for batch in batches:
-            for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2))):
-                rows.append(r)
-                size += len(r[2]) + 16
-                if size >= block_bytes:
-                    yield row()
-                    n, rows, size = n + 1, [], 0
-        if rows:
-            yield row()
+            for doc, train, text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2)), batch.column(3).to_pylist()):
+                rows[fold].append((doc, train, text))
+                size[fold] += len(text) + 16
+                if size[fold] >= block_bytes:
+                    yield packed(fold)
+        for fold in range(FOLDS):
+            if rows[fold]:
+                yield packed(fold)
 
     return run
 
@@ -120,48 +132,55 @@ def _cuts(keys: np.ndarray, width: int, part_bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-_REQUEST = "part int, kind int, block long, `keys` binary, `counts` binary"
+_REQUEST = "part int, kind int, block long, fold int, `keys` binary, `counts` binary"
 
 
 def _requests(pair_bits: int, part_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, texts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                block, fold, texts = (batch.column(c)[i].as_py() for c in range(3))
                 b = Block(texts, pair_bits)
                 rows = []
                 for kind, width in ((WORD, 64), (PAIR, pair_bits)):
                     keys, own, cuts = b.keys(kind), b.own[kind], _cuts(b.keys(kind), width, part_bits)
                     for part in np.nonzero(np.diff(cuts))[0].tolist():
                         at = slice(cuts[part], cuts[part + 1])
-                        rows.append((part, kind, block, _pack(np.diff(keys[at], prepend=np.uint64(0))), _pack(own[at])))
+                        rows.append((part, kind, block, fold, _pack(np.diff(keys[at], prepend=np.uint64(0))), _pack(own[at])))
                 cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "kind", "block", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "block", "fold", "keys", "counts"])
 
     return run
 
 
-_REPLY = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])
+_REPLY = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("rest", T.BinaryType()), T.StructField("fold", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("v", T.LongType())])
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The totals of one range of keys, for every block that asked; and, with block null, its tokens and distinct keys."""
+    """For every block that asked the totals of one range of keys, and those without its fold; and, with block null, the tokens of each fold in the range, and its distinct keys."""
     keys = [np.cumsum(_unpack(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    all_keys, of = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(of, weights=np.concatenate([_unpack(c).astype(np.float64) for c in table.column("counts").to_pylist()]), minlength=len(all_keys)).astype(np.uint64)
     ends = np.cumsum([len(k) for k in keys])
+    all_keys, of = np.unique(np.concatenate(keys), return_inverse=True)
+    of = of.astype(np.int32 if len(all_keys) < 2**31 else np.int64)
+    folds, blocks = table.column("fold").to_pylist(), table.column("block").to_pylist()
+    by_fold = np.zeros((FOLDS, len(all_keys)), dtype=np.int64)
+    for fold, counts, k, b in zip(folds, table.column("counts").to_pylist(), keys, ends):
+        by_fold[fold, of[b - len(k) : b]] += _unpack(counts).astype(np.int64)  # a block's keys are distinct
+    total = by_fold.sum(axis=0)
     part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
     n = len(keys)
-    replies = [_pack(total[of[b - len(k) : b]]) for k, b in zip(keys, ends)]
-    blocks = table.column("block").to_pylist()
+    asked = [of[b - len(k) : b] for k, b in zip(keys, ends)]
+    no = [None] * FOLDS
     return pa.table(
         {
-            "block": pa.array([*blocks, None], pa.int64()),
-            "part": pa.array([part] * (n + 1), pa.int32()),
-            "kind": pa.array([kind] * (n + 1), pa.int32()),
-            "counts": pa.array([*replies, None], pa.binary()),
-            "n": pa.array([*[None] * n, int(total.sum())], pa.int64()),
-            "v": pa.array([*[None] * n, int((total > 0).sum())], pa.int64()),
+            "block": pa.array(blocks + no, pa.int64()),
+            "part": pa.array([part] * (n + FOLDS), pa.int32()),
+            "kind": pa.array([kind] * (n + FOLDS), pa.int32()),
+            "counts": pa.array([_pack(total[at]) for at in asked] + no, pa.binary()),
+            "rest": pa.array([_pack(total[at] - by_fold[fold, at]) for fold, at in zip(folds, asked)] + no, pa.binary()),
+            "fold": pa.array([None] * n + list(range(FOLDS)), pa.int32()),
+            "n": pa.array([None] * n + by_fold.sum(axis=1).tolist(), pa.int64()),
+            "v": pa.array([None] * n + [int((total > 0).sum())] + [0] * (FOLDS - 1), pa.int64()),
         }
     )
 
@@ -191,17 +210,19 @@ def _step_ratio(step: np.ndarray) -> np.ndarray:
     return np.where(step > 0, 2.0 ** ((step - 0.5) / STEPS - REACH / 2), 0.0)
 
 
-def _held_out(pair_bits: int, n: int, v: int):
-    """Blocks with their totals -> a histogram of their training tokens under the counts without the block."""
+def _held_out(pair_bits: int, rest_of: list[int], v: int):
+    """Blocks with the totals that remain without their fold -> a histogram of their training tokens under these counts.
+
+    ``rest_of``: of each fold the number of training tokens outside it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one block at a time in memory
-                texts, replies = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                b = Block(texts, pair_bits)
+                fold, texts, replies = (batch.column(c)[i].as_py() for c in range(3))
+                b, rest = Block(texts, pair_bits), rest_of[fold]
                 words, pairs = _totals(replies)
-                rest = n - int(b.own[WORD].sum())
-                words, pairs, t = words - b.own[WORD], pairs - b.own[PAIR], b.training
+                t = b.training
                 context = words[b.context_of[t]]
                 p2 = pairs[b.pair_of[t]] / np.maximum(context, 1)
                 p1 = words[b.word_of[t]] / max(rest, 1)
@@ -253,35 +274,34 @@ def held_out_ids(id_col: str, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, range_bytes: int = 8 << 20) -> DataFrame:
     """Score all texts by a bigram model learned from those that aren't held out.
 
     One row per input row: doc_id, held_out, n_tokens, n_known (tokens that occur in training), train_tokens, base_score
     (add-one word model) and score (deleted interpolation), both log10 probabilities of the text with its end.  Words are
     lower-cased in A-Z; every text has an end token.  Null counts as the empty text.  Repeated rows are all counted and
-    scored.  Without training texts all probability is uniform over one unknown token.  Other columns aren't read.
+    scored.  Without training texts all probability is uniform over one unknown token.  Texts with a null id are in one
+    part.  Other columns aren't read.
 
-    The driver gets the two totals and a histogram whose size is bounded by its grid, not by the corpus.
+    The driver gets the totals of the parts and a histogram whose size is bounded by its grid, not by the corpus.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~held_out).alias("train"), F.col(text_col).cast("string").alias("text"))
-    # one more part than a single small input has keeps something to learn from when a block is deleted
-    packed = materialize(rows.mapInArrow(_blocks(block_bytes), "block long, texts binary"), "blocks")
-    size = packed.agg(F.sum(F.octet_length("texts")), F.count("*")).first()
-    if size[1] == 0:
-        return docs.sparkSession.createDataFrame([], _SCORED).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", "score")
-    if size[1] < 8:  # a small input: smaller blocks, so that deletion leaves counts
-        rows = rows.repartition(16, F.xxhash64("doc_id", "text"))
-        packed = materialize(rows.mapInArrow(_blocks(block_bytes), "block long, texts binary"), "blocks")
-        size = packed.agg(F.sum(F.octet_length("texts")), F.count("*")).first()
-    tokens = max(1, size[0])  # of the packed bytes, of which a token takes at least about one
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
+    packed = materialize(rows.mapInArrow(_blocks(block_bytes), "block long, fold int, texts binary, bytes long"), "blocks")
+    tokens = packed.agg(F.sum("bytes")).first()[0]  # a token takes a byte at least
+    if not tokens:
+        return spark.createDataFrame([], _SCORED).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", "score")
     pair_bits = min(64, max(32, math.ceil(math.log2(tokens)) + 22))
-    part_bits = min(24, max(3, math.ceil(math.log2(size[1]))))
-    asked = packed.mapInArrow(_requests(pair_bits, part_bits), _REQUEST)
+    part_bits = min(24, max(3, math.ceil(math.log2(tokens / range_bytes))))
+    asked = packed.select("block", "fold", "texts").mapInArrow(_requests(pair_bits, part_bits), _REQUEST)
     replies = materialize(asked.groupBy("part", "kind").applyInArrow(_answer, _REPLY), "replies")
-    n, v = replies.where(F.col("block").isNull() & (F.col("kind") == WORD)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    each = replies.where(F.col("block").isNotNull()).groupBy("block").agg(F.collect_list(F.struct("part", "kind", "counts")).alias("replies"))
-    known = packed.join(each, "block").select("block", "texts", "replies")
-    cells = known.mapInArrow(_held_out(pair_bits, n, v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    sums = replies.where(F.col("block").isNull() & (F.col("kind") == WORD)).groupBy("fold").agg(F.sum("n"), F.sum("v")).collect()
+    own, v = {r[0]: r[1] for r in sums}, sum(r[2] for r in sums)
+    n = sum(own.values())
+    known = lambda what: packed.join(replies.where(F.col("block").isNotNull()).groupBy("block").agg(F.collect_list(F.struct("part", "kind", F.col(what).alias("counts"))).alias("replies")), "block")
+    found = known("rest").select("fold", "texts", "replies").mapInArrow(_held_out(pair_bits, [n - own.get(f, 0) for f in range(FOLDS)], v), "cell long, n long")
+    cells = materialize(found.groupBy("cell").agg(F.sum("n").alias("n")), "cells").collect()
     weights = learn_weights(np.array([r[0] for r in cells], dtype=np.int64), np.array([r[1] for r in cells], dtype=np.float64))
-    out = known.mapInArrow(_scores(pair_bits, n, v, weights), _SCORED)
+    out = known("counts").select("block", "texts", "replies").mapInArrow(_scores(pair_bits, n, v, weights), _SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
