@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,7 +16,8 @@ BLOCK = frozenset(
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)>""")  # stops at the next "<"
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _ENDS: dict[str, re.Pattern] = {}
 
@@ -28,28 +30,64 @@ def attributes(raw: str) -> dict[str, str]:
     return found
 
 
+class _Ends:
+    """Where a tag ends: the first ">" outside quotes, or without one the first ">".  Built once, from the right, for a page that needs it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.at = [m.start() for m in re.finditer("[\"'>]", page)]
+        self.end, after = [-1] * (len(self.at) + 1), {'"': -1, "'": -1}  # the next quote of each kind, as a place in self.at
+        for i in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[i]]
+            if c == ">":
+                self.end[i] = self.at[i]
+            else:
+                closing = after[c]
+                self.end[i] = self.end[closing + 1 if closing >= 0 else i + 1]  # a quote that isn't closed is a letter
+                after[c] = i
+
+    def of(self, at: int) -> int:
+        found = self.end[bisect_left(self.at, at)]
+        return found if found >= 0 else self.page.find(">", at)
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", "", decoded), ("open", name, raw attributes), ("close", name, ""), and ("raw", name, content) for scripts and the like."""
-    at = 0
-    while at < len(page):
-        m = _MARKUP.search(page, at)
-        if not m:
-            yield "text", "", unescape(page[at:])
-            return
-        if m.start() > at:
-            yield "text", "", unescape(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+    """("text", "", decoded), ("open", name, raw attributes), ("close", name, ""), and ("raw", name, content) for scripts and the like.
+
+    A "<" that begins no tag, and a tag without an end, are text.
+    """
+    at = start = 0  # start: of the text not yet given
+    ends: _Ends | None = None
+    while (at := page.find("<", at)) >= 0:
+        m = _TAG.match(page, at)
+        if m:
+            closing, name, attrs, end = m[1], m[2], m[3], m.end()
+        elif n := _NAME.match(page, at):
+            ends = ends or _Ends(page)
+            if (end := ends.of(n.end()) + 1) <= 0:
+                break
+            closing, name, attrs = n[1], n[2], page[n.end() : end - 1]
+        elif page.startswith(("<!", "<?", "</"), at):
+            close = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            name, end = "", page.find(close, at + 2)
+            end = end + len(close) if end >= 0 else len(page)
+        else:
+            at += 1
+            continue
+        if at > start:
+            yield "text", "", unescape(page[start:at])
+        at = start = end
         if not name:
             continue
         name = name.lower()
-        if m[1] or m[4]:
+        if closing:
             yield "close", name, ""
             continue
-        attrs = m[3] or m[6] or ""
         yield "open", name, attrs
         if name in RAW and not attrs.endswith("/"):
-            end = _ENDS.setdefault(name, re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I)).search(page, at)
-            yield "raw", name, page[at : end.start() if end else len(page)]
-            at = end.end() if end else len(page)
+            found = _ENDS.setdefault(name, re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I)).search(page, at)
+            yield "raw", name, page[at : found.start() if found else len(page)]
+            at = start = found.end() if found else len(page)
             yield "close", name, ""
+    if start < len(page):
+        yield "text", "", unescape(page[start:])

@@ -1,13 +1,22 @@
 """Main text of web pages by two passes of block rules.
 
-First pass: a block of text is good, bad or undecided by its share of stop
-words, its length and its share of linked text.  Second pass: undecided blocks
-(short ones, and long ones with a middling share of stop words) inherit the
-label of the nearest decided neighbours.  What the markup itself names as
-something other than the article (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) is no candidate, and where a page marks its
-article, the edges of the article count as good neighbours and blocks outside
-as bad.
+All text that a page shows is cut into blocks, menus and notices included.
+
+First pass: each block is good, bad or undecided.  Bad: blocks that are mostly
+links, those with a copyright sign, those whose markup (element, class, id or
+role) names something other than the article, and long ones with few stop words.
+Good: long blocks with many stop words.  Undecided: short blocks, and those with
+a middling length or share of stop words ("near").
+
+Second pass: undecided blocks inherit the label of the nearest decided
+neighbours before and after.  If these differ, a near block is good, a heading
+takes the label of what follows, and a short block that of the nearer one, bad
+if both are as near.
+
+A page that marks its article (article, main, articleBody) is judged in regions:
+blocks outside are bad, in it few stop words alone make no block bad, what is
+named otherwise there is no neighbour of the article's blocks, and the edges of
+the article count as good neighbours.  The edges of a page count as bad ones.
 """
 
 from __future__ import annotations
@@ -15,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,11 +51,13 @@ NAMED = COMMENTS | frozenset(
 #: Names that also stand for parts of articles when inside one.
 IN_ARTICLE = frozenset("header banner tags toc legal copyright".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-LINKS_MOST, LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_IN_ARTICLE = 0.2, 70, 200, 0.30, 0.32, 0.6
+LINKS_MOST, LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_IN_ARTICLE = 0.2, 70, 200, 0.15, 0.20, 0.6
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 
@@ -62,147 +74,191 @@ def _named(raw: str, in_article: bool) -> str:
     return "aside" if said & (NAMED - IN_ARTICLE if in_article else NAMED) else ""
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool]]:
-    """Candidate blocks in page order: (text, linked characters, number of the article it lies in or 0, in a list)."""
-    out: list[tuple[str, int, int, bool]] = []
-    open_: list[tuple[str, str]] = []  # names and what they begin: "", "aside", "comments", "article"
-    many: Counter[str] = Counter()  # of each name in open_
-    said: list[str] = []
-    linked = anchors = aside = articles = 0
-    article = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if said:
-            if text := " ".join("".join(said).split()):
-                out.append((text, min(linked, len(text)), article, many["li"] > 0))
-            said.clear()
-        linked = 0
-
-    def close(name: str) -> None:
-        nonlocal aside, anchors, article
-        if not many[name]:
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters of links
+    article: int = 0  # number of the marked article it lies in
+    named: bool = False  # markup names it as something other than the article
+    in_list: bool = False
+    heading: bool = False
+
+
+class _Frame:
+    """An open element that ends blocks, and the open inline elements directly in it."""
+
+    __slots__ = ("name", "kind", "inline", "names", "article")
+
+    def __init__(self, name: str, kind: str, article: int):
+        self.name, self.kind, self.article = name, kind, article  # article: the one around it
+        self.inline: list[tuple[str, str]] = []
+        self.names: Counter[str] = Counter()
+
+
+class _Reader:
+    """Blocks of a page in page order; each tag costs a constant time but for what it closes."""
+
+    def __init__(self):
+        self.out: list[Block] = []
+        self.frames = [_Frame("", "", 0)]
+        self.many: Counter[str] = Counter()  # open frames of each name
+        self.said: dict[bool, list[str]] = {False: [], True: []}  # by whether it is named otherwise
+        self.linked = {False: 0, True: 0}
+        self.anchors = self.aside = self.comments = self.headings = self.articles = self.article = 0
+
+    def text(self, value: str) -> None:
+        named = self.aside > 0
+        self.said[named].append(value)
+        if self.anchors:
+            self.linked[named] += len(" ".join(value.split()))
+
+    def flush(self) -> None:
+        for named in (True, False):
+            if said := self.said[named]:
+                if text := " ".join("".join(said).split()):
+                    self.out.append(Block(text, min(self.linked[named], len(text)), self.article, named, self.many["li"] > 0, self.headings > 0))
+                said.clear()
+            self.linked[named] = 0
+
+    def count(self, name: str, kind: str, by: int) -> None:
+        self.aside += by * (kind in ("aside", "comments"))
+        self.comments += by * (kind == "comments")
+        self.anchors += by * (name == "a")
+        self.headings += by * (name in HEADINGS)
+
+    def pop(self) -> None:
+        frame = self.frames.pop()
+        for name, kind in frame.inline:
+            self.count(name, kind, -1)
+        self.count(frame.name, frame.kind, -1)
+        self.many[frame.name] -= 1
+        self.article = frame.article
+
+    def close(self, name: str) -> None:
+        if name in BLOCK:
+            self.flush()
+            while self.many[name]:
+                found = self.frames[-1].name == name
+                self.pop()
+                if found:
+                    return
             return
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] == name:
-                break
-            if name not in BLOCK and open_[k][0] in BLOCK:  # a stray end of an inline element ends no block
+        top = self.frames[-1]
+        while top.names[name]:  # a stray end of an inline element ends no block
+            last, kind = top.inline.pop()
+            top.names[last] -= 1
+            self.count(last, kind, -1)
+            if last == name:
                 return
-        else:
+
+    def kind(self, name: str, value: str) -> str:
+        if name in ("article", "main") or (name not in ("html", "body") and "articleBody" in value):
+            hint = _named(value, bool(self.article)) if name == "article" else ""
+            if hint == "comments" or self.comments:
+                return "comments"
+            if self.article:
+                return "aside" if hint else ""
+            for frame in self.frames:  # an unclosed or loosely named wrapper
+                self.aside -= frame.kind == "aside"
+                frame.kind = "" if frame.kind == "aside" else frame.kind
+            self.articles += 1
+            return "article"
+        if name in ASIDE or (name == "header" and not self.article):
+            return "aside"
+        return _named(value, bool(self.article)) if name not in ("html", "body") else ""
+
+    def open(self, name: str, value: str) -> None:
+        if name in VOID:
+            if name in ("br", "hr"):
+                self.text(" ")
             return
-        for n, kind in open_[k:]:
-            many[n] -= 1
-            aside -= kind in ("aside", "comments")
-            anchors -= n == "a"
-            if kind == "article":
-                article = 0
-        del open_[k:]
-        article = next((int(kind[7:]) for _, kind in reversed(open_) if kind.startswith("article") and kind != "article"), 0)
+        if name not in BLOCK and "articleBody" not in value:
+            top, kind = self.frames[-1], self.kind(name, value)
+            top.inline.append((name, kind))
+            top.names[name] += 1
+            self.count(name, kind, 1)
+            return
+        self.flush()
+        top = self.frames[-1]
+        if name == "p" and top.name == "p" and not top.kind:  # a paragraph ends the one before it; what is open in that stays open
+            top.name = ""
+            self.many["p"] -= 1
+        elif name == "body":
+            self.close("head")
+        kind = self.kind(name, value)
+        self.frames.append(_Frame(name, kind, self.article))
+        self.many[name] += 1
+        self.count(name, kind, 1)
+        if kind == "article":
+            self.article = self.articles
+
 
+def blocks(page: str) -> list[Block]:
+    """What a page shows, in page order."""
+    reader = _Reader()
     for what, name, value in events(page):
         if what == "text":
-            if not aside:
-                said.append(value)
-                if anchors:
-                    linked += len(" ".join(value.split()))
+            reader.text(value)
         elif what == "open":
-            if name in VOID:
-                if name in ("br", "hr", "wbr") and not aside and name != "wbr":
-                    said.append(" ")
-                continue
-            if name in BLOCK:
-                if not aside:
-                    flush()
-                if name == "p":
-                    many["p"] -= close_open_p(open_)
-                elif name == "body":
-                    close("head")
-            kind = ""
-            if name in ("article", "main") or (name not in ("html", "body") and "articleBody" in value):
-                hint = _named(value, bool(article)) if name == "article" else ""
-                if hint == "comments" or any(k == "comments" for _, k in open_):
-                    kind = "comments"
-                elif hint and article:
-                    kind = "aside"
-                elif not article:
-                    for n, k in open_:
-                        aside -= k == "aside"
-                    open_[:] = [(n, "" if k == "aside" else k) for n, k in open_]  # an unclosed or loosely named wrapper
-                    articles += 1
-                    article, kind = articles, f"article{articles}"
-            elif name in ASIDE or (name == "header" and not article):
-                kind = "aside"
-            elif name not in ("html", "body"):
-                kind = _named(value, bool(article))
-            aside += kind in ("aside", "comments")
-            anchors += name == "a"
-            open_.append((name, kind))
-            many[name] += 1
+            reader.open(name, value)
         elif what == "close":
-            if name in BLOCK and not aside:
-                flush()
-            close(name)
-    flush()
-    return out
-
+            reader.close(name)
+    reader.flush()
+    return reader.out
 
-def close_open_p(open_: list[tuple[str, str]]) -> bool:
-    """A paragraph ends the one before it, when nothing but inline elements is open in between; whether there was one."""
-    for k in range(len(open_) - 1, -1, -1):
-        n, kind = open_[k]
-        if n == "p" and not kind:
-            open_[k] = ("", "")
-            return True
-        if n in BLOCK:
-            return False
-    return False
 
-
-def first_pass(text: str, linked: int, in_article: bool, in_list: bool) -> str:
-    density = linked / len(text)
-    if in_article:
-        if density >= LINKS_IN_ARTICLE and in_list:
+def first_pass(b: Block, marked: bool) -> str:
+    if b.named or (marked and not b.article):
+        return BAD
+    density = b.linked / len(b.text)
+    if b.article:
+        if density >= LINKS_IN_ARTICLE and b.in_list:
             return BAD
-    elif density > LINKS_MOST or "©" in text:
+    elif density > LINKS_MOST or "©" in b.text:
         return BAD
-    if len(text) < LENGTH_LOW:
-        return BAD if linked and not in_article else SHORT
-    said = _WORD.findall(text.lower())
+    if len(b.text) < LENGTH_LOW:
+        return BAD if b.linked and not b.article else SHORT
+    said = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in said) / max(1, len(said))
     if stops >= STOP_HIGH:
-        return GOOD if len(text) > LENGTH_HIGH else NEAR
-    if stops >= STOP_LOW:
-        return NEAR
-    return NEAR if in_article else BAD
-
-
-def second_pass(labels: list[str], regions: list[int]) -> list[str]:
-    """Undecided blocks inherit from the nearest decided ones of their region; its edges count as good in an article and as bad outside."""
-    out, n = list(labels), len(labels)
-    before, last = [], {}
-    for label, r in zip(labels, regions):
-        before.append(last.get(r, GOOD if r else BAD))
-        if label in (GOOD, BAD):
-            last[r] = label
-    after: dict[int, str] = {}
-    for i in range(n - 1, -1, -1):
-        r = regions[i]
+        return GOOD if len(b.text) > LENGTH_HIGH else NEAR
+    return NEAR if stops >= STOP_LOW or b.article else BAD
+
+
+def second_pass(found: list[Block], labels: list[str]) -> list[str]:
+    """Undecided blocks inherit from the nearest decided ones of their region."""
+    n = len(found)
+
+    def nearest(order: range) -> list[tuple[str, int]]:
+        last: dict[int, tuple[str, int]] = {}
+        out = [("", 0)] * n
+        for steps, i in enumerate(order):
+            region = found[i].article
+            label, at = last.get(region, (GOOD if region else BAD, -1))
+            out[i] = label, steps - at
+            if labels[i] in (GOOD, BAD) and not (region and found[i].named):
+                last[region] = labels[i], steps
+        return out
+
+    out = list(labels)
+    for i, ((one, far), (two, far2)) in enumerate(zip(nearest(range(n)), nearest(range(n - 1, -1, -1)))):
         if labels[i] in (GOOD, BAD):
-            after[r] = labels[i]
             continue
-        sides = before[i], after.get(r, GOOD if r else BAD)
-        same = sides[0] == sides[1]
-        out[i] = sides[0] if same else GOOD if labels[i] == NEAR or r else BAD
+        if one == two:
+            out[i] = one
+        elif labels[i] == NEAR or found[i].article:
+            out[i] = GOOD
+        elif found[i].heading:
+            out[i] = two
+        else:
+            out[i] = BAD if far == far2 else one if far < far2 else two
     return out
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    marked = any(b[2] for b in found)
-    if marked:
-        found = [b for b in found if b[2]]
-    labels = second_pass([first_pass(t, n, bool(a), li) for t, n, a, li in found], [b[2] for b in found])
-    return " ".join(b[0] for b, label in zip(found, labels) if label == GOOD)
+    marked = any(b.article for b in found)
+    labels = second_pass(found, [first_pass(b, marked) for b in found])
+    return " ".join(b.text for b, label in zip(found, labels) if label == GOOD)
 
 
 RESULT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -212,7 +268,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Main text of each page: page_id, url, text, n_chars (code points); one row per input row.
 
     Null and empty pages, and pages without main text, give the empty text.  White space within a block becomes one
-    space, blocks are joined by one space.  Pages are worked off alone, in their partition, without a shuffle.
+    space, blocks are joined by one space.  Repeated rows are worked off each.  Other columns aren't read.  Pages are worked off alone, in their partition, without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
