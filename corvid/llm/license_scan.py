@@ -2,8 +2,9 @@
 
 Templates fall into classes by their number of shingles: class c has those of
 2**c to 2**(c+1) - 1.  For each class a text is cut into windows of 2**(c+2)
-shingles, a window beginning every 2**(c+1), so that each place where a template
-of the class may stand lies whole in one window.  A window that holds a share of
+shingles, a window beginning every 2**c, so that each place where a template of
+the class may stand, with up to 2**c shingles more between its parts, lies whole
+in one window; a template spread further is none.  A window that holds a share of
 ``contained`` of a template's shingles then has a Jaccard similarity to it of
 at least s = contained / (5 - contained), and with bands of one minhash, b of
 them miss it with probability (1 - s)**b; b follows from ``miss``.  Retrieved
@@ -21,21 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm.common import materialize
-
-#: The usual wording of license notices.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+from corvid.llm.licenses import templates
 
 #: Template shingles up to this number are broadcast and put into the plan as a set; more are joined by a shuffle.
 BROADCAST_SHINGLES = 20_000
@@ -43,8 +30,8 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    """The built-in templates: license, text."""
-    return spark.createDataFrame(NOTICES, "license string, text string")
+    """The built-in templates, license texts and the notices that refer to them: license, text."""
+    return spark.createDataFrame(templates(), "license string, text string")
 
 
 def shingle_hashes(text: Column, q: int) -> Column:
@@ -66,7 +53,8 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     """License notices found in each text.
 
     ``templates`` has license and text; a license may have several.  One row per input row: doc_id, n_words, n_licenses,
-    licenses (sorted array), matches (array of license, window: first shingle, size: shingles, shared, wanted).  Null and
+    licenses (sorted array), matches (array of license, window: first shingle, size: shingles, shared, wanted; of windows
+    that overlap and hold a template the one with most of it).  Null and
     empty texts and templates match nothing.  Repeated rows are scanned alike.  Other columns aren't read.
 
     Each text is hashed once; texts without a template's shingle keep nothing but their id.  Only candidate windows are
@@ -93,9 +81,9 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     texts = texts.withColumn("hits", hits)
     places = []  # the windows of each class that hold a hit
     for c in sorted(classes or []):
-        step = 2 ** (c + 1)
-        at = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(F.floor(i / step).cast("int"), F.greatest(F.floor(i / step).cast("int") - 1, F.lit(0))))))  # noqa: B023
-        places.append(F.transform(at, lambda k: F.struct(F.lit(c).alias("class"), (k * step).cast("int").alias("window"), F.lit(2 * step).alias("size"))))  # noqa: B023
+        step = 2**c
+        at = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.transform(F.array(*map(F.lit, range(4))), lambda back: F.greatest(F.floor(i / step).cast("int") - back, F.lit(0))))))  # noqa: B023
+        places.append(F.transform(at, lambda k: F.struct(F.lit(c).alias("class"), (k * step).cast("int").alias("window"), F.lit(4 * step).alias("size"))))  # noqa: B023
     if not places:
         places = [F.array().cast("array<struct<class:int,window:int,size:int>>")]
     windows = texts.select("row", "h", F.explode(F.concat(*places)).alias("p")).select("row", "p.class", "p.window", "p.size", F.array_distinct(F.slice("h", F.col("p.window") + 1, F.col("p.size"))).alias("here"))
@@ -106,7 +94,11 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     shared = F.size(F.array_intersect("here", "own"))
     found = banded.join(keys, ["class", "band", "value"]).withColumns({"shared": shared, "wanted": F.size("own")}).where(F.col("shared") >= F.col("wanted") * contained)
     found = found.select("row", "license", "window", "size", "template_id", "shared", "wanted").distinct()
-    by_row = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("license", "window", "size", "shared", "wanted"))).alias("matches"))
+    by_row = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("license", "window", "size", "shared", "wanted", "template_id"))).alias("m"))
+    overlap = lambda a, b: (a["template_id"] == b["template_id"]) & (F.abs(a["window"] - b["window"]) < a["size"])
+    better = lambda a, b: (b["shared"] > a["shared"]) | ((b["shared"] == a["shared"]) & (b["window"] < a["window"]))
+    best = F.filter("m", lambda a: ~F.exists("m", lambda b: overlap(a, b) & better(a, b)))  # of a place's windows the one that holds most
+    by_row = by_row.select("row", F.transform(best, lambda a: F.struct(*(a[c].alias(c) for c in ("license", "window", "size", "shared", "wanted")))).alias("matches"))
     out = rows.drop("h").join(by_row, "row", "left")
     matches = F.coalesce("matches", F.array().cast("array<struct<license:string,window:int,size:int,shared:int,wanted:int>>"))
     names = F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["license"])))
@@ -114,7 +106,7 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
 
 
 def _oracle() -> str:
-    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in templates())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 t AS (SELECT license, row_number() OVER () AS t, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {values}) AS v(license, text)),
@@ -122,7 +114,7 @@ ts AS (SELECT DISTINCT license, t, CASE WHEN len(w) >= 5 THEN array_to_string(w[
 tc AS (SELECT t, count(*) AS m, CAST(floor(log2(count(*))) AS INTEGER) AS c FROM ts GROUP BY t),
 ds AS (SELECT k, i - 1 AS p, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i+4], ' ') ELSE array_to_string(w, ' ') END AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
 hit AS (SELECT ds.k, ds.p, ts.license, ts.t, ts.s, tc.m, tc.c FROM ds JOIN ts USING (s) JOIN tc USING (t)),
-win AS (SELECT k, license, t, m, s, unnest([p // (2 ** (c + 1))::BIGINT, greatest(p // (2 ** (c + 1))::BIGINT - 1, 0)]) AS x FROM hit),
+win AS (SELECT k, license, t, m, s, unnest(list_distinct(list_transform([0, 1, 2, 3], lambda back: greatest(p // (2 ** c)::BIGINT - back, 0)))) AS x FROM hit),
 ok AS (SELECT DISTINCT k, license FROM (SELECT k, license, t, x, m, count(DISTINCT s) AS n FROM win GROUP BY ALL) WHERE n >= m * 0.8),
 g AS (SELECT k, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS n FROM ok GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_licenses, coalesce(g.licenses, '') AS licenses FROM d LEFT JOIN g ON d.k = g.k
