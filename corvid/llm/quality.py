@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corvid.llm.common import materialize, words
 
 #: measure -> (least spread in thousandths, whether low values fail as well).  Symbols, repeated words: a word; length: characters a word; lines: a line.
-MEASURES = {"symbols": (25, False), "word_length": (400, True), "dup_lines": (80, False), "repeated": (50, False)}
+MEASURES = {"symbols": (25, False), "word_length": (400, True), "dup_lines": (50, False), "repeated": (30, False)}
 NO_GROUP = "(none)"
 #: Up to so many groups of thresholds (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
@@ -158,8 +158,8 @@ t AS (SELECT up, lang, source, max(n) AS n,
         max(CASE WHEN measure = 'symbols' THEN q2 + 6 * greatest(q2 - q1, 25) END) AS s_most,
         max(CASE WHEN measure = 'word_length' THEN q2 + 6 * greatest(q2 - q1, 400) END) AS w_most,
         max(CASE WHEN measure = 'word_length' THEN q2 - 6 * greatest(q2 - q1, 400) END) AS w_least,
-        max(CASE WHEN measure = 'dup_lines' THEN q2 + 6 * greatest(q2 - q1, 80) END) AS d_most,
-        max(CASE WHEN measure = 'repeated' THEN q2 + 6 * greatest(q2 - q1, 50) END) AS r_most FROM f GROUP BY up, lang, source),
+        max(CASE WHEN measure = 'dup_lines' THEN q2 + 6 * greatest(q2 - q1, 50) END) AS d_most,
+        max(CASE WHEN measure = 'repeated' THEN q2 + 6 * greatest(q2 - q1, 30) END) AS r_most FROM f GROUP BY up, lang, source),
 x AS (SELECT v.*, CASE WHEN t0.n >= 50 THEN t0 WHEN t1.n >= 50 THEN t1 ELSE t2 END AS l FROM v
       LEFT JOIN t t0 ON t0.up = 0 AND t0.lang = v.lang AND t0.source = v.source
       LEFT JOIN t t1 ON t1.up = 1 AND t1.lang = v.lang LEFT JOIN t t2 ON t2.up = 2)
