@@ -44,7 +44,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEAN, before)
     _WRITTEN[path] = _group
