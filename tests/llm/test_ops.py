@@ -58,6 +58,57 @@ def test_lm_score(docs, texts, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def exact_weights(tokens, fold_of, rounds=60):
+    """EM on exact held-out ratios: each fold's tokens under the counts of the others."""
+    import numpy as np
+
+    rows = []
+    for f in set(fold_of.values()):
+        one, two = collections.Counter(), collections.Counter()
+        for i, ws in tokens.items():
+            if fold_of[i] != f:
+                one.update(ws)
+                two.update(zip([None, *ws], ws))
+        n = sum(one.values())
+        one[None] = one[b" "]
+        for i, ws in tokens.items():
+            if fold_of[i] == f:
+                rows += [(min(one[a].bit_length(), lm_score.BUCKETS - 1), two[a, b] / max(one[a], 1), one[b] / max(n, 1)) for a, b in zip([None, *ws], ws)]
+    v = len({w for ws in tokens.values() for w in ws})
+    of = np.array([r[0] for r in rows])
+    p = np.array([(r[1] * (v + 1), r[2] * (v + 1), 1.0) for r in rows])
+    prior = np.full((lm_score.BUCKETS, 3), 1 / 3)
+    prior[0] = 0, 0.5, 0.5
+    w = prior.copy()
+    for _ in range(rounds):
+        share = w[of] * p
+        share /= share.sum(axis=1, keepdims=True)
+        got = prior + np.stack([np.bincount(of, weights=share[:, k], minlength=lm_score.BUCKETS) for k in range(3)], axis=1)
+        w = got / got.sum(axis=1, keepdims=True)
+    return w, np.bincount(of, minlength=lm_score.BUCKETS)
+
+
+def test_weights_follow_from_the_texts_alone(docs, texts, monkeypatch):
+    import numpy as np
+
+    seen, learn = [], lm_score.learn_weights
+    monkeypatch.setattr(lm_score, "learn_weights", lambda *a: seen.append(learn(*a)) or seen[-1])
+    held = lm_score.held_out_ids("doc_id")
+    runs = [{r.doc_id: r.score for r in lm_score.score(docs.repartition(n), held, block_bytes=b, range_bytes=b).collect()} for n, b in ((1, 1 << 22), (5, 3000))]
+    assert all(runs[0][i] == pytest.approx(runs[1][i]) for i in runs[0]) and np.allclose(seen[0], seen[1])
+    fold = {r.doc_id: r.f for r in docs.where(~held).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(lm_score.FOLDS)).alias("f")).collect()}
+    exact, mass = exact_weights({i: [*lower(words(t)), b" "] for i, t in texts if i in fold}, fold)
+    assert np.abs(exact - seen[0])[mass >= 500].max() < 0.05  # ratios are counted in steps of a quarter of a factor of two
+
+
+def test_null_ids_are_scored_and_cut_like_others(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(None, line), (None, line), (3, line), (4, None)], "doc_id long, text string")
+    assert lm_score.score(df, lm_score.held_out_ids("doc_id")).count() == 4
+    assert sorted((r.doc_id is None, r.n_removed) for r in line_dedup.summary(df).collect()) == [(False, 0), (False, 1), (True, 0), (True, 0)]
+    assert sorted((r.doc_id is None, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()) == [(False, 0), (False, 0), (True, 0), (True, 0)]
+
+
 def test_learned_weights_fit_the_held_out_histogram():
     side = lm_score.STEPS * lm_score.REACH + 1
     at = lambda x: int(lm_score._steps(__import__("numpy").array([x]))[0])
@@ -234,6 +285,23 @@ def test_license_scan(spark, docs, texts):
     assert [r.n_licenses for r in license_scan.scan(df.limit(3), license_scan.notices(spark).limit(0)).collect()] == [0, 0, 0]
 
 
+def test_license_scan_of_many_templates_finds_the_same(spark, docs, monkeypatch):
+    df = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(1000 + i, " ".join(["pre"] * i + [t])) for i, (_, t) in enumerate(license_scan.templates())], "doc_id long, text string"))
+    few = sorted(map(tuple, license_scan.scan(df, license_scan.notices(spark)).select("doc_id", "licenses").collect()))
+    monkeypatch.setattr(license_scan, "BROADCAST_SHINGLES", 0)
+    assert few == sorted(map(tuple, license_scan.scan(df, license_scan.notices(spark)).select("doc_id", "licenses").collect()))
+    assert all(name in r[1] for r, (name, _) in zip(few[-len(license_scan.templates()) :], license_scan.templates()))
+
+
+def test_a_template_spread_over_half_a_window_more_is_found(spark):
+    own = [f"w{i}" for i in range(33)]  # 29 shingles of class 4
+    spread = [*own[:16], *[f"x{i}" for i in range(14)], *own[16:]]
+    template = spark.createDataFrame([("T", " ".join(own))], "license string, text string")
+    rows = [(i, " ".join(["pre"] * i + spread + ["post"] * 70)) for i in range(70)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), template, contained=0.8)
+    assert all(list(r.licenses) == ["T"] for r in got.collect())
+
+
 def test_license_scan_verifies_containment(spark):
     words_ = [f"w{i}" for i in range(40)]
     template = spark.createDataFrame([("T", " ".join(words_)), ("T", None), ("E", "")], "license string, text string")
@@ -264,6 +332,54 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(r.get("WARC-Record-ID") for r in found) == sorted(r.conversion_id for r in rows.values())
 
 
+def test_warc_undoes_codings_and_keeps_repeated_headers(spark):
+    import gzip
+    import json
+
+    page = "<p>caf\u00e9 au lait</p>".encode("latin-1")
+    packed = gzip.compress(page)
+    body = b"%x\r\n%s\r\n%x;x=y\r\n%s\r\n0\r\n\r\n" % (10, packed[:10], len(packed) - 10, packed[10:])
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + body
+    record = warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a/"), ("WARC-Concurrent-To", "<urn:y>"), ("WARC-Concurrent-To", "<urn:z>")], block).to_bytes()
+    df = spark.createDataFrame([(1, record, "t", "m"), (1, record, "t", "m")], "key long, record binary, title string, metadata string")
+    rows = warc.derivatives(df).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    (meta,), (conv,) = (list(warc.read_records(rows[0][c].encode())) for c in ("metadata", "conversion"))
+    assert conv.block.decode() == "caf\u00e9 au lait" and conv.get("WARC-Payload-Digest") == warc.sha1_base32(body)
+    account = json.loads(meta.block)["Envelope"]
+    assert account["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:y>", "<urn:z>"]
+    assert account["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
+
+
+@pytest.mark.parametrize(("http", "body", "want"), [("", "\ufeffé".encode(), "é"), ("", b"<meta charset='cp1252'>\x80", "<meta charset='cp1252'>€"), ("text/html; charset=none-such", "é".encode(), "é"), ("", "é".encode("utf-16"), "é"), ("", b"\xff", "\ufffd")])
+def test_charsets(http, body, want):
+    assert warc.decoded([("Content-Type", http)], body) == want
+
+
+def test_conversions_are_the_words_that_pages_show(spark, sf_dir):
+    from html import unescape
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.key: r for r in warc.derivatives(warc.responses(pages)).collect()}
+    for r in pages.collect():
+        shown = re.sub(r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>", "", r.html or "")
+        shown = re.sub(r"</?(?:b|a|i|em|strong|span)\b[^>]*>", "", shown)
+        want = unescape(re.sub(r"<[^>]*>", "\n", shown)).split()
+        (conv,) = warc.read_records(got[r.page_id].conversion.encode())
+        assert conv.block.decode().split() == want and conv.get("WARC-Target-URI") == r.url
+        assert got[r.page_id].n_links == len(re.findall(r"<a href=", r.html or ""))
+
+
+@pytest.mark.parametrize("page", ['<a "' * 200_000, "<a " * 200_000, '<a ">" ' * 100_000, "<" * 300_000, "<b>" * 100_000 + "</b>" * 100_000, "<b><p><i>" * 30_000 + "</b>" * 30_000, "<p><b>x" * 50_000])
+def test_malformed_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    main_text.main_text(page)
+    warc.plain_text(page)
+    assert time.process_time() - began < 20  # a quadratic reader takes hours
+
+
 def test_warc_takes_what_it_gets(spark):
     import gzip
 
@@ -301,6 +417,15 @@ def test_thresholds_follow_the_group(spark):
     assert all(got[i] for i in (*range(100), *range(200, 300), 401)) and not got[400]
 
 
+def test_repeats_fail_by_their_group_before_the_fixed_cutoff(spark):
+    rng = random.Random(10)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    run = plain(10)
+    rows = [(i, plain(60), "en", "prose") for i in range(100)] + [(200, f"{plain(30)} {run} {plain(20)} {run} {plain(10)}", "en", "prose")]
+    r = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert r[200].q_n_repeat_words == 20 and not r[200].q_base_failed and not r[200].q_kept and all(r[i].q_kept for i in range(100))
+
+
 def test_buckets_are_monotone_and_close(spark):
     df = spark.range(0, 300_000, 37).withColumn("b", quality.bucket(F.col("id"))).withColumn("f", quality.bucket_floor(F.col("b"))).orderBy("id")
     rows = df.collect()
@@ -363,6 +488,49 @@ def test_main_text(page, want):
     assert main_text.main_text(page or "") == want
 
 
+def slow_labels(found, labels):
+    """The second pass by looking at every other block of the region for each undecided one."""
+    out = []
+    for i, b in enumerate(found):
+        if labels[i] in ("good", "bad"):
+            out.append(labels[i])
+            continue
+        votes = [j for j, o in enumerate(found) if o.article == b.article and labels[j] in ("good", "bad") and not (b.article and o.named)]
+        edge = "good" if b.article else "bad"
+        before = max((j for j in votes if j < i), default=-1)
+        after = min((j for j in votes if j > i), default=len(found))
+        one, two = labels[before] if before >= 0 else edge, labels[after] if after < len(found) else edge
+        if one == two:
+            out.append(one)
+        elif labels[i] == "near" or b.article:
+            out.append("good")
+        elif b.heading:
+            out.append(two)
+        else:
+            out.append("bad" if i - before == after - i else one if i - before < after - i else two)
+    return out
+
+
+def test_second_pass_against_a_plain_search():
+    rng = random.Random(11)
+    for _ in range(400):
+        found = [main_text.Block("x", 0, rng.choice([0, 0, 0, 1]), rng.random() < 0.2, False, rng.random() < 0.2) for _ in range(rng.randrange(14))]
+        labels = [rng.choice(["good", "bad", "near", "short", "short"]) for _ in found]
+        assert main_text.second_pass(found, labels) == slow_labels(found, labels)
+
+
+def test_passes_find_articles_that_no_markup_names(spark, sf_dir):
+    """The text of a marked article is what the rules have to find once its tags say nothing."""
+    right = found = wanted = bad = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        want = collections.Counter(main_text.main_text(r.html).split())
+        page = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", r.html)
+        got = collections.Counter(main_text.main_text(page).split())
+        bad += sum(main_text.first_pass(b, False) == "bad" for b in main_text.blocks(page))
+        right, found, wanted = right + (want & got).total(), found + got.total(), wanted + want.total()
+    assert right / found > 0.98 and right / wanted > 0.75 and bad
+
+
 def test_extract_keeps_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>é\n 😀</p></article>", "y")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, main_text.extract(df).collect())) == [(1, "u", "", 0), (1, "u", "é 😀", 3)]
