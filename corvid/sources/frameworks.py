@@ -21,6 +21,11 @@ _NEXT_METHOD = re.compile(r"(?:public|private|protected)?\s*[\w<>,\s\[\]?]+\s+([
 MODULE = "<module>"
 
 
+def may_show(path: Column) -> Column:
+    """Whether a file is one of those that detected() looks into."""
+    return path.rlike(r"(package\.json|\.py|\.java|pom\.xml|build\.gradle|go\.mod)$")
+
+
 def detected(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """One row with a boolean for each framework: whether the repository shows it."""
     p, c = F.col(path), F.col(content)

@@ -1,9 +1,11 @@
 """Symbols, raw call edges and chunks of source files.
 
-Python is read by its own parser.  Other languages are read by family: text and
-comments are blanked, definitions found by the language's profile, and their
-extent by braces, by the matching ``end``, or by indentation.  That sees what a
-full grammar sees in ordinary code; macros and exotic syntax it doesn't.
+Python is read by its own parser; C, C++, JavaScript, TypeScript, Rust, Go and
+Java from tokens and matched brackets (``syntax``).  Other languages are read by
+family: text and comments are blanked, definitions found by the language's
+profile, and their extent by braces, by the matching ``end``, or by indentation.
+That sees what a full grammar sees in ordinary code; macros and exotic syntax it
+doesn't.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions.paths import LANGUAGES
-from corvid.sources import chunker
+from corvid.sources import chunker, syntax
 from corvid.sources.frameworks import framework_edges
 
 _BY_EXTENSION = {e: lang for lang, exts in LANGUAGES.items() for e in exts.split()}
@@ -50,11 +52,29 @@ def language_of(path: str) -> str:
     return _BY_EXTENSION.get(ext, "other") if dot and stem else "other"
 
 
+def _python_tree(source: str) -> tuple[str, ast.AST | None]:
+    """The tree of what can be read: a statement at the margin that holds an error is blanked, with its block, and the rest read again."""
+    lines = source.split("\n")
+    for _ in range(20):
+        try:
+            return "\n".join(lines), ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+            margin = lambda k: bool(lines[k]) and not lines[k][0].isspace() and lines[k][0] not in ")]}#"
+            first = next((k for k in range(at, -1, -1) if margin(k)), 0)
+            last = next((k for k in range(max(at, first) + 1, len(lines)) if margin(k)), len(lines))
+            if not any(lines[first:last]):
+                return source, None
+            lines[first:last] = [""] * (last - first)
+        except (ValueError, RecursionError, MemoryError):
+            return source, None
+    return source, None
+
+
 def parse_python(file: str, source: str) -> tuple[list[Symbol], list[Edge]]:
     """A definition in any scope is a method; a call's name is the whole callee; calls outside definitions are left out."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    source, tree = _python_tree(source)
+    if tree is None:
         return [], []
     symbols: list[Symbol] = []
     edges: list[Edge] = []
@@ -77,15 +97,9 @@ def parse_python(file: str, source: str) -> tuple[list[Symbol], list[Edge]]:
 #: Of each language: how comments and text look, and its definitions as kind -> pattern with the name in a group.
 _C_LIKE = r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _ID = r"([A-Za-z_$][\w$]*)"
-_JS = [("class", rf"\bclass\s+{_ID}"), ("function", rf"\bfunction\s*\*?\s*{_ID}\s*(?:<[^>]*>)?\("), ("arrow", rf"^(?:export\s+)?(?:const|let|var)\s+{_ID}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::[^=]+)?=>"), ("method", rf"^[ \t]+(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*\*?#?{_ID}\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?::\s*[^{{;]+)?\{{")]
 _TYPES = r"[\w<>\[\],.?&*:\s]+?[\s&*]"
 _METHOD = rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|synchronized|partial|extern|inline|constexpr|const|unsafe|new)\s+)*(?:{_TYPES})?{_ID}\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)[^;{{}}=]*\{{"
 PROFILES: dict[str, dict] = {
-    "javascript": {"defs": _JS, "text": _C_LIKE + r"|`(?:[^`\\]|\\.)*`"},
-    "rust": {"defs": [("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("trait", rf"\btrait\s+{_ID}"), ("impl", rf"\bimpl\b(?:\s*<[^{{]*?>)?\s+(?:[\w:<>,\s&']+?\s+for\s+)?{_ID}"), ("module", rf"\bmod\s+{_ID}\s*\{{"), ("function", rf"\bfn\s+{_ID}")], "text": r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\.)'"},
-    "go": {"defs": [("struct", rf"\btype\s+{_ID}\s+struct\b"), ("interface", rf"\btype\s+{_ID}\s+interface\b"), ("method", rf"\bfunc\s*\([^)]*\)\s*{_ID}\s*\("), ("function", rf"\bfunc\s+{_ID}\s*[\[(]")], "text": _C_LIKE + r"|`[^`]*`"},
-    "java": {"defs": [("class", rf"\b(?:class|record)\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("method", _METHOD)], "text": _C_LIKE, "leaf": True},
-    "cpp": {"defs": [("class", rf"\bclass\s+{_ID}(?=[^;(){{}}]*\{{)"), ("struct", rf"\bstruct\s+{_ID}(?=[^;(){{}}]*\{{)"), ("enum", rf"\benum\s+(?:class\s+)?{_ID}(?=[^;(){{}}]*\{{)"), ("module", rf"\bnamespace\s+{_ID}\s*\{{"), ("method", rf"^[ \t]*(?:[\w<>,:&*~\[\]]+\s+)*[&*]*(?:\w+::)*(~?[A-Za-z_]\w*)\s*\([^;{{}}]*\)[^;{{}}=]*\{{")], "text": _C_LIKE, "leaf": True},
     "csharp": {"defs": [("class", rf"\b(?:class|record)\s+{_ID}"), ("struct", rf"\bstruct\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("module", r"\bnamespace\s+([\w.]+)\s*\{"), ("method", _METHOD)], "text": _C_LIKE + r'|@"(?:[^"]|"")*"'},
     "php": {"defs": [("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("trait", rf"\btrait\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("function", rf"\bfunction\s+&?{_ID}")], "text": _C_LIKE + r"|#[^\n]*", "leaf": True},
     "ruby": {"defs": [("class", r"^[ \t]*class\s+([A-Z][\w:]*)"), ("module", r"^[ \t]*module\s+([A-Z][\w:]*)"), ("method", r"^[ \t]*def\s+(?:self\.)?([\w?!=]+)")], "text": r"#[^\n]*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "leaf": True, "ends": "indent"},
@@ -97,8 +111,7 @@ PROFILES: dict[str, dict] = {
     "pascal": {"defs": [("class", r"^\s*(\w+)\s*=\s*class\b"), ("interface", r"^\s*(\w+)\s*=\s*interface\b"), ("function", r"^\s*(?:procedure|function|constructor|destructor)\s+(?:\w+\.)?(\w+)")], "text": r"//[^\n]*|\{[^}]*\}|\(\*.*?\*\)|'(?:[^'\n])*'", "ends": "indent"},
     "liquid": {"defs": [("function", r"\{%-?\s*(?:render|include|section)\s+['\"]([\w/-]+)['\"]")], "text": r"\{%-?\s*comment\s*-?%\}.*?\{%-?\s*endcomment\s*-?%\}", "ends": "line", "calls": r"\|\s*(\w+)"},
 }
-for _lang, _as in {"typescript": "javascript", "tsx": "javascript", "svelte": "javascript", "c": "cpp", "luau": "lua"}.items():
-    PROFILES[_lang] = PROFILES[_as]
+PROFILES["luau"] = PROFILES["lua"]
 #: Words before a bracket that call nothing.
 _NO_CALL = frozenset("if for while switch catch return function sizeof typeof await yield new throw else do and or not in is elif def fn func fun match when guard unless until case with super using lock foreach defer go select".split())
 _NO_NAME = frozenset("if for while switch catch return function else do".split())
@@ -139,9 +152,6 @@ def parse_by_profile(file: str, source: str, lang: str) -> tuple[list[Symbol], l
     profile = PROFILES.get(lang)
     if not profile:
         return [], []
-    if lang == "svelte":  # only the script, in its place
-        inside = [m.span(1) for m in re.finditer(r"<script[^>]*>(.*?)</script>", source, re.S)]
-        source = "".join(c if c == "\n" or any(a <= i < b for a, b in inside) else " " for i, c in enumerate(source))
     code = re.compile(profile["text"], re.S).sub(_blank, source) if lang != "liquid" else source
     starts = [0] + [m.end() for m in re.finditer("\n", code)]
     line_of = lambda i: bisect_right(starts, i)
@@ -166,7 +176,7 @@ def parse_by_profile(file: str, source: str, lang: str) -> tuple[list[Symbol], l
             stack.pop()
         above = stack[-1] if stack else None
         if kind in ("function", "method", "arrow"):
-            kind = "method" if above or (kind == "method" and lang == "go") else "function"
+            kind = "method" if above else "function"
         fqn = f"{above.fqn}::{name}" if above else f"{file}::{name}"
         s = Symbol(name, kind, fqn, above.fqn if above else None, first, last)
         symbols.append(s)
@@ -186,9 +196,38 @@ def parse_by_profile(file: str, source: str, lang: str) -> tuple[list[Symbol], l
     return symbols, edges
 
 
+def _script_only(source: str) -> str:
+    """A page's script in its place, blanks around it."""
+    inside = [m.span(1) for m in re.finditer(r"<script[^>]*>(.*?)</script>", source, re.S)]
+    out, at = [], 0
+    for a, b in inside:
+        out += [re.sub(r"[^\n]", " ", source[at:a]), source[a:b]]
+        at = b
+    return "".join([*out, re.sub(r"[^\n]", " ", source[at:])])
+
+
+def parse_by_tokens(file: str, source: str, lang: str) -> tuple[list[Symbol], list[Edge]]:
+    """Symbols and calls of a brace language.  A call belongs to the innermost definition; its name is the whole callee, in C, C++ and Java the last part."""
+    found, calls = syntax.read(_script_only(source) if lang == "svelte" else source, lang)
+    fqn = lambda f, around: "::".join([file, *(n for o in around if o.name for n in (*o.scope, o.name)), *f.scope, f.name])
+    symbols = []
+    for f, around, first, last in found:
+        above = next((k for k in range(len(around) - 1, -1, -1) if around[k].name), None)
+        parent = fqn(around[above], around[:above]) if above is not None else None
+        symbols.append(Symbol(f.name, f.kind, fqn(f, around), parent, first, last))
+    edges = []
+    for c, around, line, include in calls:
+        named = [o for o in around if o.name]
+        if named:
+            edges.append(Edge(named[-1].name, fqn(named[-1], named[:-1]), c.to, line, include))
+    return symbols, edges
+
+
 def parse(file: str, source: str) -> tuple[list[Symbol], list[Edge]]:
     lang = language_of(file)
-    return parse_python(file, source) if lang == "python" else parse_by_profile(file, source, lang)
+    if lang == "python":
+        return parse_python(file, source)
+    return parse_by_tokens(file, source, lang) if lang in syntax.AS else parse_by_profile(file, source, lang)
 
 
 def enclosing(symbols: list[Symbol], first: int, last: int) -> Symbol | None:
