@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import SPACE, discard, materialize
 
-#: Counters of the tokens' frequencies.
+#: Counters of the tokens' frequencies, a power of two.
 CELLS = 1 << 18
 #: A token's lines up to so many are compared with each other at once; beyond, by turns, each with 2**GROWTH times as many.
 AT_ONCE, GROWTH = 16, 3
@@ -55,7 +55,7 @@ def _tokens(line: str = "line") -> Column:
 
 def _frequencies(classes: DataFrame, cells: int) -> Column:
     """An array: of each counter the binary logarithm of its count in eighths."""
-    cell = F.pmod("t", F.lit(cells)).cast("int").alias("cell")
+    cell = F.col("t").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
     counted = classes.select(F.explode(_tokens()).alias("t")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
     levels = [0] * cells
     for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
@@ -63,20 +63,18 @@ def _frequencies(classes: DataFrame, cells: int) -> Column:
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
-def _prefixes(classes: DataFrame, levels: Column, cells: int, percent: int) -> DataFrame:
-    """token, pos, c, n, m0, m1: the first tokens of each class in order of rarity, with the class's size and bitmaps."""
-    level = lambda x: F.coalesce(F.element_at(levels, F.pmod(x, F.lit(cells)).cast("int") + 1).cast("long"), F.lit(0).cast("long"))
+def _heads(classes: DataFrame, levels: Column, cells: int, percent: int) -> DataFrame:
+    """c, n (tokens), m0, m1 (bitmaps) and head: a class's first tokens in order of rarity."""
+    level = lambda x: F.coalesce(F.get(levels, x.bitwiseAND(F.lit(cells - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))
     in_order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 52).bitwiseOR(F.shiftrightunsigned(x, 12))))
     half = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))  # noqa: E731  each token flips one bit of one of two maps
     flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
     zero = F.lit(0).cast("long")
     m0 = F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(flip(half(x).bitwiseXOR(F.lit(1)), x)))
     m1 = F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(flip(half(x), x)))
-    rows = classes.select("c", _tokens().alias("tokens"))
-    rows = rows.select("c", F.size("tokens").alias("n"), in_order.alias("o"), m0.alias("m0"), m1.alias("m1"))
-    alike = F.ceil(F.col("n") * percent / 100).cast("int")
-    head = F.slice("o", F.lit(1), F.col("n") - alike + 1)
-    return rows.select(F.posexplode(head).alias("pos", "token"), "c", "n", *_MAPS)
+    n = F.size("tokens")
+    head = F.slice(in_order, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return classes.select("c", _tokens().alias("tokens")).select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), head.alias("head"))
 
 
 def _close(a: str, b: str, percent: int) -> Column:
@@ -103,9 +101,11 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     classes = lines.groupBy("t1", "t2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("copies"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", "first.line"), "lines", "zstd")
 
-    prefixes = _prefixes(classes, _frequencies(classes, cells), cells, percent)
+    heads = materialize(_heads(classes, _frequencies(classes, cells), cells, percent), "heads")
+    prefixes = heads.select("c", "n", *_MAPS, F.posexplode("head").alias("pos", "token"))
     a, b = prefixes.alias("a"), prefixes.alias("b")
     active = materialize(a.join(b, (F.col("a.token") == F.col("b.token")) & _close("a", "b", percent), "left_semi"), "active")
+    discard(heads)
     wanted = materialize(active.select("c").distinct(), "wanted")
     sets = materialize(classes.join(_few(wanted), "c", "left_semi").select("c", "key", "t1", "t2", _tokens().alias("tokens")), "sets")
     gone = _gone(active, sets, percent)
