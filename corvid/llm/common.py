@@ -138,7 +138,7 @@ def words(c: Column) -> Column:
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered between calls up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

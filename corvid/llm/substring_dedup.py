@@ -17,8 +17,9 @@ automaton doesn't hold yet is added, so it grows with the distinct text, not
 with the number of copies.  The automaton is built in the task that streams its
 shard; nothing is broadcast from the driver, whose memory would bound the corpus.
 
-Shards too large for that (``most_contexts``, or ``most_states`` reached) take an
-exact way without a bound: the least id of every run, by a partial aggregation.
+Shards too large for that (``most_contexts``, or ``most_states`` reached: a state takes about half a kilobyte, and what a
+document still has to add counts as states) take an exact way without a bound: the least id of every run, by a partial
+aggregation.
 """
 
 from __future__ import annotations
@@ -198,31 +199,34 @@ def _stream(length: int, most_states: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, doc, sam, full = None, None, SuffixAutomaton(), False
         waiting: list[list[bytes]] = []  # of the present document: what its contexts have that the automaton hasn't
+        to_come = 0  # words in waiting
         out: list[tuple] = []
         for batch in batches:
-            for key, d, t1, start, words in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
-                if key != anchor:
-                    anchor, doc, sam, full, waiting = key, d, SuffixAutomaton(), False, []
-                if full:
-                    continue
-                if d != doc:
-                    for ws in waiting:
-                        sam.add(ws)
-                    doc, waiting = d, []
-                    if len(sam.len) > most_states:
-                        full = True
-                        out.append((None, None, None, None, anchor))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for key, d, t1, start, words in zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
+                    if key != anchor:
+                        anchor, doc, sam, full, waiting, to_come = key, d, SuffixAutomaton(), False, [], 0
+                    if full:
                         continue
-                ws = words.split()
-                found = [n >= length for n in sam.matches(ws)[length - 1 :]]
-                for hit, a, b in _runs(found):
-                    if hit:
-                        out.append((d, t1, start + a, start + b - 1 + length, anchor))
-                    else:
-                        waiting.append(ws[a : b - 1 + length])
-            if len(out) >= 5000:
-                yield _spans_batch(out)
-                out = []
+                    if d != doc:
+                        for ws in waiting:
+                            sam.add(ws)
+                        doc, waiting, to_come = d, [], 0
+                    ws = words.split()
+                    found = [n >= length for n in sam.matches(ws)[length - 1 :]]
+                    for hit, a, b in _runs(found):
+                        if hit:
+                            out.append((d, t1, start + a, start + b - 1 + length, anchor))
+                        else:
+                            waiting.append(ws[a : b - 1 + length])
+                            to_come += b - 1 + length - a
+                    if len(sam.len) + 2 * to_come > most_states:  # a word makes two states at most
+                        full, sam, waiting = True, SuffixAutomaton(), []
+                        out.append((None, None, None, None, anchor))
+                if len(out) >= 5000:
+                    yield _spans_batch(out)
+                    out = []
         if out:
             yield _spans_batch(out)
 
@@ -274,7 +278,7 @@ def _cut():
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 10, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 100_000, most_states: int = 300_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 10, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = 100_000, most_states: int = 60_000, with_text: bool = True) -> DataFrame:
     """Remove from each text the words covered by a run of ``length`` words that also starts in a document with a smaller id.
 
     One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256.
