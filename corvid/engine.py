@@ -73,10 +73,15 @@ class Engine:
     def _meta(self, repo: str, found: list[str], chunks: DataFrame) -> dict[str, object]:
         return {"repo": repo, "identity": self.identity, "frameworks": found, "stamp": content_stamp(chunks).first()[0], "edges_resolved": True}
 
+    def _frameworks(self, listed: DataFrame) -> list[str]:
+        """The frameworks that files of a listing show; only files that can show one are read."""
+        texts = files.with_contents(listed.where(frameworks.may_show(F.col("path")))).withColumn("content", F.col("content").cast("string"))
+        return [n for n, has in frameworks.detected(texts).first().asDict().items() if has]
+
     def index(self, repo: str, more_extensions: tuple[str, ...] = ()) -> int:
         """Index a repository from scratch; texts whose vectors are stored aren't embedded again.  Returns the generation."""
         listed = files.walk(self.spark, repo, True, more_extensions)
-        found = [n for n, has in frameworks.detected(files.listing(self.spark, repo, True).withColumn("content", F.col("content").cast("string"))).first().asDict().items() if has]
+        found = self._frameworks(files.listing(self.spark, repo))
         tables = self._parse(repo, listed, found)
         same = self.store.current() is not None and self.store.meta().get("identity") == self.identity
         known = self.store.read("chunk").select(F.md5("content").alias("key"), "embedding").dropDuplicates(["key"]) if same else None
@@ -89,13 +94,15 @@ class Engine:
         if self.store.current() is None or self.store.meta().get("identity") != self.identity:
             return self.index(repo, more_extensions)
         old = {t: self.store.read(t) for t in TABLES}
-        listed = files.walk(self.spark, repo, True, more_extensions)
-        changes = incremental.snapshot_diff(old["file_meta"], listed.drop("content"), chunker.VERSION)
+        listed = self._hold(files.walk(self.spark, repo, False, more_extensions))
+        changes = incremental.snapshot_diff(old["file_meta"], listed, chunker.VERSION)
         if self._hold(changes).isEmpty():
             self._release()
             return None
-        found = list(self.store.meta().get("frameworks") or [])
-        changed = listed.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
+        touched = listed.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
+        before = list(self.store.meta().get("frameworks") or [])
+        found = before + [n for n in self._frameworks(touched) if n not in before]
+        changed = files.with_contents(touched)  # nothing else is read from the disk
         new = self._parse(repo, changed, found)
         gone = changes.select("path")
         known = old["chunk"].select(F.md5("content").alias("key"), "embedding").dropDuplicates(["key"])
@@ -211,5 +218,5 @@ class Engine:
         return explore.grep(texts, pattern, **options)
 
     def read(self, repo: str, path: str, start: int = 1, end: int = 800) -> DataFrame:
-        texts = files.listing(self.spark, repo, True).where(paths.in_repo(F.col("path"), repo)).withColumn("content", F.col("content").cast("string"))
-        return explore.read_range(texts, path, start, end)
+        own = files.listing(self.spark, repo).where(paths.in_repo(F.col("path"), repo) & (F.col("path") == path))
+        return explore.read_range(files.with_contents(own).withColumn("content", F.col("content").cast("string")), path, start, end)

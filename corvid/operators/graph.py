@@ -73,18 +73,21 @@ def graph_truncated(nodes: DataFrame, edges: DataFrame, most_nodes: int = 250, m
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_edges")).withColumn("truncated", (F.col("n_nodes") >= most_nodes) | (F.col("n_edges") >= most_edges))
 
 
-def neighbour_stats(calls: DataFrame, own: str, other: str, other_file: str) -> DataFrame:
+def neighbour_stats(calls: DataFrame, own: str, other: str, other_file: str, most: int = 30) -> DataFrame:
     """node, n (distinct names), files (distinct), names: those on the other side of each node's calls.
 
-    Names are short and distinct, in order of nearness (same file, same directory, elsewhere) and then of the alphabet; a
-    name that occurs in several places counts as near as its nearest.  Null and empty names are left out.
+    Names are short and distinct, the first ``most`` in order of nearness (same file, same directory, elsewhere) and then
+    of the alphabet; a name that occurs in several places counts as near as its nearest.  Null and empty names are left
+    out.  Repeated calls of a pair are one row before anything is counted; of a hub's names every task keeps its first few.
     """
     rows = calls.where(F.col(other).isNotNull() & (F.col(other) != "") & F.col(own).isNotNull())
     own_file = "in_file" if own == "in_fqn" else "out_file"
     near = F.when(F.col(other_file) == F.col(own_file), 0).when(paths.parent_dir(F.col(other_file)) == paths.parent_dir(F.col(own_file)), 1).otherwise(2)
-    each = rows.groupBy(F.col(own).alias("node"), text.short_name(F.col(other)).alias("short")).agg(F.min(near).alias("near"))
-    names = each.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("near", "short"))), lambda x: x["short"]).alias("names"))
-    counts = rows.groupBy(F.col(own).alias("node")).agg(F.countDistinct(other).alias("n"), F.countDistinct(other_file).alias("files"))
+    pairs = rows.groupBy(F.col(own).alias("node"), F.col(other).alias("other"), F.col(other_file).alias("file")).agg(F.min(near).alias("near"))
+    each = pairs.groupBy("node", text.short_name(F.col("other")).alias("short")).agg(F.min("near").alias("near"))
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("near", "short"))).where(F.col("_n") <= most)
+    names = first.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("near", "short"))), lambda x: x["short"]).alias("names"))
+    counts = pairs.groupBy("node").agg(F.countDistinct("other").alias("n"), F.countDistinct("file").alias("files"))
     return counts.join(names, "node")
 
 
@@ -97,9 +100,14 @@ def callee_stats(calls: DataFrame) -> DataFrame:
 
 
 def neighbours(seeds: DataFrame, calls: DataFrame, most: int = 20) -> DataFrame:
-    """seed, node, factor: up to ``most`` callers (factor 0.6) and callees (0.5) of each seed, in order of name."""
+    """seed, node, factor: up to ``most`` callers (factor 0.6) and callees (0.5) of each seed, in order of name.
+
+    Calls are narrowed to those of the seeds, which are few, before anything is made distinct.
+    """
+
     def side(own: str, other: str, factor: float) -> DataFrame:
-        each = seeds.select("seed").distinct().join(calls.select(F.col(own).alias("seed"), F.col(other).alias("node")).distinct(), "seed")
+        mine = calls.select(F.col(own).alias("seed"), F.col(other).alias("node")).join(seeds.select("seed").distinct(), "seed", "left_semi")
+        each = mine.distinct()
         n = F.row_number().over(Window.partitionBy("seed").orderBy("node"))
         return each.withColumn("_n", n).where(F.col("_n") <= most).drop("_n").withColumn("factor", F.lit(factor))
 

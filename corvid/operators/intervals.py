@@ -109,13 +109,11 @@ def merged_capped(df: DataFrame, keys: Sequence[str], most: int = 60, gap: int =
 
 def without_contained(df: DataFrame, keys: Sequence[str], start: str, end: str, keep: Column | None = None) -> DataFrame:
     """Intervals that lie in no other of their key; of equal ones the first stays.  Where ``keep`` holds, a row stays anyway."""
-    rows = df.withColumn("_id", F.row_number().over(Window.partitionBy(*keys).orderBy(start, F.desc(end))))
-    other = rows.select(*(F.col(c).alias(f"_o_{c}") for c in keys), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col("_id").alias("_oid"))
-    wider = ((F.col("_e") - F.col("_s")) > (F.col(end) - F.col(start))) | (F.col("_oid") < F.col("_id"))
-    test = [F.col(c) == F.col(f"_o_{c}") for c in keys] + [F.col("_s") <= F.col(start), F.col("_e") >= F.col(end), F.col("_oid") != F.col("_id"), wider]
+    before = Window.partitionBy(*keys).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.max(end).over(before) >= F.col(end), F.lit(False))  # by one that begins no later and ends no earlier
     if keep is not None:
-        test.append(~keep)
-    return rows.join(other, test, "left_anti").drop("_id")
+        held = held & ~keep
+    return df.withColumn("_held", held).where(~F.col("_held")).drop("_held")
 
 
 def tidy_ranges(ranges: Column, first: Column, last: Column, pad: int = 2) -> Column:

@@ -41,7 +41,7 @@ def class_weight(file: Column, content: Column, query_texts: Sequence[str], filt
 
 
 def best_of(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key.  A limit on a rank is taken in every partition before the shuffle."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_n", n).where(F.col("_n") == 1).drop("_n")
 
@@ -50,18 +50,20 @@ def collapse(df: DataFrame, content: Column | None = None, file: str = "file", o
     """One row for each distinct content across files, the best; ``duplicates`` lists the files of the others.
 
     Best: highest rank, hand-written first, then file and line.  Repeats within the kept file stay rows of their own.
-    Blank content is never a copy.  A content that many rows share is aggregated before it is shuffled whole: only its
-    files are gathered.
+    Blank content is never a copy.  Of a content that many rows share the best file is found by a partial rank, its files
+    are gathered by name, and only rows of the best file move with their text.
     """
     key = text.content_key(F.col("content")) if content is None else content
     rows = df.withColumn("_key", F.md5(key))
     first = order or [F.desc("rank"), paths.is_generated(F.col(file)), F.col(file), F.col("line_start")]
-    ranked = rows.where("_key is not null").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*first)))
-    kept = ranked.where("_n = 1").select("_key", F.col(file).alias("_file"))
+    shared = rows.where("_key is not null")
+    kept = best_of(shared, ["_key"], *first).select("_key", F.col(file).alias("_file"))
     others = rows.where("_key is not null").select("_key", file).distinct().join(kept, "_key").where(F.col(file) != F.col("_file")).groupBy("_key").agg(F.array_sort(F.collect_set(file)).alias("_others"))
-    stay = ranked.join(kept, "_key").where(F.col(file) == F.col("_file")).join(others, "_key", "left")
+    own = shared.join(kept, (shared["_key"] == kept["_key"]) & (F.col(file) == F.col("_file")), "left_semi")
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_key", file).orderBy(*first)))
+    stay = own.join(others, "_key", "left")
     copies = F.when(F.col("_n") == 1, F.coalesce("_others", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    out = stay.withColumn("duplicates", copies).drop("_file", "_others", "_n")
+    out = stay.withColumn("duplicates", copies).drop("_others", "_n")
     alone = rows.where("_key is null").withColumn("duplicates", F.array().cast("array<string>"))
     return out.unionByName(alone).drop("_key")
 

