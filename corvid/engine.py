@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,18 +16,23 @@ from corvid.sources.parse import parsed
 from corvid.sources.snapshots import Store, content_stamp
 
 TABLES = ("symbol", "chunk", "raw_edge", "calls", "file_meta")
+#: The columns of each table that name the file a row belongs to.
+OWNERS = {"symbol": ["file"], "chunk": ["file"], "raw_edge": ["from_file"], "calls": ["in_file", "out_file"], "file_meta": ["path"]}
 
 
 class Engine:
     """Tables of a repository under ``root``, written a generation at a time.
 
     ``embed`` maps texts to vectors; ``identity`` names it, and another identity than the stored one makes the next run
-    start anew, so that vectors of different embedders are never compared.
+    start anew, so that vectors of different embedders are never compared.  ``progress`` is called with the name of each
+    step of a run when it begins.
     """
 
-    def __init__(self, spark: SparkSession, root: str, embed: cache.Embedder | None = None, identity: str = "hashing-64"):
+    def __init__(self, spark: SparkSession, root: str, embed: cache.Embedder | None = None, identity: str = "hashing-64", progress: Callable[[str], None] | None = None):
         self.spark, self.store = spark, Store(spark, root)
         self.embed, self.identity = embed or cache.hashing_embedder(), identity
+        self.progress = progress or (lambda step: None)
+        self._answers: dict[tuple[int, str], DataFrame] = {}
         self._pinned: tuple[int, DataFrame] | None = None
         self._held: list[DataFrame] = []
 
@@ -37,10 +42,22 @@ class Engine:
         return df
 
     def _write(self, tables: dict[str, DataFrame], repo: str, found: list[str]) -> int:
+        self.progress("write")
         try:
-            return self.store.write(tables, self._meta(repo, found, tables["chunk"]))
+            g = self.store.write({"ignored": self._ignored(), **tables}, self._meta(repo, found, tables["chunk"]))
         finally:
             self._release()
+        self.refresh()
+        return g
+
+    def _ignored(self) -> DataFrame:
+        """Paths that were taken out of the index and stay out (path)."""
+        found = self.store.find("ignored", "path string")
+        return self.spark.createDataFrame([], "path string") if found is None else found
+
+    def _listed(self, repo: str, more_extensions: tuple[str, ...]) -> DataFrame:
+        self.progress("list")
+        return files.walk(self.spark, repo, False, more_extensions).join(self._ignored(), "path", "left_anti")
 
     def _release(self) -> None:
         while self._held:
@@ -80,12 +97,15 @@ class Engine:
 
     def index(self, repo: str, more_extensions: tuple[str, ...] = ()) -> int:
         """Index a repository from scratch; texts whose vectors are stored aren't embedded again.  Returns the generation."""
-        listed = files.walk(self.spark, repo, True, more_extensions)
+        listed = files.with_contents(self._listed(repo, more_extensions))
         found = self._frameworks(files.listing(self.spark, repo))
+        self.progress("parse")
         tables = self._parse(repo, listed, found)
         same = self.store.current() is not None and self.store.meta().get("identity") == self.identity
         known = self.store.read("chunk").select(F.md5("content").alias("key"), "embedding").dropDuplicates(["key"]) if same else None
+        self.progress("embed")
         tables["chunk"] = self._hold(self._vectors(tables["chunk"], known))
+        self.progress("resolve")
         tables["calls"] = graph.resolve(tables["raw_edge"], tables["symbol"]).drop("edge_id", "level")
         return self._write(tables, repo, found)
 
@@ -94,7 +114,7 @@ class Engine:
         if self.store.current() is None or self.store.meta().get("identity") != self.identity:
             return self.index(repo, more_extensions)
         old = {t: self.store.read(t) for t in TABLES}
-        listed = self._hold(files.walk(self.spark, repo, False, more_extensions))
+        listed = self._hold(self._listed(repo, more_extensions))
         changes = incremental.snapshot_diff(old["file_meta"], listed, chunker.VERSION)
         if self._hold(changes).isEmpty():
             self._release()
@@ -102,6 +122,7 @@ class Engine:
         touched = listed.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
         before = list(self.store.meta().get("frameworks") or [])
         found = before + [n for n in self._frameworks(touched) if n not in before]
+        self.progress("parse")
         changed = files.with_contents(touched)  # nothing else is read from the disk
         new = self._parse(repo, changed, found)
         gone = changes.select("path")
@@ -112,6 +133,7 @@ class Engine:
             "raw_edge": incremental.without_files(old["raw_edge"], gone, ["from_file"]).unionByName(new["raw_edge"]),
             "file_meta": incremental.without_files(old["file_meta"], gone, ["path"]).unionByName(new["file_meta"]),
         }
+        self.progress("resolve")
         before = old["symbol"].join(gone.withColumnRenamed("path", "file"), "file", "left_semi")
         delta = incremental.surface_delta(before, new["symbol"])
         radius = self._hold(incremental.blast_radius(gone.withColumnRenamed("path", "file"), delta, old["calls"], tables["raw_edge"]))
@@ -121,6 +143,36 @@ class Engine:
             tables["calls"] = graph.resolve(tables["raw_edge"], tables["symbol"]).drop("edge_id", "level")
         return self._write(tables, repo, found)
 
+    def heal(self, repo: str, more_extensions: tuple[str, ...] = ()) -> int:
+        """Derive all raw edges from the disk again and resolve them; symbols, chunks and vectors stay."""
+        old = {t: self.store.read(t) for t in TABLES}
+        found = list(self.store.meta().get("frameworks") or [])
+        self.progress("parse")
+        old["raw_edge"] = self._hold(self._parse(repo, files.with_contents(self._listed(repo, more_extensions)), found)["raw_edge"])
+        self.progress("resolve")
+        old["calls"] = graph.resolve(old["raw_edge"], old["symbol"]).drop("edge_id", "level")
+        return self._write(old, repo, found)
+
+    def ignore(self, part: str) -> int | None:
+        """Take the stored files whose path holds ``part``, in any case, out of the index, and keep them out.  None if there is none."""
+        gone = self._hold(explore.ignored(self.store.read("file_meta"), part))
+        if gone.isEmpty():
+            self._release()
+            return None
+        tables = {t: incremental.without_files(self.store.read(t), gone, cols) for t, cols in OWNERS.items()}
+        meta = self.store.meta()
+        return self._write({**tables, "ignored": self._ignored().unionByName(gone).distinct()}, str(meta.get("repo") or ""), list(meta.get("frameworks") or []))
+
+    def unignore(self, part: str) -> int:
+        """Let the next update take in again what was ignored and whose path holds ``part``.  How many paths these are."""
+        ignored = self._ignored()
+        back = ignored.where(F.lower(F.col("path")).contains(part.lower())).count()
+        if back:
+            meta = self.store.meta()
+            left = ignored.where(~F.lower(F.col("path")).contains(part.lower()))
+            self._write({**{t: self.store.read(t) for t in TABLES}, "ignored": left}, str(meta.get("repo") or ""), list(meta.get("frameworks") or []))
+        return back
+
     # ---- asking ------------------------------------------------------------------------------------------------
 
     def _chunks(self) -> DataFrame:
@@ -196,13 +248,38 @@ class Engine:
 
     # ---- exploring ---------------------------------------------------------------------------------------------
 
+    def _answer(self, name: str, kind: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A small answer about the current generation: as it was given before, as it is stored, or made and stored.
+
+        What is stored is written next to the tables it was made of; if it can't be read as ``kind``, it is made again.
+        """
+        g = self.store.current()
+        if (g, name) not in self._answers:
+            found = self.store.find(f"_answer_{name}", kind, g)
+            if found is None:
+                self.store.put(f"_answer_{name}", make(), g)
+                found = self.store.find(f"_answer_{name}", kind, g)
+            self._answers = {k: v for k, v in self._answers.items() if k[0] == g}
+            self._answers[g, name] = self._few(found)
+        return self._answers[g, name]
+
+    def refresh(self) -> None:
+        """Make the answers that are asked for most; done at the end of each run, so that asking never computes them."""
+        self.graph()
+        self.stats()
+
     def graph(self, nodes: int = 250, edges: int = 600) -> tuple[DataFrame, DataFrame]:
-        calls = self.store.read("calls")
-        top = graph.hubs(calls, self.store.read("symbol"), nodes)
-        return top, graph.hub_edges(calls, top, edges)
+        """The busiest symbols and the calls among them; for the usual limits as they were found by the last run."""
+        calls, symbols = self.store.read("calls"), self.store.read("symbol")
+        if (nodes, edges) != (250, 600):
+            top = graph.hubs(calls, symbols, nodes)
+            return top, graph.hub_edges(calls, top, edges)
+        top = self._answer("nodes", "node string, degree bigint, name string, kind string, file string, line_start int", lambda: graph.hubs(calls, symbols, nodes))
+        return top, self._answer("edges", "in_fqn string, out_fqn string", lambda: graph.hub_edges(calls, top, edges))
 
     def stats(self) -> DataFrame:
-        return explore.stats(self.store.read("file_meta"), self.store.read("chunk"), self.store.read("symbol"))
+        tables = lambda: (self.store.read(t) for t in ("file_meta", "chunk", "symbol"))
+        return self._answer("stats", "files bigint, chunks bigint, symbols bigint, dimensions bigint", lambda: explore.stats(*tables()))
 
     def files(self, part: str | None = None, after: str | None = None, limit: int = 2000) -> DataFrame:
         return explore.page(self.store.read("file_meta"), limit, after, part)
@@ -218,5 +295,7 @@ class Engine:
         return explore.grep(texts, pattern, **options)
 
     def read(self, repo: str, path: str, start: int = 1, end: int = 800) -> DataFrame:
+        """Lines of a file of the repository; a relative path must lie in it, links followed."""
+        path = path if path.startswith("/") or "://" in path else f"{repo.rstrip('/')}/{files.within(repo, path)}"
         own = files.listing(self.spark, repo).where(paths.in_repo(F.col("path"), repo) & (F.col("path") == path))
         return explore.read_range(files.with_contents(own).withColumn("content", F.col("content").cast("string")), path, start, end)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -204,6 +206,28 @@ def ancestors(path: Column) -> Column:
     return F.when(n > 1, F.transform(F.sequence(n - 1, F.lit(1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def glob_prefix(glob: str) -> str | None:
+    """The directory above which a glob can match nothing: its parts before the first with a wildcard."""
+    parts = glob.split("/")
+    fixed = next((k for k, p in enumerate(parts) if any(c in p for c in "*?[")), len(parts))
+    return "/".join(parts[:fixed]) or None
+
+
+def repo_id(repo: str) -> str:
+    """A repository's path as an id for addresses: URL-safe base 64 without padding."""
+    return base64.urlsafe_b64encode(repo.encode()).decode().rstrip("=")
+
+
+def repo_of(id_: str) -> str:
+    """The path that an id stands for, with slashes and without one at its end; ValueError if it is none."""
+    try:
+        raw = base64.b64decode(id_ + "=" * (-len(id_) % 4), altchars=b"-_", validate=True)
+        path = raw.decode()
+    except (binascii.Error, UnicodeDecodeError) as e:
+        raise ValueError(f"not an id of a repository: {id_!r}") from e
+    return path.replace(chr(92), "/").rstrip("/")
+
+
 def file_key(root: str, rel: str) -> str:
     """The key under which a file of a repository is stored."""
     return f"{root.replace(chr(92), '/').rstrip('/')}/{rel.replace(chr(92), '/').lstrip('/')}"

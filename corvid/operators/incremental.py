@@ -38,6 +38,12 @@ def normalised(changes: DataFrame, current: DataFrame, stored: DataFrame) -> Dat
     return c.select("path", change.alias("change")).where("change is not null")
 
 
+def allowed(changes: DataFrame, listed: DataFrame) -> DataFrame:
+    """Changes of files that are indexed (listed: path); deletions always pass, whatever the rules say by now."""
+    deleted = F.col("change") == "deleted"
+    return changes.where(deleted).unionByName(changes.where(~deleted).join(listed.select("path").distinct(), "path", "left_semi").select(*changes.columns))
+
+
 def under(stored: DataFrame, dirs: DataFrame) -> DataFrame:
     """Stored paths under any of the directories (dir): by their ancestors, so that a key carries the join."""
     each = stored.select("path", F.explode(paths.ancestors(F.col("path"))).alias("dir"))

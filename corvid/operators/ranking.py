@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import imports, paths, text
 from corvid.operators import intervals
+from corvid.plans import replies
 from corvid.plans.query import Filters
 
 #: Extensions, calls and words that tell classes of chunks, and the classes' weights.
@@ -108,6 +109,17 @@ def pruned_rows(df: DataFrame, ranges: str = "ranges", least: int = 16) -> DataF
     return df.withColumn("_r", F.explode(use)).withColumns({"line_start": F.col("_r.start"), "line_end": F.col("_r.end")}).drop("_r", ranges)
 
 
+def applied(results: DataFrame, ranked: replies.Ranked, pos: str = "pos") -> DataFrame:
+    """Results in the order of a reranker's reply, with the ranges of lines it picked (null for whole blocks); those it left out go.
+
+    ``pos`` counts from 0 in the order in which the reranker saw the results; they are few.
+    """
+    rows = [(at, new, None if r is None else [list(x) for x in r]) for new, (at, r) in enumerate(zip(ranked.order, ranked.ranges))]
+    order = results.sparkSession.createDataFrame(rows, f"{pos} long, _new long, ranges array<struct<start:int,end:int>>")
+    out = results.join(order, pos).drop(pos).withColumnRenamed("_new", pos)
+    return out.select(*results.columns, "ranges")
+
+
 Scorer = Callable[[str, list[dict]], list[float]]
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from corvid.functions import paths, text, vectors
 from corvid.operators import cache, explore, filters, graph, incremental, intervals, metrics, ranking, vector
 from corvid.plans import query as plans
-from corvid.sources import chunker, frameworks, imports, parse
+from corvid.plans import replies
+from corvid.sources import cases, chunker, frameworks, imports, parse
 from corvid.streaming import changes as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,11 +124,16 @@ def index_delta(spark, d):
     return vector.delta(kept, gone, new, ["label"]).select("vec_id", "first", "label")
 
 
-@_register("SELECT true AS holds")
+_HOLDS = "coalesce(bool_and(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.99), true) AS holds FROM embeddings a JOIN embeddings b ON"
+
+
+@_register(f"SELECT 'same' AS again, {_HOLDS} a.vec_id = b.vec_id UNION ALL SELECT 'next', {_HOLDS} a.vec_id = b.vec_id - 1 UNION ALL SELECT 'none', true")
 def identity_holds(spark, d):
-    e = _t(spark, d, "embeddings")
-    stored = e.orderBy("vec_id").limit(3)
-    return vector.identity_holds(stored, e, "vec_id")
+    """All stored vectors against themselves, against those of the next row, and against none."""
+    e = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    again = {"same": e, "next": e.withColumn("vec_id", F.col("vec_id") - 1), "none": e.limit(0)}
+    rows = [vector.identity_holds(e, x, "vec_id").select(F.lit(n).alias("again"), "holds") for n, x in again.items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
 # ---- filters -------------------------------------------------------------------------------------------------------
@@ -578,12 +584,12 @@ def snapshot_diff(spark, d):
     return incremental.snapshot_diff(stored, current, version=2)
 
 
-_VERSIONS = "b AS (SELECT DISTINCT p_brand AS file, p_type AS name, p_brand || '::' || p_type AS fqn FROM part WHERE p_partkey % 6 <> 0), a AS (SELECT DISTINCT p_brand AS file, p_type AS name, p_brand || '::' || p_type AS fqn FROM part WHERE p_partkey % 4 <> 0), dl AS (SELECT *, 'removed' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'added' FROM (FROM a EXCEPT FROM b))"
+_VERSIONS = "b AS (SELECT DISTINCT p_brand AS file, p_type || p_size AS name, p_brand || '::' || p_type || p_size AS fqn FROM part WHERE p_partkey % 6 <> 0), a AS (SELECT DISTINCT p_brand AS file, p_type || p_size AS name, p_brand || '::' || p_type || p_size AS fqn FROM part WHERE p_partkey % 4 <> 0), dl AS (SELECT *, 'removed' AS change FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'added' FROM (FROM a EXCEPT FROM b))"
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = _t(spark, d, "part")
-    of = lambda m: p.where(F.col("p_partkey") % m != 0).select(F.col("p_brand").alias("file"), F.col("p_type").alias("name"), F.concat_ws("::", "p_brand", "p_type").alias("fqn"))
+    of = lambda m: p.where(F.col("p_partkey") % m != 0).select(F.col("p_brand").alias("file"), F.concat("p_type", "p_size").alias("name"), F.concat(F.col("p_brand"), F.lit("::"), F.col("p_type"), F.col("p_size")).alias("fqn"))
     return of(6), of(4)
 
 
@@ -592,14 +598,14 @@ def surface_delta(spark, d):
     return incremental.surface_delta(*_versions(spark, d))
 
 
-_EDGES = "e AS (SELECT p_brand AS in_file, 'Brand#' || (l_suppkey % 5 + 1) || (l_suppkey % 4 + 1) AS out_file, p_type AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_EDGES = "e AS (SELECT p_brand AS in_file, 'Brand#' || (l_suppkey % 5 + 1) || (l_suppkey % 4 + 1) AS out_file, p_type || p_size AS to_name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-@_register(f"WITH {_VERSIONS}, {_EDGES} SELECT DISTINCT file FROM (SELECT 'Brand#11' AS file UNION ALL SELECT in_file FROM e WHERE out_file IN (SELECT file FROM dl WHERE change = 'removed' AND name LIKE '%A%') UNION ALL SELECT in_file FROM e WHERE to_name IN (SELECT name FROM dl WHERE change = 'added' AND name LIKE '%A%'))")
+@_register(f"WITH {_VERSIONS}, {_EDGES} SELECT DISTINCT file FROM (SELECT 'Brand#11' AS file UNION ALL SELECT in_file FROM e WHERE out_file IN (SELECT file FROM dl WHERE change = 'removed' AND name LIKE 'ECONOMY%') UNION ALL SELECT in_file FROM e WHERE to_name IN (SELECT name FROM dl WHERE change = 'added' AND name LIKE 'ECONOMY%'))")
 def blast_radius(spark, d):
-    delta = incremental.surface_delta(*_versions(spark, d)).where("name like '%A%'")
+    delta = incremental.surface_delta(*_versions(spark, d)).where("name like 'ECONOMY%'")
     e = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    e = e.select(F.col("p_brand").alias("in_file"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_suppkey") % 4 + 1).cast("string")).alias("out_file"), F.col("p_type").alias("to_name"), F.col("p_brand").alias("from_file"))
+    e = e.select(F.col("p_brand").alias("in_file"), F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_suppkey") % 4 + 1).cast("string")).alias("out_file"), F.concat("p_type", "p_size").alias("to_name"), F.col("p_brand").alias("from_file"))
     changed = spark.createDataFrame([("Brand#11",)], "file string")
     return incremental.blast_radius(changed, delta, e, e)
 
@@ -754,10 +760,14 @@ def framework_edges(spark, d):
     return made.where(known).select("path", "name", "to_name", F.col("line_start").cast("long").alias("line"), "import_path")
 
 
-@_register()
+@_register("""SELECT * FROM (VALUES ('api.go', 'symbol', 'Routes', 'function', 'api.go::Routes', NULL, 2, 4, NULL), ('api.go', 'edge', 'Routes', NULL, 'api.go::Routes', NULL, 3, 3, 'r.GET'),
+('src/app.js', 'symbol', 'start', 'function', 'src/app.js::start', NULL, 2, 5, NULL), ('src/app.js', 'edge', 'start', NULL, 'src/app.js::start', NULL, 3, 3, 'app.get'), ('src/app.js', 'edge', 'start', NULL, 'src/app.js::start', NULL, 4, 4, 'app.use'),
+('src/view.tsx', 'symbol', 'Page', 'function', 'src/view.tsx::Page', NULL, 1, 3, NULL), ('svc.py', 'symbol', 'A', 'class', 'svc.py::A', NULL, 1, 3, NULL), ('svc.py', 'symbol', 'f', 'method', 'svc.py::A::f', 'svc.py::A', 2, 3, NULL),
+('svc.py', 'symbol', 'g', 'function', 'svc.py::g', NULL, 5, 6, NULL), ('svc.py', 'edge', 'f', NULL, 'svc.py::A::f', NULL, 3, 3, 'g')) v(path, kind, name, symbol_kind, fqn, parent_fqn, line_start, line_end, to_name)""")
 def parsed_repository(spark, d):
     files = spark.createDataFrame([(p, c.encode()) for p, c in _REPO], "path string, content binary")
-    return parse.parsed(files).orderBy("path", "kind", "line_start", "name", "to_name")
+    rows = parse.parsed(files).where("kind in ('symbol', 'edge')")
+    return rows.select("path", "kind", "name", "symbol_kind", "fqn", "parent_fqn", "line_start", "line_end", "to_name")
 
 
 _IMPORTS = [(1, "typescript", "./util", "src/a.ts"), (2, "typescript", "@/lib/x", "src/a.ts"), (3, "python", "pkg.mod", "main.py"), (4, "python", "..base", "pkg/sub/m.py"), (5, "rust", "crate::net::tcp", "src/main.rs"), (6, "go", "m/handlers", "main.go"), (7, "javascript", "./none", "src/a.ts")]
@@ -910,6 +920,50 @@ def cached_vectors(spark, d):
     return cache.with_vectors(docs, known, embed).select("doc_id", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
 
 
+# ---- replies, hints, cases, ids ------------------------------------------------------------------------------------------
+
+_REPLIES = ["so <ranked_indices>[2, 0]</ranked_indices>", "```json\n[1]\n```", '[{"chunk_index": 2, "lines": [[110, 112], [114, 115], [159, 400]]}, 9, {"i": 1, "lines": [[12, 13]]}]', "[]", "no idea"]
+
+
+@_register("SELECT * FROM (VALUES (0, 0, 2, ''), (0, 1, 0, ''), (1, 0, 1, ''), (2, 0, 2, '108-117,157-160'), (2, 1, 1, ''), (4, 0, 0, ''), (4, 1, 1, ''), (4, 2, 2, '')) v(reply, pos, block, ranges)")
+def rerank_replies(spark, d):
+    rows = [(k, pos, at, ",".join(f"{a}-{b}" for a, b in r or [])) for k, x in enumerate(_REPLIES) for got in [replies.read(x, [(1, 40), (10, 20), (100, 160)])] for pos, (at, r) in enumerate(zip(got.order, got.ranges))]
+    return spark.createDataFrame(rows, "reply int, pos int, block int, ranges string")
+
+
+@_register(f"WITH {_LONGEST.format(k=30)}, r AS (SELECT pos AS old, doc_id, row_number() OVER (ORDER BY n_chars % 10 DESC, pos) - 1 AS pos FROM p) SELECT pos, doc_id, CASE WHEN old % 3 = 0 THEN '1-' || (old + 5) || ',40-45' ELSE '' END AS ranges FROM r")
+def narrowed(spark, d):
+    """The longest texts by probability; every third has spans, of which two overlap and one is improbable."""
+    top = _longest(spark, d, 30)
+    rows = top.orderBy("pos").collect()
+    spans = [[(1, r.pos + 3), (r.pos + 2, r.pos + 5), (40, 45), (60, 70)] if r.pos % 3 == 0 else [] for r in rows]
+    ranked = replies.by_probability([r.n_chars % 10 / 10 for r in rows], spans, [[0.5, 0.9, 0.8, 0.4][: len(x)] for x in spans])
+    shown = F.array_join(F.transform(F.coalesce("ranges", F.array().cast("array<struct<start:int,end:int>>")), lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
+    return ranking.applied(top, ranked).select("pos", "doc_id", shown.alias("ranges"))
+
+
+@_register("SELECT 'Engine|merge|helper|walk_all' AS hint")
+def grep_hint(spark, d):
+    blocks = [(["run", "Engine", "operator=="], ["a b", "helper", "Engine", "walk_all", "fifth"]), (["merge"], [])]
+    return spark.createDataFrame([(replies.grep_hint(blocks),)], "hint string")
+
+
+_COMMENTED = "# Reads the whole listing once and hands\n# every path to the callers in sorted order.\ndef walk(a):\n    b = 1\n    c = 2\n    d = 3\n    e = 4\n    return a\n\n# This one says what short_name means, which gives it away at once.\ndef short_name(a):\n    b = 1\n    c = 2\n    d = 3\n    e = 4\n    return a\n"
+
+
+@_register("SELECT 'Reads the whole listing once and hands every path to the callers in sorted order.' AS query, 'a.py' AS file, 'walk' AS symbol, 3 AS line_start, 8 AS line_end")
+def eval_cases(spark, d):
+    return cases.derived(spark.createDataFrame([("a.py", _COMMENTED.encode()), ("b.py", b"\xff")], "path string, content binary"))
+
+
+@_register("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 3 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def changes_allowed(spark, d):
+    """Every document changes, every third goes; those with an even number are indexed."""
+    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"))
+    changes = docs.select("path", F.when(F.col("doc_id") % 3 == 0, "deleted").otherwise("modified").alias("change"))
+    return incremental.allowed(changes, docs.where("doc_id % 2 = 0").select("path"))
+
+
 # ---- event time (beyond the retrieval engine) ------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Iterator
 
@@ -60,6 +61,33 @@ def with_contents(listed: DataFrame) -> DataFrame:
     return listed.mapInArrow(run, T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
+def within(root: str, rel: str) -> str:
+    """A path relative to a root, as it is once links are followed; ValueError if it is absolute, isn't there or leaves the root."""
+    rel = rel.strip()
+    if not rel or rel.startswith(("/", "\\")) or ":" in rel:
+        raise ValueError(f"not a path relative to the repository: {rel!r}")
+    base, target = os.path.realpath(root), os.path.realpath(os.path.join(root, rel))
+    if not os.path.exists(target):
+        raise ValueError(f"not in the repository: {rel}")
+    if os.path.commonpath([base, target]) != base:
+        raise ValueError(f"outside the repository: {rel}")
+    return os.path.relpath(target, base)
+
+
+def main_root(repo: str) -> str | None:
+    """The main working folder of a linked one, whose ``.git`` is a file that points into the main one's; None for others."""
+    try:
+        with open(os.path.join(repo, ".git"), encoding="utf-8") as f:
+            said = next((x.removeprefix("gitdir:").strip() for x in f if x.startswith("gitdir:")), "")
+    except OSError:
+        return None
+    parts = os.path.normpath(os.path.join(repo, said)).split(os.sep) if said else []
+    if parts[-3:-1] != [".git", "worktrees"]:
+        return None
+    main = os.path.realpath(os.sep.join(parts[:-3]))
+    return main if os.path.isdir(main) and main != os.path.realpath(repo) else None
+
+
 class IgnoreRules:
     """Patterns of ignore files: (directory, lines), those of deeper directories and later lines win."""
 

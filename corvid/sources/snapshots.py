@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,24 @@ class Store:
             raise FileNotFoundError(f"nothing is stored under {self.root}")
         return self.spark.read.parquet(f"{self.root}/gen={g}/{name}")
 
+    def find(self, name: str, kind: str, generation: int | None = None) -> DataFrame | None:
+        """A table of a generation if it is there and has the columns of ``kind``, else None."""
+        g = self.current() if generation is None else generation
+        fs, path = self._fs()
+        if g is None or not fs.exists(path(f"{self.root}/gen={g}/{name}/_SUCCESS")):
+            return None
+        try:
+            df = self.spark.read.parquet(f"{self.root}/gen={g}/{name}")
+        except (PySparkException, Py4JJavaError):  # no table, or one that was cut short
+            return None
+        wanted = [c.split() for c in kind.split(", ")]
+        return df if [list(x) for x in df.dtypes] == wanted else None
+
+    def put(self, name: str, df: DataFrame, generation: int | None = None) -> None:
+        """Write a small table next to those of a generation."""
+        g = self.current() if generation is None else generation
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/gen={g}/{name}")
+
     def meta(self, generation: int | None = None) -> dict[str, object]:
         return {r["key"]: json.loads(r["value"]) for r in self.read("_meta", generation).collect()} if self.current() is not None else {}
 

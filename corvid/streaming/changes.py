@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corvid.operators import incremental
+
 #: What a watcher's event means for a path.
 EVENT_KINDS = {"create": "added", "modify": "modified", "remove": "deleted", "rename_from": "deleted", "rename_to": "added"}
 
@@ -20,7 +23,37 @@ def as_changes(events: DataFrame, kind: str = "event", path: str = "path", order
 
 def coalesced(changes: DataFrame) -> DataFrame:
     """The last change of each path of a batch."""
-    return changes.groupBy("path").agg(F.max_by("change", "seq").alias("change"))
+    return incremental.last_change(changes, "seq")
+
+
+class Debounced:
+    """Runs something once calls have been quiet for a while; calls during a run lead to one more run after it."""
+
+    def __init__(self, run: Callable[[], None], quiet: float = 4.0):
+        self._run, self._quiet = run, quiet
+        self._lock, self._timer, self._running, self._again = threading.Lock(), None, False, False
+
+    def __call__(self) -> None:
+        with self._lock:
+            if self._running:
+                self._again = True
+                return
+            if self._timer:
+                self._timer.cancel()
+            self._timer = threading.Timer(self._quiet, self._fire)
+            self._timer.daemon = True
+            self._timer.start()
+
+    def _fire(self) -> None:
+        with self._lock:
+            self._timer, self._running = None, True
+        try:
+            self._run()
+        finally:
+            with self._lock:
+                self._running, again, self._again = False, self._again, False
+            if again:
+                self()
 
 
 def maintain(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, debounce: str = "3 seconds", once: bool = False) -> StreamingQuery:
