@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -26,6 +27,7 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        warnings.warn(f"spark.checkpoint.dir is unset: intermediate tables go to {found}, which all executors must share", stacklevel=3)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

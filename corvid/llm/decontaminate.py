@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.llm.common import HASHES, column_bytes, grams, winnow
+from corvid.llm.common import HASHES, column_bytes, discard, grams, materialize, winnow
 
 #: Bytes that aren't part of words become spaces, A-Z lower case.
 _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
@@ -140,8 +140,8 @@ def shared_spans(docs: DataFrame, bench: DataFrame, t: int = 10, k: int = 5, id_
     reported.  Items without words never occur.  Without items nothing is hit.
 
     The documents aren't shuffled.  The benchmark is broadcast as an index, in blocks of about ``block_bytes`` of text:
-    its size is measured first, and a benchmark of n blocks is worked off in n maps over the rows, each adding its spans,
-    so neither the broadcast nor what the driver holds grows with the benchmark.
+    its size is measured first, and a benchmark of n blocks is worked off in n passes over the rows, each adding its spans
+    and all but the last written to the scratch folder, so that neither the driver nor a worker ever holds two blocks.
     """
     if not 1 <= k <= t:
         raise ValueError("k must be from 1 to t")
@@ -155,7 +155,13 @@ def shared_spans(docs: DataFrame, bench: DataFrame, t: int = 10, k: int = 5, id_
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         rows = sorted((r["item"], r["text"].encode()) for r in part.collect())
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(rows), t, k, b == 0, keep_text or b < blocks - 1), result)
+        sent = spark.sparkContext.broadcast(rows)
+        before, out = out, out.mapInArrow(_pass(sent, t, k, b == 0, keep_text or b < blocks - 1), result)
+        if b < blocks - 1:
+            out = materialize(out, "pass")
+            sent.destroy()
+            if b:
+                discard(before)
     return out
 
 

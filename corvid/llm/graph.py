@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the least node of its component.
 
     Alternates large-star and small-star steps until the edges stop changing: a logarithmic number of rounds, each a
-    partial minimum by node and a join back, so that a node with very many edges is never gathered in one place.  Every
+    partial minimum by node and a join of the edges with these minima, a row a node: of a node with very many edges, whose
+    edges are one key of that join, the edges' side is split between tasks as a skewed join's (adaptive execution).  Every
     round is written to the shared scratch folder.  Loops and repeated edges may occur; no edges give no rows.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()

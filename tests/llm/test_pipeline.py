@@ -61,6 +61,24 @@ def test_stages(spark, sf_dir):
     assert set(final) == set(clean)
 
 
+def run_on(spark, path, docs, items):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path)).collect()
+
+
+def test_run_takes_odd_tables(spark, docs, nothing, tmp_path):
+    rows = run_on(spark, tmp_path / "odd", docs, [(1, None), (2, ""), (None, "x y")])  # nulls, long texts, clashing columns
+    ids = [r.doc_id for r in rows]
+    assert rows and len(set(ids)) == len(ids) and all(r.n_tokens for r in rows)
+    assert run_on(spark, tmp_path / "empty", nothing, []) == []
+    assert run_on(spark, tmp_path / "nulls", spark.createDataFrame([(None,) * len(docs.columns)] * 3, docs.schema), []) == []
+    text = " ".join(f"word{k}" for k in range(60))
+    twice = spark.createDataFrame([(1, text, "en", "s", len(text))] * 2 + [(2, text + " more", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in run_on(spark, tmp_path / "twice", twice, [])) == [1, 1]  # a repeated row is one document, a near copy goes
+    assert run_on(spark, tmp_path / "known", twice, [(7, text)]) == []
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, name):
     import duckdb
