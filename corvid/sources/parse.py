@@ -261,12 +261,12 @@ def parsed(files: DataFrame, frameworks: list[str] | tuple[str, ...] = (), path:
         symbols, edges = parse(file, source)
         edges = edges + [Edge(n, f, t, line, i) for n, f, t, line, i in framework_edges(file, source, symbols, frameworks)]
         lines = source.split("\n")
-        tops = [(s.first, s.last) for s in symbols if s.parent is None]
+        units = [(s.first, s.last) for s in symbols]
         for s in symbols:
             yield {"path": file, "kind": "symbol", "fqn": s.fqn, "name": s.name, "symbol_kind": s.kind, "parent_fqn": s.parent, "line_start": s.first, "line_end": s.last}
         for e in edges:
             yield {"path": file, "kind": "edge", "fqn": e.from_fqn, "name": e.from_name, "to_name": e.to_name, "import_path": e.import_path, "line_start": e.line, "line_end": e.line}
-        for a, b in chunker.around(source, tops) if tops else chunker.windows(source):
+        for a, b in chunker.around(source, units) if units else chunker.windows(source):
             text = "\n".join(lines[a - 1 : b])
             if text.strip():
                 s = enclosing(symbols, a, b)
