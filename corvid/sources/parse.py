@@ -1,7 +1,7 @@
 """Symbols, raw call edges and chunks of source files.
 
-Python is read by its own parser; C, C++, JavaScript, TypeScript, Rust, Go and
-Java from tokens and matched brackets (``syntax``).  Other languages are read by
+Python is read by its own parser; C, C++, C#, JavaScript, TypeScript, Rust, Go
+and Java from tokens and matched brackets (``syntax``).  Other languages are read by
 family: text and comments are blanked, definitions found by the language's
 profile, and their extent by braces, by the matching ``end``, or by indentation.
 That sees what a full grammar sees in ordinary code; macros and exotic syntax it
@@ -100,7 +100,6 @@ _ID = r"([A-Za-z_$][\w$]*)"
 _TYPES = r"[\w<>\[\],.?&*:\s]+?[\s&*]"
 _METHOD = rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|synchronized|partial|extern|inline|constexpr|const|unsafe|new)\s+)*(?:{_TYPES})?{_ID}\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)[^;{{}}=]*\{{"
 PROFILES: dict[str, dict] = {
-    "csharp": {"defs": [("class", rf"\b(?:class|record)\s+{_ID}"), ("struct", rf"\bstruct\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("module", r"\bnamespace\s+([\w.]+)\s*\{"), ("method", _METHOD)], "text": _C_LIKE + r'|@"(?:[^"]|"")*"'},
     "php": {"defs": [("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("trait", rf"\btrait\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("function", rf"\bfunction\s+&?{_ID}")], "text": _C_LIKE + r"|#[^\n]*", "leaf": True},
     "ruby": {"defs": [("class", r"^[ \t]*class\s+([A-Z][\w:]*)"), ("module", r"^[ \t]*module\s+([A-Z][\w:]*)"), ("method", r"^[ \t]*def\s+(?:self\.)?([\w?!=]+)")], "text": r"#[^\n]*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "leaf": True, "ends": "indent"},
     "objectivec": {"defs": [("interface", rf"@interface\s+{_ID}"), ("class", rf"@implementation\s+{_ID}"), ("method", rf"^[-+]\s*\([^)]*\)\s*{_ID}")], "text": _C_LIKE, "leaf": True},

@@ -102,6 +102,7 @@ _TEXTS = {
     "javascript": rf"`(?:[^`\\]|\\.)*`?|{_DOUBLE}|{_SINGLE}",
     "rust": r'b?r(?P<mark>#*)".*?"(?P=mark)|b?"(?:[^"\\]|\\.)*"?' + r"|b?'(?:[^'\\\n]|\\[^\n]+?)'|'[A-Za-z_]\w*",
     "go": rf"`[^`]*`?|{_DOUBLE}|{_SINGLE}",
+    "csharp": rf'"""+.*?"""+|\$?@\$?"(?:[^"]|"")*"|\$?{_DOUBLE}|{_SINGLE}',
     "java": rf'"""(?:[^\\]|\\.)*?"""|{_DOUBLE}|{_SINGLE}',
 }
 _REGEX = re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
@@ -117,7 +118,7 @@ def lex(text: str, lang: str) -> Source:
     lexer, out, includes, at, line = _LEXERS[lang], [], [], 0, 1
     start_of_line = True
     while at < len(text):
-        if lang == "cpp" and start_of_line and (m := _DIRECTIVE.match(text, at)):
+        if lang in ("cpp", "csharp") and start_of_line and (m := _DIRECTIVE.match(text, at)):
             if inc := _INCLUDE.match(m[0]):
                 includes.append(inc[1])
         elif lang == "javascript" and text[at] == "/" and text[at + 1 : at + 2] not in ("/", "*") and (out[-1].text if out else "") in _BEFORE_REGEX and (m := _REGEX.match(text, at)):
@@ -535,7 +536,7 @@ def _java(s: Source, i: int, declares: bool, scope: list[Found], holder: str) ->
     before = s[i - 1]
     typed = (_word(before) and before not in _JAVA_WORDS | {"public", "private", "protected"}) or before in (">", "]")
     builds = t == holder and before in ("public", "private", "protected", ";", "{", "}", ">", ")")
-    if not typed and not builds:
+    if not typed and not builds or before in ("class", "interface", "enum", "record"):
         return None
     k = s.pair[i + 1] + 1
     while s[k] == "[":
@@ -572,6 +573,53 @@ def _java_call(s: Source, i: int) -> Call | None:
     return Call(s[i], start)
 
 
+# ---- C# --------------------------------------------------------------------------------------------------------------
+
+_CS_WORDS = frozenset("if for foreach while switch catch return new throw else do case lock using fixed sizeof typeof default checked unchecked when where await yield stackalloc base this get set in is as out ref not and or".split())
+_CS_TYPES = {"class": "class", "record": "class", "struct": "struct", "interface": "interface", "enum": "enum", "namespace": "module"}
+
+
+def _csharp(s: Source, i: int, declares: bool, scope: list[Found], holder: str) -> Found | None:
+    t = s[i]
+    if t in _CS_TYPES and _word(s[i + 1]) and s[i - 1] not in (":", ",", ".", "record"):  # behind a colon it is a constraint
+        k = i + 2 if t == "record" and s[i + 1] in ("class", "struct") else i + 1
+        name, k = s[k], k + 1
+        while t == "namespace" and s[k] == ".":
+            name, k = f"{name}.{s[k + 1]}", k + 2
+        while k < len(s.tokens) and s[k] not in ("{", ";"):
+            k = max(s.angles(k), k + 1) if s[k] == "<" else s.after(k)
+        first = i if t == "namespace" else _back_to(s, i, _CPP_STOPS)
+        if s[k] == "{" and k in s.pair:
+            return Found(name, _CS_TYPES[t], first, s.pair[k], k, t != "enum", type_name=name)
+        return Found(name, "class", first, k) if t == "record" and s[k] == ";" else None
+    if not (declares and _word(t) and t not in _CS_WORDS):
+        return None
+    k = s.angles(i + 1) if s[i + 1] == "<" else i + 1
+    if s[k] != "(" or k not in s.pair:
+        return None
+    before = s[i - 1]
+    typed = (_word(before) and before not in _CS_WORDS | {"public", "private", "protected", "internal", "static", "operator"}) or before in (">", "]", "?", ")")
+    builds = t == holder and before in ("public", "private", "protected", "internal", "static", ";", "{", "}", "]")
+    if not typed and not builds or before in _CS_TYPES or s[s.inside[i]] == "[":
+        return None
+    k = s.pair[k] + 1
+    while k < len(s.tokens) and s[k] not in ("{", ";", "=>", "=", "}"):  # constraints, a call of another constructor
+        k = max(s.angles(k), k + 1) if s[k] == "<" else s.after(k)
+    first = _back_to(s, i, _CPP_STOPS)
+    kind = "method" if scope else "function"
+    if s[k] == "{" and k in s.pair:
+        return Found(t, kind, first, s.pair[k], k)
+    body = k
+    while s[k] == "=>" or (body != k and k < len(s.tokens) and s[k] not in (";", "}")):
+        k = s.after(k)
+    return Found(t, kind, first, k) if s[k] == ";" else None
+
+
+def _cs_member(s: Source, i: int, in_class: bool) -> bool:
+    """Whether a name with a bracket is an attribute."""
+    return in_class and s[s.inside[i]] == "["
+
+
 class Rules(NamedTuple):
     definition: Callable[[Source, int, bool, list[Found], str], Found | None]
     call: Callable[[Source, int], Call | None]
@@ -583,8 +631,9 @@ RULES = {
     "rust": Rules(_rust, _chain_call(_RUST_WORDS, (".", "::"))),
     "go": Rules(_go, _chain_call(_GO_WORDS, (".",))),
     "java": Rules(_java, _java_call),
+    "csharp": Rules(_csharp, _chain_call(_CS_WORDS, (".", "?.", "::"))),
 }
-AS = {"c": "cpp", "cpp": "cpp", "javascript": "javascript", "typescript": "javascript", "tsx": "javascript", "svelte": "javascript", "rust": "rust", "go": "go", "java": "java"}
+AS = {"c": "cpp", "cpp": "cpp", "javascript": "javascript", "typescript": "javascript", "tsx": "javascript", "svelte": "javascript", "rust": "rust", "go": "go", "java": "java", "csharp": "csharp"}
 
 
 def _include_of(call: Call, includes: list[str]) -> str | None:
@@ -606,7 +655,7 @@ def read(text: str, lang: str) -> tuple[list[tuple[Found, list[Found], int, int]
     declaring: dict[int, tuple[bool, str]] = {}
     upto = calls_from = -1
     names: set[int] = set()
-    member = {"javascript": _js_member, "java": _java_member}.get(lang)
+    member = {"javascript": _js_member, "java": _java_member, "csharp": _cs_member}.get(lang)
     i = 0
     while i < len(s.tokens):
         while scope and scope[-1].last < i:
@@ -636,7 +685,7 @@ def read(text: str, lang: str) -> tuple[list[tuple[Found, list[Found], int, int]
                     declaring[f.body] = f.declares, f.type_name or f.name
                     if f.kind in ("function", "method") and lang != "javascript":  # parameters and initialisers call nothing of their own
                         calls_from = f.body
-                        upto = f.body if lang in ("cpp", "java") else upto
+                        upto = f.body if lang in ("cpp", "java", "csharp") else upto
                 names.update(range(f.first, i + 2))
             elif scope and i > calls_from and i not in names and not (member(s, i, holds and bool(blocks)) if member else False) and (c := rules.call(s, i)):
                 calls.append((c, list(scope), s.tokens[c.first].line, _include_of(c, s.includes) if s.includes else None))

@@ -86,6 +86,26 @@ public class A<T extends Comparable<T>> extends B implements C {
 """
 
 
+CSHARP = """using System;
+#region x {
+namespace N.M {
+  [Attr(typeof(X))]
+  public sealed class A<T> : B, I<T> where T : class, new() {
+    private readonly Dictionary<string, List<T>> m = new Dictionary<string, List<T>>();
+    public A(int x) : base(Make(x)) { Init($"}{x}"); }
+    public int P { get { return Get(); } set; }
+    public async Task<List<T>> Run<K>(K k, int[] a) where K : struct { await this.m.Go(k); return Util.Of<T>(k); }
+    public int Short(int a) => Twice(a);
+    protected abstract void None(int a);
+    enum Q { X, Y }
+  }
+  public record R(int A, string B);
+  struct S { void F() { var s = @"{"; new Thing(W()); } }
+  interface J { int G(); }
+}
+"""
+
+
 def of(file, text):
     symbols, edges = parse(file, text)
     at = len(file) + 2
@@ -126,6 +146,16 @@ def test_java():
     assert [e[:2] for e in edges] == [("A::A", "init"), ("A::go", "get"), ("A::go", "run"), ("A::go::run", "deep"), ("A::go", "of"), ("A::Q", "setup")]
 
 
+def test_csharp():
+    symbols, edges = of("a.cs", CSHARP)
+    a = "N.M::A"
+    assert symbols == [
+        ("module", "N.M", 3, 17), ("class", a, 4, 13), ("method", f"{a}::A", 7, 7), ("method", f"{a}::Run", 9, 9), ("method", f"{a}::Short", 10, 10), ("method", f"{a}::None", 11, 11), ("enum", f"{a}::Q", 12, 12),
+        ("class", "N.M::R", 14, 14), ("struct", "N.M::S", 15, 15), ("method", "N.M::S::F", 15, 15), ("interface", "N.M::J", 16, 16), ("method", "N.M::J::G", 16, 16),
+    ]
+    assert [e[:2] for e in edges] == [(f"{a}::A", "Init"), (a, "Get"), (f"{a}::Run", "this.m.Go"), (f"{a}::Run", "Util.Of<T>"), (f"{a}::Short", "Twice"), ("N.M::S::F", "W")]
+
+
 def test_a_page_is_read_by_its_script_and_broken_python_by_the_rest():
     assert of("a.svelte", "<p>f()</p>\n<script>\nfunction f() { g(); }\n</script>\n") == ([("function", "f", 3, 3)], [("f", "g", 3, None)])
     symbols, edges = of("a.py", "def a():\n    b()\n\ndef broken(:\n    c()\n\ndef d():\n    e()\n")
@@ -133,7 +163,7 @@ def test_a_page_is_read_by_its_script_and_broken_python_by_the_rest():
 
 
 @pytest.mark.parametrize("text", ["(" * 20_000, "}" * 20_000, "a<" * 5_000, "f(a).b" * 10_000, "x, " * 20_000, "int a = b;\n" * 10_000, "v = 1\n" * 10_000, "'" * 20_001, "/*" * 20_000])
-@pytest.mark.parametrize("file", ["a.cpp", "a.js", "a.rs", "a.go", "A.java"])
+@pytest.mark.parametrize("file", ["a.cpp", "a.js", "a.rs", "a.go", "A.java", "a.cs"])
 def test_odd_texts_end(file, text):
     began = time.process_time()
     parse(file, text)
