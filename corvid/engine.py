@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvid.functions import paths
 from corvid.operators import cache, explore, filters, graph, incremental, intervals, ranking, vector
 from corvid.plans.query import Filters, parse
-from corvid.sources import chunker, files, frameworks
+from corvid.sources import chunker, files, frameworks, imports
 from corvid.sources.parse import parsed
 from corvid.sources.snapshots import Store, content_stamp
 
@@ -81,6 +81,21 @@ class Engine:
         meta = meta.select("path", F.lit(repo).alias("repo"), "mtime", "size", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(chunker.VERSION).alias("chunker_version"))
         return {"symbol": incremental.upserted(symbols, ["fqn"], "file", "line_start", "line_end"), "chunk": chunks, "raw_edge": edges, "file_meta": meta}
 
+    def _imported(self, repo: str, edges: DataFrame, symbols: DataFrame) -> DataFrame | None:
+        """edge_id, file: the files that the edges' imports mean; None if no edge has an import."""
+        if edges.where("import_path is not null").isEmpty():
+            return None
+        base = repo.rstrip("/") + "/"
+        mod = files.with_contents(files.listing(self.spark, repo).where(F.col("path") == base + "go.mod")).select(F.regexp_extract(F.col("content").cast("string"), r"(?m)^module\s+(\S+)", 1)).first()
+        inside = lambda c: F.when(F.col(c).startswith(base), F.substr(F.col(c), F.lit(len(base) + 1))).otherwise(F.col(c))
+        wanted = edges.where("import_path is not null").select("edge_id", paths.language(F.col("from_file")).alias("language"), "import_path", inside("from_file").alias("from_file"))
+        found = imports.resolved(wanted, symbols.select(inside("file").alias("file")).distinct(), mod[0] if mod else "")
+        return found.select("edge_id", F.concat(F.lit(base), "file").alias("file"))
+
+    def _calls(self, repo: str, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+        self.progress("resolve")
+        return graph.resolve(edges, symbols, imported=self._imported(repo, edges, symbols)).drop("edge_id", "level")
+
     def _vectors(self, chunks: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is None:
             new = cache.embedded(chunks.select("content").distinct().withColumn("key", F.md5("content")), self.embed).select("key", "embedding")
@@ -105,8 +120,7 @@ class Engine:
         known = self.store.read("chunk").select(F.md5("content").alias("key"), "embedding").dropDuplicates(["key"]) if same else None
         self.progress("embed")
         tables["chunk"] = self._hold(self._vectors(tables["chunk"], known))
-        self.progress("resolve")
-        tables["calls"] = graph.resolve(tables["raw_edge"], tables["symbol"]).drop("edge_id", "level")
+        tables["calls"] = self._calls(repo, tables["raw_edge"], tables["symbol"])
         return self._write(tables, repo, found)
 
     def update(self, repo: str, more_extensions: tuple[str, ...] = ()) -> int | None:
@@ -133,14 +147,15 @@ class Engine:
             "raw_edge": incremental.without_files(old["raw_edge"], gone, ["from_file"]).unionByName(new["raw_edge"]),
             "file_meta": incremental.without_files(old["file_meta"], gone, ["path"]).unionByName(new["file_meta"]),
         }
-        self.progress("resolve")
         before = old["symbol"].join(gone.withColumnRenamed("path", "file"), "file", "left_semi")
         delta = incremental.surface_delta(before, new["symbol"])
         radius = self._hold(incremental.blast_radius(gone.withColumnRenamed("path", "file"), delta, old["calls"], tables["raw_edge"]))
         if incremental.scoped(radius.count(), old["file_meta"].count()):
-            tables["calls"] = incremental.re_resolved(old["calls"], radius, tables["raw_edge"], tables["symbol"])
+            self.progress("resolve")
+            again = incremental.leaving(tables["raw_edge"], radius)
+            tables["calls"] = incremental.re_resolved(old["calls"], radius, tables["raw_edge"], tables["symbol"], self._imported(repo, again, tables["symbol"]))
         else:
-            tables["calls"] = graph.resolve(tables["raw_edge"], tables["symbol"]).drop("edge_id", "level")
+            tables["calls"] = self._calls(repo, tables["raw_edge"], tables["symbol"])
         return self._write(tables, repo, found)
 
     def heal(self, repo: str, more_extensions: tuple[str, ...] = ()) -> int:
@@ -149,8 +164,7 @@ class Engine:
         found = list(self.store.meta().get("frameworks") or [])
         self.progress("parse")
         old["raw_edge"] = self._hold(self._parse(repo, files.with_contents(self._listed(repo, more_extensions)), found)["raw_edge"])
-        self.progress("resolve")
-        old["calls"] = graph.resolve(old["raw_edge"], old["symbol"]).drop("edge_id", "level")
+        old["calls"] = self._calls(repo, old["raw_edge"], old["symbol"])
         return self._write(old, repo, found)
 
     def ignore(self, part: str) -> int | None:

@@ -72,13 +72,17 @@ def scoped(affected: int, indexed: int) -> bool:
     return not (affected >= 64 and affected * 8 > indexed)
 
 
-def re_resolved(calls: DataFrame, radius: DataFrame, raw_edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The call graph after the edges that leave the radius were resolved again."""
+def leaving(raw_edges: DataFrame, radius: DataFrame) -> DataFrame:
+    """The edges that leave the files of a radius (file)."""
+    return raw_edges.join(radius.select(F.col("file").alias("from_file")).distinct(), "from_file", "left_semi")
+
+
+def re_resolved(calls: DataFrame, radius: DataFrame, raw_edges: DataFrame, symbols: DataFrame, imported: DataFrame | None = None) -> DataFrame:
+    """The call graph after the edges that leave the radius were resolved again; ``imported`` as for graph.resolve."""
     files = radius.select(F.col("file").alias("in_file")).distinct()
     kept = calls.join(files, "in_file", "left_anti")
-    again = raw_edges.join(radius.select(F.col("file").alias("from_file")).distinct(), "from_file", "left_semi")
     cols = ["in_fqn", "out_fqn", "line", "in_file", "out_file"]
-    return kept.select(*cols).unionAll(graph.resolve(again, symbols).select(*cols))
+    return kept.select(*cols).unionAll(graph.resolve(leaving(raw_edges, radius), symbols, imported=imported).select(*cols))
 
 
 def without_files(df: DataFrame, gone: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -183,3 +183,18 @@ def test_an_include_resolves_at_level_one(spark, tmp_path):
     (call,) = engine.store.read("calls").where("in_fqn like '%::main'").collect()
     assert call.out_fqn.endswith("src/net/Agent.h::Agent::start")
     assert engine.store.read("raw_edge").where("import_path = 'net/Agent.h'").count() == 1
+
+
+def test_an_import_resolves_at_level_zero(spark, tmp_path):
+    from corvid.engine import Engine
+
+    repo = tmp_path / "repo"
+    for name, text in {"go.mod": "module example.org/m\nrequire github.com/gin-gonic/gin v1\n", "main.go": 'package main\nfunc Routes(r *gin.Engine) {\n\tr.GET("/u", handlers.List)\n}\n', "handlers/z.go": "package handlers\nfunc List() {\n}\n", "a/a.go": "package a\nfunc List() {\n}\n"}.items():
+        (repo / name).parent.mkdir(parents=True, exist_ok=True)
+        (repo / name).write_text(text)
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.index(str(repo))
+    assert [r.out_fqn for r in engine.store.read("calls").where("out_fqn like '%::List'").collect()] == [f"{repo}/handlers/z.go::List"]
+    (repo / "main.go").write_text((repo / "main.go").read_text() + "// more\n")
+    engine.update(str(repo))
+    assert [r.out_fqn for r in engine.store.read("calls").where("out_fqn like '%::List'").collect()] == [f"{repo}/handlers/z.go::List"]
