@@ -29,7 +29,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, root: str, embed: cache.Embedder | None = None, identity: str = "hashing-64", progress: Callable[[str], None] | None = None):
-        self.spark, self.store = spark, Store(spark, root)
+        self.spark, self.store = spark, Store(spark, root, {t: cols[0] for t, cols in OWNERS.items()})
         self.embed, self.identity = embed or cache.hashing_embedder(), identity
         self.progress = progress or (lambda step: None)
         self._answers: dict[tuple[int, str], DataFrame] = {}
@@ -41,10 +41,12 @@ class Engine:
         self._held.append(df.persist(StorageLevel.DISK_ONLY))
         return df
 
-    def _write(self, tables: dict[str, DataFrame], repo: str, found: list[str]) -> int:
+    def _write(self, tables: dict[str, DataFrame], repo: str, found: list[str], touched: dict[str, set[int]] | None = None, chunks: DataFrame | None = None) -> int:
+        """Write a generation; ``chunks`` are all chunks where ``tables`` have those of touched buckets only."""
         self.progress("write")
         try:
-            g = self.store.write({"ignored": self._ignored(), **tables}, self._meta(repo, found, tables["chunk"]))
+            meta = self._meta(repo, found, tables["chunk"] if chunks is None else chunks)
+            g = self.store.write({"ignored": self._ignored(), **tables}, meta, touched)
         finally:
             self._release()
         self.refresh()
@@ -141,22 +143,25 @@ class Engine:
         new = self._parse(repo, changed, found)
         gone = changes.select("path")
         known = old["chunk"].select(F.md5("content").alias("key"), "embedding").dropDuplicates(["key"])
-        tables = {
-            "symbol": incremental.without_files(old["symbol"], gone, ["file"]).unionByName(new["symbol"]),
-            "chunk": incremental.without_files(old["chunk"], gone, ["file"]).unionByName(self._vectors(new["chunk"], known)),
-            "raw_edge": incremental.without_files(old["raw_edge"], gone, ["from_file"]).unionByName(new["raw_edge"]),
-            "file_meta": incremental.without_files(old["file_meta"], gone, ["path"]).unionByName(new["file_meta"]),
-        }
+        new["chunk"] = self._hold(self._vectors(new["chunk"], known))
+
+        def after(table: str, rows: DataFrame) -> DataFrame:
+            return incremental.without_files(rows, gone, OWNERS[table][:1]).unionByName(new[table])
+
+        symbols, edges, chunks = (after(t, old[t]) for t in ("symbol", "raw_edge", "chunk"))
         before = old["symbol"].join(gone.withColumnRenamed("path", "file"), "file", "left_semi")
         delta = incremental.surface_delta(before, new["symbol"])
-        radius = self._hold(incremental.blast_radius(gone.withColumnRenamed("path", "file"), delta, old["calls"], tables["raw_edge"]))
+        radius = self._hold(incremental.blast_radius(gone.withColumnRenamed("path", "file"), delta, old["calls"], edges))
+        touched = self.store.touched(["symbol", "chunk", "raw_edge", "file_meta"], gone)
+        tables = {t: after(t, self.store.read(t, buckets=touched.get(t))) for t in ("symbol", "chunk", "raw_edge", "file_meta")}
         if incremental.scoped(radius.count(), old["file_meta"].count()):
             self.progress("resolve")
-            again = incremental.leaving(tables["raw_edge"], radius)
-            tables["calls"] = incremental.re_resolved(old["calls"], radius, tables["raw_edge"], tables["symbol"], self._imported(repo, again, tables["symbol"]))
+            touched |= self.store.touched(["calls"], radius, "file")
+            again = incremental.leaving(edges, radius)
+            tables["calls"] = incremental.re_resolved(self.store.read("calls", buckets=touched.get("calls")), radius, edges, symbols, self._imported(repo, again, symbols))
         else:
-            tables["calls"] = self._calls(repo, tables["raw_edge"], tables["symbol"])
-        return self._write(tables, repo, found)
+            tables["calls"] = self._calls(repo, edges, symbols)
+        return self._write(tables, repo, found, touched, chunks)
 
     def heal(self, repo: str, more_extensions: tuple[str, ...] = ()) -> int:
         """Derive all raw edges from the disk again and resolve them; symbols, chunks and vectors stay."""
@@ -165,7 +170,11 @@ class Engine:
         self.progress("parse")
         old["raw_edge"] = self._hold(self._parse(repo, files.with_contents(self._listed(repo, more_extensions)), found)["raw_edge"])
         old["calls"] = self._calls(repo, old["raw_edge"], old["symbol"])
-        return self._write(old, repo, found)
+        return self._write(old, repo, found, self._same("symbol", "chunk", "file_meta"))
+
+    def _same(self, *tables: str) -> dict[str, set[int]]:
+        """For tables that stay as they are: no bucket is written."""
+        return self.store.touched(tables, self.spark.createDataFrame([], "path string"))
 
     def ignore(self, part: str) -> int | None:
         """Take the stored files whose path holds ``part``, in any case, out of the index, and keep them out.  None if there is none."""
@@ -173,9 +182,11 @@ class Engine:
         if gone.isEmpty():
             self._release()
             return None
-        tables = {t: incremental.without_files(self.store.read(t), gone, cols) for t, cols in OWNERS.items()}
+        touched = self.store.touched(["symbol", "chunk", "raw_edge", "file_meta"], gone)  # calls of others into these files lie anywhere
+        tables = {t: incremental.without_files(self.store.read(t, buckets=touched.get(t)), gone, cols) for t, cols in OWNERS.items()}
         meta = self.store.meta()
-        return self._write({**tables, "ignored": self._ignored().unionByName(gone).distinct()}, str(meta.get("repo") or ""), list(meta.get("frameworks") or []))
+        chunks = incremental.without_files(self.store.read("chunk"), gone, ["file"])
+        return self._write({**tables, "ignored": self._ignored().unionByName(gone).distinct()}, str(meta.get("repo") or ""), list(meta.get("frameworks") or []), touched, chunks)
 
     def unignore(self, part: str) -> int:
         """Let the next update take in again what was ignored and whose path holds ``part``.  How many paths these are."""
@@ -184,7 +195,7 @@ class Engine:
         if back:
             meta = self.store.meta()
             left = ignored.where(~F.lower(F.col("path")).contains(part.lower()))
-            self._write({**{t: self.store.read(t) for t in TABLES}, "ignored": left}, str(meta.get("repo") or ""), list(meta.get("frameworks") or []))
+            self._write({**{t: self.store.read(t) for t in TABLES}, "ignored": left}, str(meta.get("repo") or ""), list(meta.get("frameworks") or []), self._same(*TABLES))
         return back
 
     # ---- asking ------------------------------------------------------------------------------------------------

@@ -1,25 +1,43 @@
-"""Tables of a repository as generations: a run writes a new one whole, then moves the pointer to it.
+"""Tables of a repository as generations: a run writes a new one, then moves the pointer to it.
 
 Readers pin the generation they opened; a run that dies leaves the pointer where it was.  The pointer is a table of one
 row, written through Spark, so it lies wherever the tables lie.
+
+Tables whose rows belong to files are cut into buckets by a hash of the file.  A run that touches few files writes the
+buckets these fall into; for the others the new generation names the one that has them.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Buckets of a table; generations that one may be spread over before a run writes all buckets again.
+BUCKETS, SPREAD = 64, 8
+
+
+def bucket(file: str) -> Column:
+    """The bucket of a row that belongs to the file named in this column."""
+    return F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
 
 
 class Store:
-    """Generations of named tables under a root, one root for a repository."""
+    """Generations of named tables under a root, one root for a repository.
+
+    ``owners``: of the tables that are cut into buckets the column that names a row's file.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, owners: Mapping[str, str] | None = None):
+        self.spark, self.root, self.owners = spark, root.rstrip("/"), owners or {}
+        self._manifests: dict[int, dict] = {}
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -38,21 +56,73 @@ class Store:
         done = [g for g in self.generations() if fs.exists(path(f"{self.root}/gen={g}/_meta/_SUCCESS"))]
         return max(done, default=None)
 
-    def write(self, tables: Mapping[str, DataFrame], meta: Mapping[str, object] | None = None, partition_by: str | None = None) -> int:
-        """Write a new generation; its meta table, written last, is the commit marker."""
+    def _manifest(self, g: int) -> dict[str, dict]:
+        """Of each bucketed table of a generation its schema and, for each bucket, the generation that has it."""
+        if g not in self._manifests:
+            self._manifests[g] = self.meta(g).get("manifest") or {}
+        return self._manifests[g]
+
+    def write(self, tables: Mapping[str, DataFrame], meta: Mapping[str, object] | None = None, touched: Mapping[str, set[int]] | None = None) -> int:
+        """Write a new generation; its meta table, written last, is the commit marker.
+
+        ``touched``: of tables of which only some buckets change, which; rows of others needn't be in their frames.
+        """
+        now = self.current()
+        before = self._manifest(now) if now is not None else {}
         g = max(self.generations(), default=0) + 1
+        manifest = {}
         for name, df in tables.items():
-            w = df.write.mode("overwrite")
-            (w.partitionBy(partition_by) if partition_by and partition_by in df.columns else w).parquet(f"{self.root}/gen={g}/{name}")
-        rows = [(k, json.dumps(v)) for k, v in {**(meta or {}), "epoch": g}.items()]
+            path = f"{self.root}/gen={g}/{name}"
+            if name not in self.owners:
+                df.write.mode("overwrite").parquet(path)
+                continue
+            some = (touched or {}).get(name)
+            rows = df.withColumn("bucket", bucket(self.owners[name]))
+            if some is not None:
+                rows = rows.where(F.col("bucket").isin(sorted(some)))
+            if some is None or some:
+                rows.repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            kept = {k: h for k, h in before[name]["buckets"].items() if int(k) not in some} if some is not None else {}
+            manifest[name] = {"schema": df.schema.json(), "buckets": kept | {k: g for k in self._buckets(path)}}
+        rows = [(k, json.dumps(v)) for k, v in {**(meta or {}), "epoch": g, "manifest": manifest}.items()]
         self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/gen={g}/_meta")
         return g
 
-    def read(self, name: str, generation: int | None = None) -> DataFrame:
+    def _buckets(self, where: str) -> list[str]:
+        fs, path = self._fs()
+        if not fs.exists(path(where)):
+            return []
+        return [n.removeprefix("bucket=") for s in fs.listStatus(path(where)) if (n := s.getPath().getName()).startswith("bucket=")]
+
+    def touched(self, names: Iterable[str], files: DataFrame, col: str = "path") -> dict[str, set[int]]:
+        """For write(): the buckets that files fall into; of no table if they are half of all, or if its buckets lie in too many generations."""
+        now = self.current()
+        if now is None:
+            return {}
+        some = {r[0] for r in files.select(bucket(col)).distinct().collect()}
+        out = {}
+        for name in names:
+            held = self._manifest(now).get(name, {}).get("buckets")
+            if held is not None and 2 * len(some) < len(held) and len(set(held.values())) < SPREAD:
+                out[name] = some
+        return out
+
+    def read(self, name: str, generation: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+        """A table of a generation, or some buckets of it."""
         g = self.current() if generation is None else generation
         if g is None:
             raise FileNotFoundError(f"nothing is stored under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/gen={g}/{name}")
+        held = self._manifest(g).get(name) if name in self.owners else None
+        if held is None:
+            return self.spark.read.parquet(f"{self.root}/gen={g}/{name}")
+        kind = T.StructType.fromJson(json.loads(held["schema"]))
+        full = T.StructType([*kind.fields, T.StructField("bucket", T.IntegerType())])
+        by_generation: dict[int, list[str]] = {}
+        for k, h in held["buckets"].items():
+            if buckets is None or int(k) in buckets:
+                by_generation.setdefault(h, []).append(f"{self.root}/gen={h}/{name}/bucket={k}")
+        parts = [self.spark.read.schema(full).option("basePath", f"{self.root}/gen={h}/{name}").parquet(*sorted(ps)).drop("bucket") for h, ps in sorted(by_generation.items())]
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], kind)
 
     def find(self, name: str, kind: str, generation: int | None = None) -> DataFrame | None:
         """A table of a generation if it is there and has the columns of ``kind``, else None."""
@@ -73,13 +143,20 @@ class Store:
         df.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/gen={g}/{name}")
 
     def meta(self, generation: int | None = None) -> dict[str, object]:
-        return {r["key"]: json.loads(r["value"]) for r in self.read("_meta", generation).collect()} if self.current() is not None else {}
+        g = self.current() if generation is None else generation
+        if g is None:
+            return {}
+        return {r["key"]: json.loads(r["value"]) for r in self.spark.read.parquet(f"{self.root}/gen={g}/_meta").collect()}
 
     def sweep(self, keep: int = 2) -> list[int]:
-        """Remove all but the last ``keep`` committed generations and what was left uncommitted before them."""
+        """Remove all but the last ``keep`` committed generations, those that these still read from, and what was left uncommitted before them."""
         fs, path = self._fs()
         now = self.current()
-        gone = [g for g in self.generations() if now is not None and g <= now - keep]
+        if now is None:
+            return []
+        kept = [g for g in self.generations() if now - keep < g <= now and fs.exists(path(f"{self.root}/gen={g}/_meta/_SUCCESS"))]
+        used = {h for g in kept for table in self._manifest(g).values() for h in table["buckets"].values()}
+        gone = [g for g in self.generations() if g <= now - keep and g not in used]
         for g in gone:
             fs.delete(path(f"{self.root}/gen={g}"), True)
         return gone

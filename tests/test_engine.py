@@ -56,3 +56,24 @@ def test_change_stream_is_coalesced(spark, tmp_path):
     q = changes.maintain(changes.as_changes(stream), lambda df, n: seen.extend((r.path, r.change) for r in df.collect()), str(tmp_path / "ckpt"), once=True)
     q.awaitTermination(60)
     assert sorted(seen) == [("a", "deleted"), ("b", "added")]
+
+
+def test_a_small_update_writes_few_buckets(spark, tmp_path):
+    repo = tmp_path / "repo"
+    write(repo, {f"m{k}.py": f"def f{k}():\n    f{(k + 1) % 40}()\n" for k in range(40)})
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index(str(repo))
+    write(repo, {"m7.py": "def f7():\n    f8()\n    f9()\n\n\ndef more():\n    f7()\n"})
+    assert e.update(str(repo)) == 2
+    for t in ("symbol", "chunk", "raw_edge", "file_meta"):
+        assert len(list((tmp_path / "store" / "gen=2" / t).glob("bucket=*"))) == 1, t
+    fresh = Engine(spark, str(tmp_path / "fresh"))
+    fresh.index(str(repo))
+    for t in ("calls", "symbol", "raw_edge"):
+        assert sorted(map(str, e.store.read(t).collect())) == sorted(map(str, fresh.store.read(t).select(*e.store.read(t).columns).collect())), t
+    assert e.store.meta()["stamp"] == fresh.store.meta()["stamp"] and e.stats().first() == fresh.stats().first()
+    assert e.store.sweep(1) == [] and e.store.read("chunk").count() == 40  # the first generation is still read from
+    assert e.heal(str(repo)) == 3 and not (tmp_path / "store" / "gen=3" / "symbol").exists()
+    os.remove(repo / "m7.py")
+    assert e.update(str(repo)) == 4
+    assert e.store.read("symbol").count() == 39 and e.store.read("symbol", 2).count() == 41
