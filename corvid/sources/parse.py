@@ -1,7 +1,7 @@
 """Symbols, raw call edges and chunks of source files.
 
-Python is read by its own parser; C, C++, C#, JavaScript, TypeScript, Rust, Go
-and Java from tokens and matched brackets (``syntax``).  Other languages are read by
+Python is read by its own parser; C, C++, C#, JavaScript, TypeScript, Rust, Go,
+Java, Kotlin and Swift from tokens and matched brackets (``syntax``).  Other languages are read by
 family: text and comments are blanked, definitions found by the language's
 profile, and their extent by braces, by the matching ``end``, or by indentation.
 That sees what a full grammar sees in ordinary code; macros and exotic syntax it
@@ -103,8 +103,6 @@ PROFILES: dict[str, dict] = {
     "php": {"defs": [("class", rf"\bclass\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("trait", rf"\btrait\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("function", rf"\bfunction\s+&?{_ID}")], "text": _C_LIKE + r"|#[^\n]*", "leaf": True},
     "ruby": {"defs": [("class", r"^[ \t]*class\s+([A-Z][\w:]*)"), ("module", r"^[ \t]*module\s+([A-Z][\w:]*)"), ("method", r"^[ \t]*def\s+(?:self\.)?([\w?!=]+)")], "text": r"#[^\n]*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "leaf": True, "ends": "indent"},
     "objectivec": {"defs": [("interface", rf"@interface\s+{_ID}"), ("class", rf"@implementation\s+{_ID}"), ("method", rf"^[-+]\s*\([^)]*\)\s*{_ID}")], "text": _C_LIKE, "leaf": True},
-    "swift": {"defs": [("class", rf"\bclass\s+(?!func\b){_ID}"), ("struct", rf"\bstruct\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("interface", rf"\bprotocol\s+{_ID}"), ("extension", rf"\bextension\s+{_ID}"), ("function", rf"\bfunc\s+{_ID}")], "text": _C_LIKE},
-    "kotlin": {"defs": [("class", rf"\b(?:class|object)\s+{_ID}"), ("interface", rf"\binterface\s+{_ID}"), ("function", rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?{_ID}")], "text": _C_LIKE, "leaf": True},
     "dart": {"defs": [("class", rf"\b(?:class|mixin)\s+{_ID}"), ("enum", rf"\benum\s+{_ID}"), ("method", _METHOD)], "text": _C_LIKE, "leaf": True},
     "lua": {"defs": [("struct", rf"^(?:export\s+)?type\s+{_ID}\s*="), ("function", r"\bfunction\s+(?:[\w.]+[.:])?(\w+)\s*\(")], "text": r"--\[\[.*?\]\]|--[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "ends": "indent"},
     "pascal": {"defs": [("class", r"^\s*(\w+)\s*=\s*class\b"), ("interface", r"^\s*(\w+)\s*=\s*interface\b"), ("function", r"^\s*(?:procedure|function|constructor|destructor)\s+(?:\w+\.)?(\w+)")], "text": r"//[^\n]*|\{[^}]*\}|\(\*.*?\*\)|'(?:[^'\n])*'", "ends": "indent"},

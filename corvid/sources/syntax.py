@@ -102,6 +102,8 @@ _TEXTS = {
     "javascript": rf"`(?:[^`\\]|\\.)*`?|{_DOUBLE}|{_SINGLE}",
     "rust": r'b?r(?P<mark>#*)".*?"(?P=mark)|b?"(?:[^"\\]|\\.)*"?' + r"|b?'(?:[^'\\\n]|\\[^\n]+?)'|'[A-Za-z_]\w*",
     "go": rf"`[^`]*`?|{_DOUBLE}|{_SINGLE}",
+    "kotlin": rf'""".*?"""|{_DOUBLE}|{_SINGLE}',
+    "swift": rf'#*""".*?"""#*|#"[^\n]*?"#|{_DOUBLE}',
     "csharp": rf'"""+.*?"""+|\$?@\$?"(?:[^"]|"")*"|\$?{_DOUBLE}|{_SINGLE}',
     "java": rf'"""(?:[^\\]|\\.)*?"""|{_DOUBLE}|{_SINGLE}',
 }
@@ -620,6 +622,115 @@ def _cs_member(s: Source, i: int, in_class: bool) -> bool:
     return in_class and s[s.inside[i]] == "["
 
 
+# ---- Kotlin and Swift ------------------------------------------------------------------------------------------------
+
+_KOTLIN_WORDS = frozenset("if for while when catch return throw else do try is as in fun constructor init get set by where super this typeof".split())
+_KOTLIN_BEFORE = frozenset("public private protected internal open abstract final override suspend inline noinline crossinline operator infix tailrec external data sealed inner enum annotation const lateinit expect actual value companion".split())
+_SWIFT_WORDS = frozenset("if for while switch catch return throw else do guard repeat func deinit subscript get set willSet didSet case where is as in try await some any".split())
+_SWIFT_BEFORE = frozenset("public private fileprivate internal open final static class override mutating nonmutating required convenience lazy weak dynamic indirect prefix postfix infix async nonisolated isolated".split())
+
+
+def _modifiers(s: Source, i: int, words: frozenset[str]) -> int:
+    """The first of the modifiers and annotations before a keyword."""
+    while i > 0:
+        if s[i - 1] in words or (_word(s[i - 1]) and s[i - 2] == "@"):
+            i -= 2 if s[i - 2] == "@" else 1
+        elif s[i - 1] == ")" and i - 1 in s.pair and (s[s.pair[i - 1] - 1] in words or s[s.pair[i - 1] - 2] == "@"):
+            i = s.pair[i - 1]
+        else:
+            break
+    return i
+
+
+def _line_end(s: Source, k: int, stops: tuple[str, ...] = (";", "}", ")")) -> int:
+    """The last token of an expression that begins at ``k``: where its line ends, unless a sign carries it on."""
+    last = k
+    while k < len(s.tokens) and s[k] not in stops:
+        last = s.after(k) - 1
+        k = last + 1
+        if k < len(s.tokens) and s.tokens[k].line > s.tokens[last].line and s[k] not in (".", "?.", "?", ":", "+", "-", "*", "&", "|", "else") and s[last] not in ("=", "+", "-", "*", ":", ",", "&", "|", "->", "else"):
+            break
+    return last
+
+
+def _type_header(s: Source, k: int) -> tuple[int, int]:
+    """(body, last) of a type behind its name: parameters, what it extends, and the block if there is one."""
+    last = k - 1
+    while k < len(s.tokens) and s[k] != "{":
+        if s.tokens[k].line > s.tokens[last].line and s[last] not in (":", ",", "where") and s[k] not in (":", "where", ","):
+            return -1, last
+        if not (_word(s[k]) or s[k] in ("(", "[", "<", ":", ",", ".", "?", "&", "@", "==", "=")):
+            return -1, last
+        n = max(s.angles(k), k + 1) if s[k] == "<" else s.after(k)
+        last, k = n - 1, n
+    return (k, s.pair[k]) if s[k] == "{" and k in s.pair else (-1, last)
+
+
+def _kotlin(s: Source, i: int, declares: bool, scope: list[Found], holder: str) -> Found | None:
+    t = s[i]
+    kind = "method" if scope else "function"
+    if t == "fun":
+        k = i + 1
+        if s[k] == "interface":
+            return None
+        if s[k] == "<":
+            k = s.angles(k)
+        while _word(s[k]):  # what it extends
+            n = s.angles(k + 1) if s[k + 1] == "<" else k + 1
+            n += s[n] == "?"
+            if s[n] not in (".", "?."):
+                break
+            k = n + 1
+        if not _word(s[k]) or s[k + 1] != "(" or k + 1 not in s.pair:
+            return None
+        name, last = s[k], s.pair[k + 1]
+        k, first = last + 1, _modifiers(s, i, _KOTLIN_BEFORE)
+        if s[k] == ":":
+            k += 1
+            while k < len(s.tokens) and s[k] not in ("{", "=", "}", ";") and (s.tokens[k].line == s.tokens[k - 1].line or s[k] == "where" or s[k - 1] in (":", "->")):
+                last = (max(s.angles(k), k + 1) if s[k] == "<" else s.after(k)) - 1
+                k = last + 1
+        if s[k] == "{" and k in s.pair:
+            return Found(name, kind, first, s.pair[k], k)
+        return Found(name, kind, first, _line_end(s, k + 1) if s[k] == "=" else last)
+    if t in ("class", "interface", "object") and _word(s[i + 1]) and s[i - 1] not in (":", ".") and not (t == "object" and s[i - 1] == "companion"):
+        first = _modifiers(s, i, _KOTLIN_BEFORE | {"fun"})
+        body, last = _type_header(s, i + 2)
+        kinds = {"interface": "interface"}
+        enum = any(s[k] == "enum" for k in range(first, i))
+        return Found(s[i + 1], "enum" if enum else kinds.get(t, "class"), first, last, body, True)
+    return None
+
+
+def _swift(s: Source, i: int, declares: bool, scope: list[Found], holder: str) -> Found | None:
+    t = s[i]
+    kind = "method" if scope else "function"
+    if (t == "func" and _word(s[i + 1])) or (t == "init" and declares and s[i - 1] != "."):
+        name, k = (s[i + 1], i + 2) if t == "func" else ("init", i + 1)
+        k += s[k] in ("?", "!")
+        if s[k] == "<":
+            k = s.angles(k)
+        if s[k] != "(" or k not in s.pair:
+            return None
+        k = s.pair[k] + 1
+        while k < len(s.tokens) and (_word(s[k]) and s[k] not in _SWIFT_BEFORE - {"async"} | {"func", "var", "let", "init"} or s[k] in ("->", "<", "[", "(", ".", "?", "!", ":", ",", "&", "@", "=")):
+            k = max(s.angles(k), k + 1) if s[k] == "<" else s.after(k)
+        return Found(name, kind, _modifiers(s, i, _SWIFT_BEFORE), s.pair[k], k) if s[k] == "{" and k in s.pair else None
+    if t in ("class", "struct", "enum", "extension", "protocol", "actor") and _word(s[i + 1]) and s[i + 1] not in ("func", "var", "let", "subscript") and s[i - 1] not in (".", ":", ","):
+        name, k = s[i + 1], i + 2
+        while s[k] == ".":
+            name, k = f"{name}.{s[k + 1]}", k + 2
+        body, last = _type_header(s, k)
+        kinds = {"protocol": "interface", "actor": "class"}
+        return Found(name, kinds.get(t, t), _modifiers(s, i, _SWIFT_BEFORE), last, body, True) if body >= 0 else None
+    return None
+
+
+def _swift_member(s: Source, i: int, in_class: bool) -> bool:
+    """Whether a name with a bracket is a case of an enum."""
+    return in_class and s[i - 1] in ("case", ",")
+
+
 class Rules(NamedTuple):
     definition: Callable[[Source, int, bool, list[Found], str], Found | None]
     call: Callable[[Source, int], Call | None]
@@ -631,9 +742,11 @@ RULES = {
     "rust": Rules(_rust, _chain_call(_RUST_WORDS, (".", "::"))),
     "go": Rules(_go, _chain_call(_GO_WORDS, (".",))),
     "java": Rules(_java, _java_call),
+    "kotlin": Rules(_kotlin, _chain_call(_KOTLIN_WORDS, (".", "?.", "::"))),
+    "swift": Rules(_swift, _chain_call(_SWIFT_WORDS, (".", "?."))),
     "csharp": Rules(_csharp, _chain_call(_CS_WORDS, (".", "?.", "::"))),
 }
-AS = {"c": "cpp", "cpp": "cpp", "javascript": "javascript", "typescript": "javascript", "tsx": "javascript", "svelte": "javascript", "rust": "rust", "go": "go", "java": "java", "csharp": "csharp"}
+AS = {"c": "cpp", "cpp": "cpp", "javascript": "javascript", "typescript": "javascript", "tsx": "javascript", "svelte": "javascript", "rust": "rust", "go": "go", "java": "java", "csharp": "csharp", "kotlin": "kotlin", "swift": "swift"}
 
 
 def _include_of(call: Call, includes: list[str]) -> str | None:
@@ -655,7 +768,7 @@ def read(text: str, lang: str) -> tuple[list[tuple[Found, list[Found], int, int]
     declaring: dict[int, tuple[bool, str]] = {}
     upto = calls_from = -1
     names: set[int] = set()
-    member = {"javascript": _js_member, "java": _java_member, "csharp": _cs_member}.get(lang)
+    member = {"javascript": _js_member, "java": _java_member, "csharp": _cs_member, "swift": _swift_member}.get(lang)
     i = 0
     while i < len(s.tokens):
         while scope and scope[-1].last < i:
@@ -667,10 +780,12 @@ def read(text: str, lang: str) -> tuple[list[tuple[Found, list[Found], int, int]
             linkage = lang == "cpp" and s[i - 1] == "''" and s[i - 2] == "extern"
             anonymous = lang == "java" and s[i - 1] == ")" and _is_new(s, s.pair.get(i - 1, i))
             blocks.append((s.pair[i], *declaring.get(i, (linkage or anonymous, ""))))
-        elif (lang == "rust" and ((t == "!" and s[i + 1] in ("(", "[", "{") and _word(s[i - 1])) or (t == "#" and s[i + 1] in ("[", "!")))) or (lang == "java" and t == "@" and s[i + 1] != "interface"):
+        elif (lang == "rust" and ((t == "!" and s[i + 1] in ("(", "[", "{") and _word(s[i - 1])) or (t == "#" and s[i + 1] in ("[", "!")))) or (lang in ("java", "kotlin", "swift") and t == "@" and s[i + 1] != "interface"):
             k = i + 1 if t != "#" or s[i + 1] == "[" else i + 2  # macros and attributes hold tokens, not code
-            while t == "@" and (_word(s[k]) or s[k] == "."):
+            if t == "@":  # a dotted name
                 k += 1
+                while s[k] == "." and _word(s[k + 1]):
+                    k += 2
             i = s.after(k) if s[k] in ("(", "[", "{") else k
             continue
         elif _word(t):
@@ -683,9 +798,12 @@ def read(text: str, lang: str) -> tuple[list[tuple[Found, list[Found], int, int]
                     scope.append(f)
                 if f.body >= 0:
                     declaring[f.body] = f.declares, f.type_name or f.name
-                    if f.kind in ("function", "method") and lang != "javascript":  # parameters and initialisers call nothing of their own
+                    if lang != "javascript":  # parameters, initialisers and what a type extends call nothing
                         calls_from = f.body
-                        upto = f.body if lang in ("cpp", "java", "csharp") else upto
+                    if f.kind in ("function", "method") and lang in ("cpp", "java", "csharp"):
+                        upto = f.body
+                elif f.kind == "class":
+                    calls_from = f.last
                 names.update(range(f.first, i + 2))
             elif scope and i > calls_from and i not in names and not (member(s, i, holds and bool(blocks)) if member else False) and (c := rules.call(s, i)):
                 calls.append((c, list(scope), s.tokens[c.first].line, _include_of(c, s.includes) if s.includes else None))

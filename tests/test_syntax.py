@@ -79,7 +79,7 @@ public class A<T extends Comparable<T>> extends B implements C {
     this.m.get(k).run(); Runnable r = new Runnable() { public void run() { deep(); } };
     return Util.<K>of(k);
   }
-  abstract int nobody(int a);
+  abstract int nobody(int a); @Override public void last() { end(); }
   enum Q { X(1), Y(2); Q(int a) { setup(); } }
   interface I { void f(); }
 }
@@ -106,6 +106,41 @@ namespace N.M {
 """
 
 
+KOTLIN = """package a
+data class P(val a: Int, val b: List<Pair<Int, Int>>) : Base(a), I
+
+@Ann("x{")
+public abstract class A<T : Any>(x: Int) : B(x) {
+    private val m = make()
+    init { setup() }
+    override suspend fun <K> run(k: K, f: (K) -> Unit): Map<K, List<T>> { this.m.go(k); return helper<T>(k) }
+    fun short(a: Int) = twice(a)
+    abstract fun none(a: Int): Int
+    companion object { fun of() = A(1) }
+    enum class Q { X, Y }
+}
+interface J { fun g(): Int }
+object Single { val s = "}" }
+fun String?.ext(): Int {
+    return length()
+}
+"""
+SWIFT = """import x
+public final class A<T: Equatable>: B, C where T: D {
+    private let m = make()
+    required init?(x: Int) { super.init(); setup() }
+    @discardableResult
+    static func run<K>(_ k: K, f: @escaping (K) -> Void) async throws -> [String: [T]] where K: E { self.m.go(k); return helper(k) }
+    class var z: Int { get { return value() } }
+    struct S { func f() {} }
+}
+extension A.S: P { func g() { f() } }
+protocol J { func h() -> Int }
+enum E { case a(Int); func i() { let s = "{" ; log(s) } }
+func top() { A(x: 1) }
+"""
+
+
 def of(file, text):
     symbols, edges = parse(file, text)
     at = len(file) + 2
@@ -142,8 +177,8 @@ def test_go():
 
 def test_java():
     symbols, edges = of("A.java", JAVA)
-    assert symbols == [("class", "A", 3, 15), ("method", "A::A", 6, 6), ("method", "A::go", 7, 11), ("method", "A::go::run", 9, 9), ("method", "A::nobody", 12, 12), ("method", "A::Q", 13, 13), ("interface", "A::I", 14, 14), ("method", "A::I::f", 14, 14)]
-    assert [e[:2] for e in edges] == [("A::A", "init"), ("A::go", "get"), ("A::go", "run"), ("A::go::run", "deep"), ("A::go", "of"), ("A::Q", "setup")]
+    assert symbols == [("class", "A", 3, 15), ("method", "A::A", 6, 6), ("method", "A::go", 7, 11), ("method", "A::go::run", 9, 9), ("method", "A::nobody", 12, 12), ("method", "A::last", 12, 12), ("method", "A::Q", 13, 13), ("interface", "A::I", 14, 14), ("method", "A::I::f", 14, 14)]
+    assert [e[:2] for e in edges] == [("A::A", "init"), ("A::go", "get"), ("A::go", "run"), ("A::go::run", "deep"), ("A::go", "of"), ("A::last", "end"), ("A::Q", "setup")]
 
 
 def test_csharp():
@@ -156,6 +191,24 @@ def test_csharp():
     assert [e[:2] for e in edges] == [(f"{a}::A", "Init"), (a, "Get"), (f"{a}::Run", "this.m.Go"), (f"{a}::Run", "Util.Of<T>"), (f"{a}::Short", "Twice"), ("N.M::S::F", "W")]
 
 
+def test_kotlin():
+    symbols, edges = of("a.kt", KOTLIN)
+    assert symbols == [
+        ("class", "P", 2, 2), ("class", "A", 4, 13), ("method", "A::run", 8, 8), ("method", "A::short", 9, 9), ("method", "A::none", 10, 10), ("method", "A::of", 11, 11),
+        ("enum", "A::Q", 12, 12), ("interface", "J", 14, 14), ("method", "J::g", 14, 14), ("class", "Single", 15, 15), ("function", "ext", 16, 18),
+    ]
+    assert [e[:2] for e in edges] == [("A", "make"), ("A", "setup"), ("A::run", "this.m.go"), ("A::run", "helper<T>"), ("A::short", "twice"), ("A::of", "A"), ("ext", "length")]
+
+
+def test_swift():
+    symbols, edges = of("a.swift", SWIFT)
+    assert symbols == [
+        ("class", "A", 2, 9), ("method", "A::init", 4, 4), ("method", "A::run", 5, 6), ("struct", "A::S", 8, 8), ("method", "A::S::f", 8, 8), ("extension", "A.S", 10, 10), ("method", "A.S::g", 10, 10),
+        ("interface", "J", 11, 11), ("enum", "E", 12, 12), ("method", "E::i", 12, 12), ("function", "top", 13, 13),
+    ]
+    assert [e[:2] for e in edges] == [("A", "make"), ("A::init", "super.init"), ("A::init", "setup"), ("A::run", "self.m.go"), ("A::run", "helper"), ("A", "value"), ("A.S::g", "f"), ("E::i", "log"), ("top", "A")]
+
+
 def test_a_page_is_read_by_its_script_and_broken_python_by_the_rest():
     assert of("a.svelte", "<p>f()</p>\n<script>\nfunction f() { g(); }\n</script>\n") == ([("function", "f", 3, 3)], [("f", "g", 3, None)])
     symbols, edges = of("a.py", "def a():\n    b()\n\ndef broken(:\n    c()\n\ndef d():\n    e()\n")
@@ -163,7 +216,7 @@ def test_a_page_is_read_by_its_script_and_broken_python_by_the_rest():
 
 
 @pytest.mark.parametrize("text", ["(" * 20_000, "}" * 20_000, "a<" * 5_000, "f(a).b" * 10_000, "x, " * 20_000, "int a = b;\n" * 10_000, "v = 1\n" * 10_000, "'" * 20_001, "/*" * 20_000])
-@pytest.mark.parametrize("file", ["a.cpp", "a.js", "a.rs", "a.go", "A.java", "a.cs"])
+@pytest.mark.parametrize("file", ["a.cpp", "a.js", "a.rs", "a.go", "A.java", "a.cs", "a.kt", "a.swift"])
 def test_odd_texts_end(file, text):
     began = time.process_time()
     parse(file, text)
