@@ -144,6 +144,7 @@ def _contexts(length: int, k: int):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 out: list[tuple] = []
+                size = 0
                 for doc, text, wanted in zip(part.column(0).to_pylist(), column_bytes(part.column(1)), part.column(2).to_pylist()):
                     ws = text.split()
                     h = HASHES.of(ws)
@@ -159,9 +160,10 @@ def _contexts(length: int, k: int):
                     for i in np.nonzero(np.isin(keys, np.fromiter(hot, dtype=np.int64, count=len(hot))))[0].tolist():
                         a, b, key = int(starts[i]), int(ends[i]) - 1 + length, int(keys[i])
                         out.append((key, doc, t1, a, hot[key], b" ".join(ws[a:b])))
-                    if len(out) > 20_000:
+                        size += len(out[-1][5])
+                    if len(out) > 20_000 or size > 4 << 20:
                         yield _batch(out)
-                        out = []
+                        out, size = [], 0
                 if out:
                     yield _batch(out)
 
