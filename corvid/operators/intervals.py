@@ -63,10 +63,14 @@ def block_symbols(blocks: DataFrame, symbols: DataFrame, on: Sequence[str], bloc
 
 
 def merged(df: DataFrame, keys: Sequence[str], start: str, end: str, gap: int = 1, aggs: Sequence[Column] = ()) -> DataFrame:
-    """Intervals that touch, overlap or lie within ``gap`` lines (1: no line between) as one, without a limit; other columns by ``aggs``."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """Intervals that touch, overlap or lie within ``gap`` lines (1: no line between) as one, without a limit; other columns by ``aggs``.
+
+    Both windows read one sort, so equal intervals keep their order between them.  Rows without an end come last of their
+    start and extend nothing; those without a start stay alone.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     upto = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) > upto + gap, 1).otherwise(F.when(upto.isNull(), 1).otherwise(0))
+    fresh = F.when(F.col(start) <= upto + gap, 0).otherwise(1)
     island = df.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), *aggs).drop("_island")
 

@@ -41,3 +41,18 @@ def test_topk_is_partial_and_filters_stay_above_the_limit(spark, sf_dir):
     assert "Exchange" not in plan("vec_topk")
     over = queries.queries()["vec_topk_overfetch_filter"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert over.index("Filter") < over.index("GlobalLimit 40")
+
+
+def test_merged_intervals_with_ties_and_nulls(spark, tmp_path):
+    """Equal intervals, and rows without a quantity or a line; DuckDB with one thread, since its SQL leaves the order of equal rows open."""
+    name, schema = "interval_merge_uncapped", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    odd = [(1, None), (1, 30.0), (1, 30.0), (4, None), (4, None), (4, 20.0), (None, 10.0), (None, None), (9, 10.0), (9, None)]
+    rows = [(file, k, k, line, quantity) for file in range(40) for k, (line, quantity) in enumerate(odd[file % 5 :])]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    df = queries.queries()[name](spark, str(tmp_path))
+    assert ordered(tuple(r) for r in df.collect()) == ordered(con.sql(queries.oracle_sql()[name]).fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 2
