@@ -48,8 +48,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), with_records=False)
-    return made.drop("metadata", "conversion").withColumnRenamed("key", "page_id")
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

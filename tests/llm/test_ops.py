@@ -370,6 +370,20 @@ def test_conversions_are_the_words_that_pages_show(spark, sf_dir):
         assert got[r.page_id].n_links == len(re.findall(r"<a href=", r.html or ""))
 
 
+def test_the_warc_query_gives_whole_records(spark, sf_dir):
+    from corvid.llm import queries
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = queries.op7_warc(spark, sf_dir).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        (meta,), (conv,) = (list(warc.read_records(x.encode())) for x in (r.metadata, r.conversion))
+        assert conv.block.decode() == warc.plain_text(pages[r.page_id].html or "")[0] and len(conv.block) == r.text_bytes
+        for got, kind, own, digest in ((meta, "metadata", r.metadata_id, r.metadata_digest), (conv, "conversion", r.conversion_id, r.conversion_digest)):
+            assert (got.get("WARC-Type"), got.get("WARC-Record-ID"), got.get("WARC-Refers-To")) == (kind, own, r.source_id)
+            assert digest == got.get("WARC-Block-Digest") == warc.sha1_base32(got.block)
+
+
 @pytest.mark.parametrize("page", ['<a "' * 200_000, "<a " * 200_000, '<a ">" ' * 100_000, "<" * 300_000, "<b>" * 100_000 + "</b>" * 100_000, "<b><p><i>" * 30_000 + "</b>" * 30_000, "<p><b>x" * 50_000])
 def test_malformed_pages_take_linear_time(page):
     import time
