@@ -4,7 +4,7 @@ A line's tokens are its distinct words.  Equal lines are one class, found by a 1
 joined by prefix, length and position, candidates verified on the full token sets, and a line goes if an earlier one, by
 document id and line number, has a Jaccard similarity of at least ``percent``.
 
-Rarity.  How many distinct lines have a token is counted over the whole corpus into ``cells`` counters, a token's counter
+Rarity.  How often a token stands in the distinct lines is counted over the whole corpus into ``cells`` counters, a token's counter
 being chosen by its hash; so the counts that every task needs have a fixed size, whatever the vocabulary, and go into the
 plan as one array (a subquery may not stand in an array function).  All tokens are ordered by their counter, in steps of
 an eighth of a factor of two, then by hash.  Any one order makes the prefix filter exact; tokens that share a counter are
@@ -17,12 +17,14 @@ of the prefixes by token with these filters leaves the lines that have any partn
 
 Turns.  Among what is left a token isn't expanded into all pairs of its lines.  First the earliest line of each token is
 compared with the others; lines that it removes are done with.  For those that remain a few members are compared, chosen
-by hash, then eight times as many each turn, until every earlier line has been.  So a family of near-equal lines costs
-about one pair a line, and no link is lost.
+by hash, then eight times as many each turn, until every earlier line has been, or until all that remains takes a few
+comparisons a line.  So a family of near-equal lines costs a few pairs a line, and no link is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,11 @@ from corvid.llm.common import SPACE, discard, materialize
 CELLS = 1 << 18
 #: A token's lines up to so many are compared with each other at once; beyond, by turns, each with 2**GROWTH times as many.
 AT_ONCE, GROWTH = 16, 3
+#: The rest is compared in one last turn once that takes at most so many comparisons for each line and token.
+REST = 16
 #: Ids and hashes are broadcast up to so many rows (of at most 48 bytes), joined by a shuffle beyond.
 BROADCAST_ROWS = 300_000
+_FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 _MAPS = ("m0", "m1")
 _KEY = ("doc_id", "line_no", "th")
 
@@ -47,31 +52,55 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64(F.lit(7), "line")})
 
 
-def _tokens(line: str = "line") -> Column:
+def _spaced(line: str) -> Column:
+    """A line with spaces for all white space."""
+    return F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.regexp_replace(line, SPACE, " ")).otherwise(F.col(line))
+
+
+def _words() -> Column:
+    """The words of a line with spaces only, and empty ones where two spaces meet or at its ends."""
+    return F.split("line", " ")
+
+
+def _tokens() -> Column:
     """Hashes of a line's distinct words."""
-    w = F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.split(line, SPACE)).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(_words(), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
 
 
 def _frequencies(classes: DataFrame, cells: int) -> Column:
-    """An array: of each counter the binary logarithm of its count in eighths."""
-    cell = F.col("t").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
-    counted = classes.select(F.explode(_tokens()).alias("t")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
+    """An array: of each counter the binary logarithm of its count in eighths.  A word counts as often as it stands in a line."""
+    cell = F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
+    counted = classes.select(F.explode(_words()).alias("w")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
     levels = [0] * cells
-    for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
-        levels[r[0]] = r[1]
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+    with _set(classes, _FAST_MAP, str(min(max(cells.bit_length() - 1, 10), 20))):
+        for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
+            levels[r[0]] = r[1]
+    return _constant(levels)
+
+
+def _constant(values: list[int]) -> Column:
+    """An array<bigint> that is folded into the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+@contextmanager
+def _set(df: DataFrame, key: str, value: str) -> Iterator[None]:
+    conf = df.sparkSession.conf
+    before = conf.get(key, None)
+    conf.set(key, value)
+    try:
+        yield
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 def _heads(classes: DataFrame, levels: Column, cells: int, percent: int) -> DataFrame:
     """c, n (tokens), m0, m1 (bitmaps) and head: a class's first tokens in order of rarity."""
-    level = lambda x: F.coalesce(F.get(levels, x.bitwiseAND(F.lit(cells - 1)).cast("int")).cast("long"), F.lit(0).cast("long"))
-    in_order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(level(x), 52).bitwiseOR(F.shiftrightunsigned(x, 12))))
-    half = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))  # noqa: E731  each token flips one bit of one of two maps
-    flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(F.lit(63)).cast("int"))
-    zero = F.lit(0).cast("long")
-    m0 = F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(flip(half(x).bitwiseXOR(F.lit(1)), x)))
-    m1 = F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(flip(half(x), x)))
+    at = lambda of, x, size: F.get(of, x.bitwiseAND(F.lit(size - 1)).cast("int"))
+    in_order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(at(levels, x, cells), 52).bitwiseOR(F.shiftrightunsigned(x, 12))))
+    bits, none = [1 << k if k < 63 else -(1 << 63) for k in range(64)], [0] * 64
+    flipped = lambda of: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(at(of, x, 128)))
+    m0, m1 = flipped(_constant(bits + none)), flipped(_constant(none + bits))  # each token flips one bit of one of two maps
     n = F.size("tokens")
     head = F.slice(in_order, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     return classes.select("c", _tokens().alias("tokens")).select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), head.alias("head"))
@@ -99,7 +128,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     """
     lines = _lines(docs, id_col, text_col)
     classes = lines.groupBy("t1", "t2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("copies"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", "first.line"), "lines", "zstd")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _spaced("first.line").alias("line")), "lines", "zstd")
 
     heads = materialize(_heads(classes, _frequencies(classes, cells), cells, percent), "heads")
     prefixes = heads.select("c", "n", *_MAPS, F.posexplode("head").alias("pos", "token"))
@@ -131,19 +160,20 @@ def _gone(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # lines that remain, where another than the earliest of their token may still match
     late = members.join(groups.select("token", "size", F.col("least.key").alias("from")), "token").where("key > from and size > 2").drop("from")
     left = materialize(late.join(_few(gone), "c", "left_anti"), "remain")
-    turn, largest = 0, left.agg(F.max("size")).first()[0]
-    while largest:
+    turn, most = -1, REST * members.count()
+    while (remain := left.agg(F.max("size"), F.sum(F.col("size").cast("long"))).first())[0]:
+        turn, before = turn + 1, turn
+        if remain[1] <= most:  # to the turn that compares with every earlier line
+            turn = max(turn, -(-(remain[0] // AT_ONCE).bit_length() // GROWTH))
         sized = members.join(_few(materialize(left.select("token", "size").distinct(), "tokens")), "token")
         centres = sized.where(_centre(turn))
-        found = pairs(centres, left, ~_before(turn))
+        found = pairs(centres, left, ~_before(before))
         more = materialize(_verified(found, sets, percent), "more")
         both = materialize(gone.unionAll(more), "gone")
         rest = materialize(left.where(F.col("size") > AT_ONCE << (GROWTH * turn)).join(_few(more), "c", "left_anti"), "remain")
         discard(gone, more, left)
         gone, left = both, rest
-        turn, largest = turn + 1, left.agg(F.max("size")).first()[0]
-    out = sets.select("c", "t1", "t2").join(_few(gone), "c", "left_semi")
-    return materialize(out, "whole")
+    return sets.select("c", "t1", "t2").join(_few(gone), "c", "left_semi")
 
 
 def _level(c: str, size: str, turn: int) -> Column:
@@ -159,8 +189,8 @@ def _centre(turn: int) -> Column:
 
 
 def _before(turn: int) -> Column:
-    """Whether the pair's first line was compared in an earlier turn."""
-    return _level("a.c", "a.size", turn - 1) if turn else F.lit(False)
+    """Whether the pair's first line was compared in this turn, the one before, or an earlier one."""
+    return _level("a.c", "a.size", turn) if turn >= 0 else F.lit(False)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -182,6 +182,23 @@ def test_line_dedup(docs, texts, monkeypatch, at_once):
             assert kept[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
 
 
+def test_line_dedup_ends_its_turns_when_little_remains(spark, monkeypatch):
+    """Lines that each resemble the two before only, and later copies of some with white space of all kinds."""
+    lines = [" ".join(f"w{j}" for j in range(k, k + 20)) for k in range(90)]
+    rows = list(enumerate([*lines, *(f" {x}\t\x0bw{k}  ".replace(f" w{k * 7 + 9} ", f"  w{k * 7 + 9}\r ") for k, x in enumerate(lines[::7]))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    verified, turns = line_dedup._verified, []
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 1)
+    monkeypatch.setattr(line_dedup, "_verified", lambda *a: turns.append(1) or verified(*a))
+    took = []
+    for rest in (1000, 0):
+        monkeypatch.setattr(line_dedup, "REST", rest, raising=False)
+        turns.clear()
+        assert {r.doc_id for r in line_dedup.removed_lines(df, cells=1 << 10).collect()} == set(range(1, len(rows)))
+        took.append(len(turns))
+    assert took[0] == 2 < took[1]
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------
 
 
