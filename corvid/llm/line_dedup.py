@@ -25,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,8 @@ CELLS = 1 << 18
 AT_ONCE, GROWTH = 16, 3
 #: The rest is compared in one last turn once that takes at most so many comparisons for each line and token.
 REST = 16
+#: Lines with more tokens than this have bitmaps of 128 bits, others of 64, which tell them apart as well.
+WIDE = 96
 #: Ids and hashes are broadcast up to so many rows (of at most 48 bytes), joined by a shuffle beyond.
 BROADCAST_ROWS = 300_000
 _FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
@@ -46,10 +47,15 @@ _KEY = ("doc_id", "line_no", "th")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, th (a hash of the text), line_no from 0, line, t1, t2: lines with a word."""
+    """doc_id, th (a hash of the text), line_no from 0, line, t1, t2."""
     text = F.col(text_col).cast("string")
     rows = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64(F.lit(7), "line")})
+    return rows.withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64(F.lit(7), "line")})
+
+
+def _worded(line: Column) -> Column:
+    """Whether a line has a word."""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _spaced(line: str) -> Column:
@@ -57,20 +63,16 @@ def _spaced(line: str) -> Column:
     return F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.regexp_replace(line, SPACE, " ")).otherwise(F.col(line))
 
 
-def _words() -> Column:
-    """The words of a line with spaces only, and empty ones where two spaces meet or at its ends."""
-    return F.split("line", " ")
-
-
-def _tokens() -> Column:
+def _tokens(line: str) -> Column:
     """Hashes of a line's distinct words."""
-    return F.array_remove(F.array_distinct(F.transform(_words(), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
+    words = F.split(_spaced(line), " ")  # and empty ones where two spaces meet or at its ends
+    return F.array_remove(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
 
 
 def _frequencies(classes: DataFrame, cells: int) -> Column:
-    """An array: of each counter the binary logarithm of its count in eighths.  A word counts as often as it stands in a line."""
-    cell = F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
-    counted = classes.select(F.explode(_words()).alias("w")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
+    """An array: of each counter the binary logarithm of its count in eighths.  A token counts once a line."""
+    cell = F.col("token").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
+    counted = classes.select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
     levels = [0] * cells
     with _set(classes, _FAST_MAP, str(min(max(cells.bit_length() - 1, 10), 20))):
         for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
@@ -95,24 +97,33 @@ def _set(df: DataFrame, key: str, value: str) -> Iterator[None]:
 
 
 def _heads(classes: DataFrame, levels: Column, cells: int, percent: int) -> DataFrame:
-    """c, n (tokens), m0, m1 (bitmaps) and head: a class's first tokens in order of rarity."""
+    """c, n (tokens), m0, m1 (bitmaps) and head: a class's first tokens in order of rarity.
+
+    A token flips one of the 64 bits of m0.  Of a line over ``WIDE`` m1 has the flips of every other token, told by one
+    more bit of the hash: m0 ^ m1 and m1 are a bitmap of 128 bits.
+    """
     at = lambda of, x, size: F.get(of, x.bitwiseAND(F.lit(size - 1)).cast("int"))
-    in_order = F.sort_array(F.transform("tokens", lambda x: F.shiftleft(at(levels, x, cells), 52).bitwiseOR(F.shiftrightunsigned(x, 12))))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    ranked = lambda x: F.shiftleft(at(levels, x, cells), 52).bitwiseOR(F.shiftrightunsigned(x, 12))
+    in_order = F.sort_array(F.transform("tokens", lambda x: F.coalesce(ranked(x), zero)))  # never null: sorted as plain numbers
     bits, none = [1 << k if k < 63 else -(1 << 63) for k in range(64)], [0] * 64
-    flipped = lambda of: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(at(of, x, 128)))
-    m0, m1 = flipped(_constant(bits + none)), flipped(_constant(none + bits))  # each token flips one bit of one of two maps
+    flipped = lambda bit: F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(bit(x)))
     n = F.size("tokens")
+    m0 = flipped(lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
+    m1 = F.when(n > WIDE, flipped(lambda x: at(_constant(none + bits), x, 128))).otherwise(zero)
     head = F.slice(in_order, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    return classes.select("c", _tokens().alias("tokens")).select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), head.alias("head"))
+    return classes.select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), head.alias("head"))
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Whether the token that ``a`` and ``b`` share may be the first of a similar pair: length, position, bitmaps."""
+    """Whether the token that ``a`` and ``b`` share may be the first of a similar pair: bitmaps, length, position; what leaves fewest first."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     length = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
     position = F.least(x("n") - x("pos"), y("n") - y("pos")) * (100 + percent) >= (x("n") + y("n")) * percent
-    apart = reduce(lambda s, t: s + t, (F.bit_count(x(m).bitwiseXOR(y(m))) for m in _MAPS))
-    return (x("c") != y("c")) & length & position & (apart * (100 + percent) <= (x("n") + y("n")) * (100 - percent))
+    m0, m1 = (x(m).bitwiseXOR(y(m)) for m in _MAPS)
+    few = lambda apart: apart * (100 + percent) <= (x("n") + y("n")) * (100 - percent)
+    wide = (F.least(x("n"), y("n")) <= WIDE) | few(F.bit_count(m0.bitwiseXOR(m1)) + F.bit_count(m1))
+    return few(F.bit_count(m0)) & length & position & wide & (x("c") != y("c"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -126,17 +137,16 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     A line without a word is never removed.  Rows with the same id and text are one document and lose the same lines.  A
     null id sorts first.
     """
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col).where(_worded(F.col("line")))
     classes = lines.groupBy("t1", "t2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("copies"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _spaced("first.line").alias("line")), "lines", "zstd")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _tokens("first.line").alias("tokens")), "lines", "zstd", dictionary=False)
 
-    heads = materialize(_heads(classes, _frequencies(classes, cells), cells, percent), "heads")
-    prefixes = heads.select("c", "n", *_MAPS, F.posexplode("head").alias("pos", "token"))
+    heads = _heads(classes, _frequencies(classes, cells), cells, percent)
+    prefixes = heads.select("c", "n", *_MAPS, F.posexplode_outer("head").alias("pos", "token"))  # outer: or Spark tests, and so makes, a head twice
     a, b = prefixes.alias("a"), prefixes.alias("b")
     active = materialize(a.join(b, (F.col("a.token") == F.col("b.token")) & _close("a", "b", percent), "left_semi"), "active")
-    discard(heads)
     wanted = materialize(active.select("c").distinct(), "wanted")
-    sets = materialize(classes.join(_few(wanted), "c", "left_semi").select("c", "key", "t1", "t2", _tokens().alias("tokens")), "sets")
+    sets = materialize(classes.join(_few(wanted), "c", "left_semi").select("c", "key", "t1", "t2", "tokens"), "sets")
     gone = _gone(active, sets, percent)
     discard(wanted, active)
 
@@ -206,7 +216,7 @@ def summary(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
     Null and empty texts have no lines.  Other columns aren't read.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _worded)).cast("long").alias("n_lines"))
     gone = removed_lines(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
     out = rows.alias("r").join(gone.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.th") == F.col("g.th")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))

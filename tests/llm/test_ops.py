@@ -199,6 +199,27 @@ def test_line_dedup_ends_its_turns_when_little_remains(spark, monkeypatch):
     assert took[0] == 2 < took[1]
 
 
+def test_line_dedup_hashes_words_once_and_compares_lines_with_and_without_wide_bitmaps(spark, monkeypatch):
+    """Lines of about as many words as the bitmaps of 128 bits begin with, each with copies that are longer, shorter or changed."""
+    rng, vocab = random.Random(5), [f"v{k}" for k in range(900)]
+    lines = []
+    for n in range(line_dedup.WIDE - 14, line_dedup.WIDE + 15):
+        x = rng.sample(vocab, n)
+        drop, swap = rng.randrange(1, 26), rng.randrange(1, 14)
+        lines += [x, x[drop:], [*x, *(f"more{k}" for k in range(rng.randrange(1, 28)))], [*x[swap:], *(f"new{k}" for k in range(swap))]]
+    sets = [set(x) for x in lines]
+    gone = {i for i, s in enumerate(sets) if any(100 * len(s & t) >= 80 * len(s | t) for t in sets[:i])}
+    narrow = [len(s) <= line_dedup.WIDE for s in sets]
+    across = [(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets[:i]) if narrow[i] != narrow[j] and 100 * len(s & t) >= 80 * len(s | t)]
+    assert across and 0 < len(gone) < 3 * len(lines) // 4
+
+    written, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *a, **k: written.setdefault(name, df.schema) and None or write(df, name, *a, **k))
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.removed_lines(df, cells=1 << 10).collect()} == gone
+    assert "string" not in written["lines"].simpleString() and "heads" not in written  # words are hashed once, first tokens go straight into the join
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------
 
 
