@@ -36,18 +36,18 @@ def scratch_dir(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy", dictionary: bool = True) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", dictionary: bool = True, level: int = 3) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors.
 
     What is read again later is the table, so the shuffle files behind it go as soon as it is written.  Hashes that hardly
-    repeat are cheaper to write without ``dictionary``.
+    repeat are cheaper to write without ``dictionary`` and at a low ``level`` (of zstd).
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path, compression=compression)
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.compression.codec.zstd.level", str(level)).parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEAN, before)
     _WRITTEN[path] = _group

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,30 +50,33 @@ _KEY = ("doc_id", "line_no", "th")
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, th (a hash of the text), line_no from 0, line, t1, t2."""
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    texts = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))  # by itself: or th is found anew for each line
+    rows = texts.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.withColumns({"t1": F.xxhash64("line"), "t2": F.xxhash64(F.lit(7), "line")})
 
 
 def _worded(line: Column) -> Column:
     """Whether a line has a word."""
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    return (F.ascii(line) > 32) | line.rlike(r"[^\x20\x09-\x0D]")  # most lines begin with one: no pattern is tried on them
 
 
 def _spaced(line: str) -> Column:
     """A line with spaces for all white space."""
-    return F.when(F.col(line).rlike(r"[\x09-\x0D]"), F.regexp_replace(line, SPACE, " ")).otherwise(F.col(line))
+    other = reduce(Column.__or__, (F.col(line).contains(x) for x in "\t\x0b\x0c\r"))  # looked for in the bytes; \n ends a line
+    return F.when(other, F.regexp_replace(line, SPACE, " ")).otherwise(F.col(line))
 
 
 def _tokens(line: str) -> Column:
     """Hashes of a line's distinct words."""
     words = F.split(_spaced(line), " ")  # and empty ones where two spaces meet or at its ends
-    return F.array_remove(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
+    return F.array_except(F.transform(words, lambda x: F.xxhash64(x)), F.array(F.xxhash64(F.lit(""))))
 
 
 def _frequencies(classes: DataFrame, cells: int) -> Column:
     """An array: of each counter the binary logarithm of its count in eighths.  A token counts once a line."""
     cell = F.col("token").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
-    counted = classes.select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, len(classes.inputFiles()) // 4)  # each sends up to ``cells`` rows
+    counted = classes.coalesce(tasks).select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
     levels = [0] * cells
     with _set(classes, _FAST_MAP, str(min(max(cells.bit_length() - 1, 10), 20))):
         for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
@@ -115,14 +119,25 @@ def _heads(classes: DataFrame, levels: Column, cells: int, percent: int) -> Data
     return classes.select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), head.alias("head"))
 
 
+def _prefixes(heads: DataFrame) -> DataFrame:
+    """A row for each first token: token, c, m0, m1, at (n in the upper half, the token's place in the lower).
+
+    All are longs and none is null: such a row is small to send and sort, and compared without tests for null.
+    """
+    rows = heads.select("c", "n", *_MAPS, F.posexplode_outer("head").alias("pos", "token"))  # outer: or Spark tests, and so makes, a head twice
+    rows = rows.withColumn("at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")))
+    return rows.select(*(F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("token", "c", *_MAPS, "at")))
+
+
 def _close(a: str, b: str, percent: int) -> Column:
     """Whether the token that ``a`` and ``b`` share may be the first of a similar pair: bitmaps, length, position; what leaves fewest first."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    length = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
-    position = F.least(x("n") - x("pos"), y("n") - y("pos")) * (100 + percent) >= (x("n") + y("n")) * percent
+    (nx, px), (ny, py) = ((F.shiftrightunsigned(s("at"), 32), s("at").bitwiseAND(F.lit((1 << 32) - 1))) for s in (x, y))
+    length = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
+    position = F.least(nx - px, ny - py) * (100 + percent) >= (nx + ny) * percent
     m0, m1 = (x(m).bitwiseXOR(y(m)) for m in _MAPS)
-    few = lambda apart: apart * (100 + percent) <= (x("n") + y("n")) * (100 - percent)
-    wide = (F.least(x("n"), y("n")) <= WIDE) | few(F.bit_count(m0.bitwiseXOR(m1)) + F.bit_count(m1))
+    few = lambda apart: apart * (100 + percent) <= (nx + ny) * (100 - percent)
+    wide = (F.least(nx, ny) <= WIDE) | few(F.bit_count(m0.bitwiseXOR(m1)) + F.bit_count(m1))
     return few(F.bit_count(m0)) & length & position & wide & (x("c") != y("c"))
 
 
@@ -137,12 +152,17 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     A line without a word is never removed.  Rows with the same id and text are one document and lose the same lines.  A
     null id sorts first.
     """
+    return _removed(docs, percent, id_col, text_col, cells).distinct()
+
+
+def _removed(docs: DataFrame, percent: int, id_col: str, text_col: str, cells: int) -> DataFrame:
+    """removed_lines, but for rows with the same id and text one of each line for each row."""
     lines = _lines(docs, id_col, text_col).where(_worded(F.col("line")))
     classes = lines.groupBy("t1", "t2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("copies"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _tokens("first.line").alias("tokens")), "lines", "zstd", dictionary=False)
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _tokens("first.line").alias("tokens")), "lines", "zstd", dictionary=False, level=1)
 
     heads = _heads(classes, _frequencies(classes, cells), cells, percent)
-    prefixes = heads.select("c", "n", *_MAPS, F.posexplode_outer("head").alias("pos", "token"))  # outer: or Spark tests, and so makes, a head twice
+    prefixes = _prefixes(heads)
     a, b = prefixes.alias("a"), prefixes.alias("b")
     active = materialize(a.join(b, (F.col("a.token") == F.col("b.token")) & _close("a", "b", percent), "left_semi"), "active")
     wanted = materialize(active.select("c").distinct(), "wanted")
@@ -155,13 +175,13 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     judged = materialize(judged, "judged")
     out = _lines(docs, id_col, text_col).select(*_KEY, "t1", "t2").join(_few(judged), ["t1", "t2"])  # a line that is everywhere: a skewed join's large side is split
     discard(classes)
-    return out.where(F.col("key").isNull() | (F.struct(*_KEY) != F.col("key"))).select(*_KEY).distinct()
+    return out.where(F.col("key").isNull() | (F.struct(*_KEY) != F.col("key"))).select(*_KEY)
 
 
 def _gone(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(c, t1, t2) of the classes that an earlier one matches."""
     members = materialize(active.join(sets.select("c", "key"), "c"), "members")
-    groups = members.groupBy("token").agg(F.min(F.struct("key", "c", "n", "pos", *_MAPS)).alias("least"), F.count("*").alias("size"))
+    groups = members.groupBy("token").agg(F.min(F.struct("key", "c", "at", *_MAPS)).alias("least"), F.count("*").alias("size"))
     groups = materialize(groups.where("size > 1"), "groups")
     earliest = groups.select("token", "least.*")
     close = (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & _close("a", "b", percent)
@@ -217,7 +237,7 @@ def summary(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _worded)).cast("long").alias("n_lines"))
-    gone = removed_lines(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    gone = _removed(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     out = rows.alias("r").join(gone.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.th") == F.col("g.th")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("r.doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
@@ -225,7 +245,7 @@ def summary(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col
 
 def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """``docs`` with the lines to remove taken out of the text; all columns and rows stay, a text may become empty."""
-    gone = removed_lines(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone"))
+    gone = _removed(docs, percent, id_col, text_col, cells).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th"), "_gone")
     text = F.col(text_col).cast("string")
     out = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_th")), "left")

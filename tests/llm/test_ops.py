@@ -220,6 +220,29 @@ def test_line_dedup_hashes_words_once_and_compares_lines_with_and_without_wide_b
     assert "string" not in written["lines"].simpleString() and "heads" not in written  # words are hashed once, first tokens go straight into the join
 
 
+def test_line_dedup_compares_rows_of_longs_and_reads_lines_that_begin_oddly(spark, monkeypatch):
+    """First tokens are five longs, none of them null; lines begin and are split with all sorts of characters, and rows repeat."""
+    starts = ["", " ", "\t", "\x0b\x0c", "\r ", "\x00", "\x1f ", "\x85", "\xa0", "\u2028", "é ", "\x7f"]
+    gaps = [" ", "  ", "\t", "\x0b", "\x0c ", "\r", "\x1c"]
+    lines = [x for s in starts for g in gaps for x in (s, s + g, s + g.join(f"w{len(s)}{k}" for k in range(6)) + g)]
+    rows = list(enumerate("\n".join(lines[k : k + 5]) for k in range(0, len(lines), 5)))
+    gone, seen, per = collections.defaultdict(list), [], collections.Counter()
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            if s := set(re.findall(r"[^\x20\x09-\x0D]+", x)):
+                per[i] += 1
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    gone[i].append(k)
+                seen.append(s)
+    written, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *a, **k: written.setdefault(name, df.schema) and None or write(df, name, *a, **k))
+    df = spark.createDataFrame([*rows, *rows[::3]], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in line_dedup.summary(df, cells=1 << 10).collect())
+    assert got == sorted((i, per[i], len(gone[i]), gone[i]) for i, _ in [*rows, *rows[::3]]) and gone
+    assert line_dedup.removed_lines(df, cells=1 << 10).count() == sum(map(len, gone.values()))
+    assert [(f.dataType.simpleString(), f.nullable) for f in written["active"]] == [("bigint", False)] * 5
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------
 
 
