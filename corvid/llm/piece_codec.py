@@ -17,10 +17,13 @@ are encoded apart and remembered.
 from __future__ import annotations
 
 import codecs
+import ctypes
 import hashlib
 import re
 import struct
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import ahocorasick
 import pyarrow as pa
@@ -32,6 +35,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown piece decodes to in the library.
 UNKNOWN_SURFACE = " ⁇ "
+#: So many seconds after its last task a Python worker forgets what it remembers.
+IDLE = 4.0
 
 
 def _each_bad_byte(e: UnicodeError) -> tuple[str, int]:
@@ -70,7 +75,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceCodec:
     """Encoder and decoder for one model; ``raw`` is the content of its file."""
 
-    def __init__(self, raw: bytes, remembered: int = 500_000):
+    def __init__(self, raw: bytes, remembered: int = 300_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -128,6 +133,31 @@ class PieceCodec:
         self.decimal = [b"%d" % i for i in range(len(self.pieces))]
         self.spoken = [p.replace(MARK, " ") if k == NORMAL else UNKNOWN_SURFACE if k == UNKNOWN else "" for p, k in zip(self.pieces, self.kinds)]
         self.memory = _Segments(self, remembered)
+        self.uses = 0
+
+    @contextmanager
+    def in_use(self, idle: float = IDLE) -> Iterator[None]:
+        """What is remembered stays for the next use, and goes if none has begun ``idle`` seconds after this one.
+
+        Spark keeps idle workers for a minute, in which their executor may need the memory for other work.
+        """
+        self.uses += 1
+        this = self.uses
+        try:
+            yield
+        finally:
+            timer = threading.Timer(idle, lambda: self.uses == this and self.forget())
+            timer.daemon = True
+            timer.start()
+
+    def forget(self) -> None:
+        """Give back the memory of what would only be found anew; at any time, even between two lookups."""
+        self.memory.old = {}
+        self.memory.clear()
+        self.compatible.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed otherwise
+            trim(0)
 
     def merged(self, text: str) -> list[str]:
         """Best-first merging as such: join the neighbours whose joined piece scores best, the leftmost of equals, until none is a piece."""
@@ -220,6 +250,19 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         return [k for s in self.prepared(text) for k in self.segment_ids(s)]
 
+    def both_ways(self, text: str) -> tuple[bytes, int, str]:
+        """A text's decimal ids joined by commas, their number, and what they decode to; segments are remembered."""
+        parts = self.prepared(text)
+        got = list(map(self.memory.__getitem__, parts))
+        try:
+            ids, back = b",".join(got), "".join(parts).replace(MARK, " ")
+        except TypeError:  # a segment that decodes to something else
+            pairs = [(g, s.replace(MARK, " ")) if isinstance(g, bytes) else g for g, s in zip(got, parts)]
+            ids, back = b",".join([g for g, _ in pairs]), "".join([s for _, s in pairs])
+        if self.dummy_prefix and parts:
+            back = back[1:]  # each text begins with a marked piece
+        return ids, ids.count(b",") + 1 if parts else 0, back
+
     def surface(self, ids: list[int]) -> str:
         """Text of ids, space marks as spaces; runs of byte pieces as UTF-8, a bad byte as U+FFFD."""
         if self.byte_of.keys().isdisjoint(ids):
@@ -246,18 +289,23 @@ class PieceCodec:
 
 
 class _Segments(dict):
-    """segment -> (decimal ids joined by commas, number of ids, decoded text), in two generations of bounded size."""
+    """segment -> its decimal ids joined by commas, in two generations of bounded size.
+
+    Nearly all segments decode to themselves, marks as spaces; for others it is a pair: the ids and the decoded text.
+    """
 
     def __init__(self, codec: PieceCodec, bound: int):
         super().__init__()
         self.codec, self.bound, self.old = codec, bound // 2, {}
 
-    def __missing__(self, segment: str) -> tuple[bytes, int, str]:
+    def __missing__(self, segment: str) -> bytes | tuple[bytes, str]:
         got = self.old.get(segment)
         if got is None:
             codec = self.codec
             ids = codec.segment_ids(segment)
-            got = b",".join([codec.decimal[k] for k in ids]), len(ids), codec.surface(ids)
+            got, back = b",".join([codec.decimal[k] for k in ids]), codec.surface(ids)
+            if back != segment.replace(MARK, " "):
+                got = got, back
             if len(segment) > 64:  # hardly comes back
                 return got
         if len(self) >= self.bound:
@@ -305,20 +353,16 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
-        seen, sha = c.memory.__getitem__, hashlib.sha256
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    got = list(map(seen, c.prepared(text or "")))
-                    ids = b",".join([g[0] for g in got])
-                    back = "".join([g[2] for g in got])
-                    if c.dummy_prefix and got and text:
-                        back = back[1:]  # each text begins with a marked piece
-                    n = sum([g[1] for g in got])
-                    rows.append((n, ids.decode() if with_text else None, back if with_text else None, sha(ids).hexdigest(), sha(back.encode()).hexdigest()))
-                cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())))], RESULT.names)
+        sha = hashlib.sha256
+        with c.in_use():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    rows = []
+                    for text in part.column(1).to_pylist():
+                        ids, n, back = c.both_ways(text or "")
+                        rows.append((n, ids.decode() if with_text else None, back if with_text else None, sha(ids).hexdigest(), sha(back.encode()).hexdigest()))
+                    cols = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())))], RESULT.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, RESULT)

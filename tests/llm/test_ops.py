@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -272,6 +273,52 @@ def test_pieces_of_random_text():
         assert codec.decode(ids) == lib.decode(ids), ids
 
 
+def test_both_ways_with_segments_that_decode_to_something_else():
+    raw = open(piece_model_path(), "rb").read()
+    codec, rng = piece_codec.PieceCodec(raw, remembered=50), random.Random(5)
+    codec.byte_fallback = False  # characters outside the vocabulary become unknown pieces
+    for _ in range(2000):
+        t = "".join(rng.choice("aabethin \n▁é😀𒍅") for _ in range(rng.randrange(30)))
+        parts = [codec.segment_ids(s) for s in codec.prepared(t)]
+        ids, back = [k for p in parts for k in p], "".join(map(codec.surface, parts))
+        assert codec.both_ways(t) == (",".join(map(str, ids)).encode(), len(ids), back[1:]), t
+    assert {type(x) for x in codec.memory.values()} == {bytes, tuple}
+
+
+def test_remembered_segments_are_small():
+    codec = piece_codec.PieceCodec(open(piece_model_path(), "rb").read())
+    for k in range(200):
+        codec.both_ways(f"word{k} and{k % 7}")
+    assert codec.memory and all(type(x) is bytes for x in codec.memory.values())  # neither a tuple nor the text once more
+
+
+def test_idle_worker_forgets(spark, docs):
+    codec = piece_codec.PieceCodec(open(piece_model_path(), "rb").read())
+    with codec.in_use(idle=0.2):
+        codec.both_ways("some words zqxjkvb")
+    with codec.in_use(idle=60):
+        time.sleep(0.6)
+        assert codec.memory and codec.compatible  # the next task has begun meanwhile
+    with codec.in_use(idle=0.2):
+        pass
+    time.sleep(0.6)
+    assert not codec.memory and not codec.memory.old and not codec.compatible
+
+    def held(batches):
+        import pyarrow as pa
+
+        from corvid.llm import piece_codec
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(c.memory) + len(c.memory.old) for c in piece_codec._CODECS.values()], pa.int64())], ["n"])
+
+    piece_codec.encode_decode(docs, piece_model_path()).collect()
+    look = spark.range(0, 400, 1, 4).mapInArrow(held, "n long")
+    assert any(r.n for r in look.collect())
+    time.sleep(piece_codec.IDLE + 2)
+    assert {r.n for r in look.collect()} == {0}
+
+
 # ---- 5 -----------------------------------------------------------------------------------------------------------
 
 
