@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import threading
+import time
 import uuid
 import warnings
 from collections.abc import Iterator
@@ -32,6 +35,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: On a local disk Hadoop starts a ``chmod`` for each file and folder; these leave out those for checksum files and the mark of
+#: success.  Until such a process has called exec it shares the JVM's memory, which then counts twice.  Other stores take no notice.
+_FEW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: Makes Spark remove the shuffle files of a query when the query has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -47,7 +53,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy", dictionar
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.compression.codec.zstd.level", str(level)).parquet(path, compression=compression)
+        df.write.options(**_FEW_FILES).option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.compression.codec.zstd.level", str(level)).parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEAN, before)
     _WRITTEN[path] = _group
@@ -138,12 +144,31 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda w: w != "")
 
 
+#: So many seconds after its last task a Python worker forgets what it remembers.
+IDLE = 4.0
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Arrow's of this thread, glibc's of all."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed otherwise
+        trim(0)
+
+
 class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered between calls up to a bound."""
+    """64-bit hash of a word's bytes, remembered between calls up to a bound, and until ``idle`` seconds without a call.
 
-    def __init__(self, bound: int = 200_000):
+    Spark keeps idle workers for a minute, in which their executor may need the memory for other work.
+    """
+
+    def __init__(self, bound: int = 200_000, idle: float = IDLE):
         super().__init__()
-        self.bound = bound
+        self.bound, self.idle, self.used, self.watch = bound, idle, 0.0, None
+
+    def __reduce__(self):
+        return WordHashes, (self.bound, self.idle)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
@@ -152,9 +177,22 @@ class WordHashes(dict):
         return h
 
     def of(self, ws: list[bytes]) -> np.ndarray:
+        self.used = time.monotonic()
+        if self.watch is None:
+            self.watch = threading.Thread(target=self._forget, daemon=True)
+            self.watch.start()
         return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
+    def _forget(self) -> None:
+        """Clear the memory once it is idle; a call that comes meanwhile hashes anew."""
+        while (left := self.used + self.idle - time.monotonic()) > 0:
+            time.sleep(left)
+        self.watch = None
+        self.clear()
+        give_back()
+
+
 #: One memory of word hashes for each Python worker.
 HASHES = WordHashes()
 

@@ -17,7 +17,6 @@ are encoded apart and remembered.
 from __future__ import annotations
 
 import codecs
-import ctypes
 import hashlib
 import re
 import struct
@@ -31,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.llm.common import IDLE, give_back
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown piece decodes to in the library.
 UNKNOWN_SURFACE = " ⁇ "
-#: So many seconds after its last task a Python worker forgets what it remembers.
-IDLE = 4.0
 
 
 def _each_bad_byte(e: UnicodeError) -> tuple[str, int]:
@@ -146,6 +145,7 @@ class PieceCodec:
         try:
             yield
         finally:
+            give_back()  # here too: Arrow's memory goes by the thread that took it
             timer = threading.Timer(idle, lambda: self.uses == this and self.forget())
             timer.daemon = True
             timer.start()
@@ -155,9 +155,7 @@ class PieceCodec:
         self.memory.old = {}
         self.memory.clear()
         self.compatible.clear()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed otherwise
-            trim(0)
+        give_back()
 
     def merged(self, text: str) -> list[str]:
         """Best-first merging as such: join the neighbours whose joined piece scores best, the leftmost of equals, until none is a piece."""

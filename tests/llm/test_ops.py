@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -12,7 +13,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from corvid.llm import decontaminate, graph, license_scan, line_dedup, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
+from corvid.llm import common, decontaminate, graph, license_scan, line_dedup, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
 from corvid.llm.queries import piece_model_path
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -319,6 +320,29 @@ def test_idle_worker_forgets(spark, docs):
     assert {r.n for r in look.collect()} == {0}
 
 
+def test_idle_word_hashes_go():
+    memory = common.WordHashes(idle=0.3)
+    first = memory.of([b"some", b"words"]).tolist()
+    time.sleep(0.15)
+    memory.of([b"more"])
+    time.sleep(0.2)
+    assert len(memory) == 3  # used meanwhile
+    time.sleep(0.6)
+    assert not memory
+    assert memory.of([b"some", b"words"]).tolist() == first and len(memory) == 2
+    time.sleep(0.8)
+    assert not memory
+
+
+def test_scratch_tables_have_no_files_beside_their_rows(spark):
+    df = common.materialize(spark.range(0, 1000, 1, 4), "few")
+    folder = common._plain(df.inputFiles()[0].rsplit("/", 1)[0])
+    assert len(os.listdir(folder)) == 4 and all(f.startswith("part-") for f in os.listdir(folder))
+    assert sorted(r.id for r in df.collect()) == list(range(1000))
+    common.discard(df)
+    assert not os.path.exists(folder)
+
+
 # ---- 5 -----------------------------------------------------------------------------------------------------------
 
 
