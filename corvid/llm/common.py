@@ -40,26 +40,43 @@ def scratch_dir(spark: SparkSession) -> str:
 _FEW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: Makes Spark remove the shuffle files of a query when the query has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Makes Spark write an array without nulls as repeated values instead of repeated groups of one value.
+_FLAT = "spark.sql.parquet.writeLegacyFormat"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy", dictionary: bool = True, level: int = 3) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", dictionary: bool = True, level: int = 3, flat: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors.
 
     What is read again later is the table, so the shuffle files behind it go as soon as it is written.  Hashes that hardly
-    repeat are cheaper to write without ``dictionary`` and at a low ``level`` (of zstd).
+    repeat are cheaper to write without ``dictionary`` and at a low ``level`` (of zstd), long arrays of them ``flat``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    settings = {_CLEAN: "true"} | ({_FLAT: "true"} if flat else {})
+    before = {k: spark.conf.get(k, "false") for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        df.write.options(**_FEW_FILES).option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.compression.codec.zstd.level", str(level)).parquet(path, compression=compression)
+        _make_folders(spark, path)
+        df.write.mode("append").options(**_FEW_FILES).option("parquet.enable.dictionary", str(dictionary).lower()).option("parquet.compression.codec.zstd.level", str(level)).parquet(path, compression=compression)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _WRITTEN[path] = _group
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _make_folders(spark: SparkSession, path: str) -> None:
+    """On a local disk, make the folders that every write makes in the driver, where Hadoop would start a ``chmod`` for each.
+
+    Not if Hadoop is told to give folders other permissions than by default.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(conf).getUri().getScheme() == "file" and jvm.org.apache.hadoop.fs.permission.FsPermission.getUMask(conf).toShort() == 0o22:
+        jvm.java.io.File(f"{where.toUri().getPath()}/_temporary/0/_temporary").mkdirs()
+
+
 #: Scratch tables of this driver that haven't been removed, and on whose account they were written.
 _WRITTEN: dict[str, str] = {}
 _group = ""

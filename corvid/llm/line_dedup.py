@@ -15,6 +15,10 @@ and at the first that they share there are still enough tokens left in both (pos
 and the parities of their tokens' hash bits differ in no more places than their sets do in tokens (bitmap).  One semi-join
 of the prefixes by token with these filters leaves the lines that have any partner; all others are done with.
 
+Size classes.  A first token is joined within a class of line sizes, each up to twice the one before, so that most pairs
+that the length filter would drop never meet.  A similar pair meets in the class of its longer line: the shorter one's
+first tokens also stand in the next class, those of them that still leave enough tokens for a line of that size.
+
 Turns.  Among what is left a token isn't expanded into all pairs of its lines.  First the earliest line of each token is
 compared with the others; lines that it removes are done with.  For those that remain a few members are compared, chosen
 by hash, then eight times as many each turn, until every earlier line has been, or until all that remains takes a few
@@ -23,6 +27,7 @@ comparisons a line.  So a family of near-equal lines costs a few pairs a line, a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -34,6 +39,8 @@ from corvid.llm.common import SPACE, discard, materialize
 
 #: Counters of the tokens' frequencies, a power of two.
 CELLS = 1 << 18
+#: Taken from each counter's level, 0 to 8 * 31, so that it is a number of which the JVM has one object for all, not one for each counter.
+LEAST = 128
 #: A token's lines up to so many are compared with each other at once; beyond, by turns, each with 2**GROWTH times as many.
 AT_ONCE, GROWTH = 16, 3
 #: The rest is compared in one last turn once that takes at most so many comparisons for each line and token.
@@ -73,14 +80,14 @@ def _tokens(line: str) -> Column:
 
 
 def _frequencies(classes: DataFrame, cells: int) -> Column:
-    """An array: of each counter the binary logarithm of its count in eighths.  A token counts once a line."""
-    cell = F.col("token").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell")
+    """An array: of each counter the binary logarithm of its count in eighths, less ``LEAST``.  A token counts once a line."""
+    cell = F.col("token").bitwiseAND(F.lit(cells - 1).cast("long")).alias("cell")
     tasks = max(classes.sparkSession.sparkContext.defaultParallelism, len(classes.inputFiles()) // 4)  # each sends up to ``cells`` rows
     counted = classes.coalesce(tasks).select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
-    levels = [0] * cells
+    levels = [-LEAST] * cells
     with _set(classes, _FAST_MAP, str(min(max(cells.bit_length() - 1, 10), 20))):
         for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
-            levels[r[0]] = r[1]
+            levels[r[0]] = r[1] - LEAST
     return _constant(levels)
 
 
@@ -101,30 +108,43 @@ def _set(df: DataFrame, key: str, value: str) -> Iterator[None]:
 
 
 def _heads(classes: DataFrame, levels: Column, cells: int, percent: int) -> DataFrame:
-    """c, n (tokens), m0, m1 (bitmaps) and head: a class's first tokens in order of rarity.
+    """c, n (tokens), m0, m1 (bitmaps), k, b and head: a class's first tokens in order of rarity, k of them.
+
+    b is the line's class of sizes; what follows the k tokens in ``head`` are those that also stand in the next class.
 
     A token flips one of the 64 bits of m0.  Of a line over ``WIDE`` m1 has the flips of every other token, told by one
     more bit of the hash: m0 ^ m1 and m1 are a bitmap of 128 bits.
     """
-    at = lambda of, x, size: F.get(of, x.bitwiseAND(F.lit(size - 1)).cast("int"))
+    at = lambda of, x, size: of[x.bitwiseAND(F.lit(size - 1).cast("long"))]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     ranked = lambda x: F.shiftleft(at(levels, x, cells), 52).bitwiseOR(F.shiftrightunsigned(x, 12))
     in_order = F.sort_array(F.transform("tokens", lambda x: F.coalesce(ranked(x), zero)))  # never null: sorted as plain numbers
     bits, none = [1 << k if k < 63 else -(1 << 63) for k in range(64)], [0] * 64
     flipped = lambda bit: F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(bit(x)))
     n = F.size("tokens")
-    m0 = flipped(lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
+    m0 = flipped(lambda x: at(_constant(bits), x, 64))
     m1 = F.when(n > WIDE, flipped(lambda x: at(_constant(none + bits), x, 128))).otherwise(zero)
-    head = F.slice(in_order, F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    return classes.select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), head.alias("head"))
+    k = n - F.ceil(n * percent / 100).cast("int") + 1
+    # steps of a power of two by which no similar lines are two classes apart
+    step = max(1, math.ceil(math.log2(100 / percent))) if percent > 0 else 40
+    b = F.floor((F.length(F.bin(n)) - 1) / step).cast("int")
+    longer = F.call_function("shiftleft", one, F.least((b + 1) * step, F.lit(40)))  # tokens of the next class's shortest line
+    more = F.floor((n * F.lit(100).cast("long") - longer * F.lit(percent)) / (100 + percent)) + 1  # the last of them has position's n - pos still left
+    more = F.greatest(F.least(more.cast("long"), k.cast("long")), zero).cast("int")
+    rows = classes.select("c", n.alias("n"), m0.alias("m0"), m1.alias("m1"), k.alias("k"), b.alias("b"), more.alias("more"), in_order.alias("in_order"))
+    head = F.concat(F.slice("in_order", F.lit(1), F.col("k")), F.slice("in_order", F.lit(1), F.col("more")))
+    return rows.select("c", "n", *_MAPS, "k", "b", head.alias("head"))
 
 
 def _prefixes(heads: DataFrame) -> DataFrame:
-    """A row for each first token: token, c, m0, m1, at (n in the upper half, the token's place in the lower).
+    """A row for each first token and class of sizes: token (both in one), c, m0, m1, at (n in the upper half, the token's place in the lower).
 
     All are longs and none is null: such a row is small to send and sort, and compared without tests for null.
     """
-    rows = heads.select("c", "n", *_MAPS, F.posexplode_outer("head").alias("pos", "token"))  # outer: or Spark tests, and so makes, a head twice
+    rows = heads.select("c", "n", "k", "b", *_MAPS, F.posexplode_outer("head").alias("pos", "token"))  # outer: or Spark tests, and so makes, a head twice
+    other = F.col("pos") >= F.col("k")
+    by_size = F.shiftleft((F.col("b") + other.cast("int")).cast("long"), 60)  # its last four bits; classes that share them only meet for nothing
+    rows = rows.withColumns({"token": F.col("token").bitwiseXOR(by_size), "pos": F.when(other, F.col("pos") - F.col("k")).otherwise(F.col("pos"))})
     rows = rows.withColumn("at", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")))
     return rows.select(*(F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("token", "c", *_MAPS, "at")))
 
@@ -159,14 +179,14 @@ def _removed(docs: DataFrame, percent: int, id_col: str, text_col: str, cells: i
     """removed_lines, but for rows with the same id and text one of each line for each row."""
     lines = _lines(docs, id_col, text_col).where(_worded(F.col("line")))
     classes = lines.groupBy("t1", "t2").agg(F.min(F.struct(*_KEY, "line")).alias("first"), F.count("*").alias("copies"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _tokens("first.line").alias("tokens")), "lines", "zstd", dictionary=False, level=1)
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "t1", "t2", F.struct(*(F.col(f"first.{k}").alias(k) for k in _KEY)).alias("key"), "copies", _tokens("first.line").alias("tokens")), "lines", "zstd", dictionary=False, level=1, flat=True)
 
     heads = _heads(classes, _frequencies(classes, cells), cells, percent)
     prefixes = _prefixes(heads)
     a, b = prefixes.alias("a"), prefixes.alias("b")
-    active = materialize(a.join(b, (F.col("a.token") == F.col("b.token")) & _close("a", "b", percent), "left_semi"), "active")
+    active = materialize(a.join(b, (F.col("a.token") == F.col("b.token")) & _close("a", "b", percent), "left_semi"), "active", dictionary=False)
     wanted = materialize(active.select("c").distinct(), "wanted")
-    sets = materialize(classes.join(_few(wanted), "c", "left_semi").select("c", "key", "t1", "t2", "tokens"), "sets")
+    sets = materialize(classes.join(_few(wanted), "c", "left_semi").select("c", "key", "t1", "t2", "tokens"), "sets", dictionary=False, flat=True)
     gone = _gone(active, sets, percent)
     discard(wanted, active)
 

@@ -10,8 +10,11 @@ import re
 import time
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from corvid.llm import common, decontaminate, graph, license_scan, line_dedup, lm_score, main_text, near_dup, piece_codec, quality, substring_dedup, warc
 from corvid.llm.queries import piece_model_path
@@ -222,6 +225,28 @@ def test_line_dedup_hashes_words_once_and_compares_lines_with_and_without_wide_b
     assert "string" not in written["lines"].simpleString() and "heads" not in written  # words are hashed once, first tokens go straight into the join
 
 
+@pytest.mark.parametrize("percent", [20, 35, 50, 80, 100])
+def test_line_dedup_joins_first_tokens_by_classes_of_sizes(spark, percent):
+    """Lines of sizes around the classes' edges, with longer and shorter copies, find each other; far apart sizes never meet."""
+    rng, vocab = random.Random(percent), [f"u{k}" for k in range(400)]
+    lines = []
+    for n in (1, 2, 3, 4, 5, 7, 8, 9, 13, 15, 16, 17, 26, 31, 32, 33, 52, 63, 64, 65, 80, 127, 128, 129):
+        ws = rng.sample(vocab, n)
+        lines += [" ".join(ws), " ".join(ws[: -(-n * percent // 100)]), " ".join(rng.sample(ws, max(1, n * 9 // 10)) + rng.sample(vocab, n // 10))]
+        lines.append(" ".join(ws + [f"x{n}_{k}" for k in range(n * (100 - percent) // max(percent, 1))]))
+    rng.shuffle(lines)
+    sets = [set(x.split()) for x in lines]
+    want = {j for j, b in enumerate(sets) if any(len(a & b) * 100 >= percent * len(a | b) for a in sets[:j])}
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.removed_lines(rows, percent=percent, cells=64).collect()} == want
+    if percent == 80:
+        classes = rows.select(F.col("doc_id").alias("c"), line_dedup._tokens("text").alias("tokens"))
+        keys = collections.defaultdict(list)
+        for r in line_dedup._prefixes(line_dedup._heads(classes, line_dedup._constant([0] * 64), 64, percent)).collect():
+            keys[r.token].append(r["at"] >> 32)
+        assert all(max(x) <= 2.5 * min(x) for x in keys.values()) and max(map(len, keys.values())) > 3
+
+
 def test_line_dedup_compares_rows_of_longs_and_reads_lines_that_begin_oddly(spark, monkeypatch):
     """First tokens are five longs, none of them null; lines begin and are split with all sorts of characters, and rows repeat."""
     starts = ["", " ", "\t", "\x0b\x0c", "\r ", "\x00", "\x1f ", "\x85", "\xa0", "\u2028", "é ", "\x7f"]
@@ -334,6 +359,28 @@ def test_idle_word_hashes_go():
     assert not memory
 
 
+def test_scratch_tables_find_their_folders_made(spark, monkeypatch):
+    """The driver starts no process for the folders of a table, as they are there when it is written."""
+    found, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **b):
+        found.append(os.path.isdir(f"{common._plain(path)}/_temporary/0/_temporary"))
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    df = common.materialize(spark.range(0, 1000, 1, 4), "made")
+    assert found == [True] and df.count() == 1000
+    assert len(os.listdir(common._plain(df.inputFiles()[0].rsplit("/", 1)[0]))) == 4
+
+
+def test_scratch_tables_keep_arrays_written_flat(spark):
+    rows = [(1, [5, -7]), (2, []), (3, [1 << 62])]
+    df = spark.createDataFrame(rows, StructType([StructField("a", LongType()), StructField("x", ArrayType(LongType(), False), False)]))
+    out = common.materialize(df, "flat", "zstd", dictionary=False, level=1, flat=True)
+    assert sorted(map(tuple, out.collect())) == rows and spark.conf.get("spark.sql.parquet.writeLegacyFormat") == "false"
+    assert "list" not in str(pq.ParquetFile(next(f for f in map(common._plain, out.inputFiles()) if pq.ParquetFile(f).metadata.num_rows)).schema).lower().replace("(list)", "")
+
+
 def test_scratch_tables_have_no_files_beside_their_rows(spark):
     df = common.materialize(spark.range(0, 1000, 1, 4), "few")
     folder = common._plain(df.inputFiles()[0].rsplit("/", 1)[0])
