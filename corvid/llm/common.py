@@ -107,6 +107,13 @@ def discard(*tables: DataFrame) -> None:
         read = _tables_read(df)
         for path in [p for p in _WRITTEN if _plain(p) in read]:
             _remove(df.sparkSession, path)
+    if tables:
+        _collect(tables[0].sparkSession)
+
+
+def _collect(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage: its heap shrinks again, and broadcasts that nothing refers to go."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def sweep(name: str, keep: DataFrame) -> None:

@@ -373,6 +373,14 @@ def test_scratch_tables_find_their_folders_made(spark, monkeypatch):
     assert len(os.listdir(common._plain(df.inputFiles()[0].rsplit("/", 1)[0]))) == 4
 
 
+def test_discarding_scratch_tables_collects_the_drivers_garbage(spark):
+    beans = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    df = common.materialize(spark.range(10), "gone")
+    before = beans()
+    common.discard(df)
+    assert beans() > before and not os.path.exists(common._plain(df.inputFiles()[0].rsplit("/", 1)[0]))
+
+
 def test_scratch_tables_keep_arrays_written_flat(spark):
     rows = [(1, [5, -7]), (2, []), (3, [1 << 62])]
     df = spark.createDataFrame(rows, StructType([StructField("a", LongType()), StructField("x", ArrayType(LongType(), False), False)]))
