@@ -32,14 +32,17 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as JavaColumn
+from pyspark.sql.types import ArrayType, ByteType
 
 from corvid.llm.common import SPACE, discard, materialize
 
 #: Counters of the tokens' frequencies, a power of two.
 CELLS = 1 << 18
-#: Taken from each counter's level, 0 to 8 * 31, so that it is a number of which the JVM has one object for all, not one for each counter.
+#: Taken from each counter's level, 0 to 255, so that it fits into a byte.
 LEAST = 128
 #: A token's lines up to so many are compared with each other at once; beyond, by turns, each with 2**GROWTH times as many.
 AT_ONCE, GROWTH = 16, 3
@@ -80,15 +83,28 @@ def _tokens(line: str) -> Column:
 
 
 def _frequencies(classes: DataFrame, cells: int) -> Column:
-    """An array: of each counter the binary logarithm of its count in eighths, less ``LEAST``.  A token counts once a line."""
+    """An array: of each counter the binary logarithm of its count in eighths, at most 255, less ``LEAST``.  A token counts once a line."""
     cell = F.col("token").bitwiseAND(F.lit(cells - 1).cast("long")).alias("cell")
     tasks = max(classes.sparkSession.sparkContext.defaultParallelism, len(classes.inputFiles()) // 4)  # each sends up to ``cells`` rows
     counted = classes.coalesce(tasks).select(F.explode("tokens").alias("token")).groupBy(cell).agg(F.round(F.log2(F.count("*") + 1) * 8).cast("int").alias("level"))
     levels = [-LEAST] * cells
     with _set(classes, _FAST_MAP, str(min(max(cells.bit_length() - 1, 10), 20))):
         for r in counted.toLocalIterator():  # at most ``cells`` rows, whatever the corpus
-            levels[r[0]] = r[1] - LEAST
-    return _constant(levels)
+            levels[r[0]] = min(r[1], 255) - LEAST
+    return _packed(classes.sparkSession, levels)
+
+
+def _packed(spark: SparkSession, values: list[int]) -> Column:
+    """An array<tinyint> in the plan that is printed without its values.
+
+    Spark prints a plan for its listeners when a query starts and again after each stage, and keeps some of it; of an array as
+    long as the counters each such text has megabytes.
+    """
+    jvm = spark.sparkContext._jvm
+    of = jvm.org.apache.spark.sql.catalyst.expressions
+    kind = jvm.org.apache.spark.sql.types.DataType.fromJson(ArrayType(ByteType(), False).json())
+    value = of.UnsafeArrayData.fromPrimitiveArray(np.array(values, dtype=np.int8).tobytes())
+    return JavaColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(of.Literal(value, kind)))
 
 
 def _constant(values: list[int]) -> Column:
@@ -117,7 +133,7 @@ def _heads(classes: DataFrame, levels: Column, cells: int, percent: int) -> Data
     """
     at = lambda of, x, size: of[x.bitwiseAND(F.lit(size - 1).cast("long"))]
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    ranked = lambda x: F.shiftleft(at(levels, x, cells), 52).bitwiseOR(F.shiftrightunsigned(x, 12))
+    ranked = lambda x: F.shiftleft(at(levels, x, cells).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(x, 12))
     in_order = F.sort_array(F.transform("tokens", lambda x: F.coalesce(ranked(x), zero)))  # never null: sorted as plain numbers
     bits, none = [1 << k if k < 63 else -(1 << 63) for k in range(64)], [0] * 64
     flipped = lambda bit: F.aggregate("tokens", zero, lambda a, x: a.bitwiseXOR(bit(x)))

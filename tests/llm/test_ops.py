@@ -273,6 +273,23 @@ def test_line_dedup_compares_rows_of_longs_and_reads_lines_that_begin_oddly(spar
 # ---- 4 -----------------------------------------------------------------------------------------------------------
 
 
+def test_line_dedup_keeps_its_counters_out_of_the_text_of_plans(spark):
+    """Spark prints a plan for its listeners after each stage: the driver ran out of memory by texts of megabytes."""
+    sets = [[random.Random(i).randrange(-(1 << 63), 1 << 63) for _ in range(i % 9)] for i in range(300)]
+    classes = common.materialize(spark.createDataFrame(list(enumerate(sets)), "c long, tokens array<long>"), "lines")
+    cells = 1 << 12
+    count = collections.Counter(t % cells for s in sets for t in s)
+    levels = line_dedup._frequencies(classes, cells)
+    found = spark.range(1).select(levels.alias("levels")).first()[0]
+    assert found == [round(8 * math.log2(count[i] + 1)) - line_dedup.LEAST for i in range(cells)]
+    heads = line_dedup._heads(classes, levels, cells, 80)
+    assert len(heads._jdf.queryExecution().toString()) < 40_000
+    ends = [-128, 127] * 300
+    assert spark.range(1).select(line_dedup._packed(spark, ends)).first()[0] == ends
+    plain = line_dedup._heads(classes, line_dedup._constant(found), cells, 80)
+    assert sorted(map(str, heads.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_piece_codec_is_the_library(docs, texts):
     import sentencepiece
 
